@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import normal_key, normal_label
 from tidemark.llm.groups import linked_groups
+from tidemark.llm.packing import fill_containers, fill_report
+from tidemark.llm.tokens import encode_corpus
+from tidemark.llm.vectors import nearest, neighbour_pairs
 from tidemark.sources.tables import table
 
 
@@ -27,5 +30,34 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS memory_id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.memory_id WHERE r.root < u.b)
 """
 
-QUERIES = {"p3_found": p3_found}
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "vec_memories", "memory_id", "embedding").withColumn("memory_id", normal_key(F.col("memory_id")))
+    return nearest(vectors, "memory_id", "embedding", size=384, k=5)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_pairs(_nearest(spark, folder))
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _nearest(spark, folder)
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_containers(p8_ids(spark, folder).select("doc_id", F.size("ids").alias("n_tokens")), "doc_id", "n_tokens", capacity=2048)
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers(spark, folder)
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(_containers(spark, folder), 2048)
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
 ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
