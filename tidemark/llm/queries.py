@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import normal_key, normal_label
 from tidemark.llm.groups import linked_groups
+from tidemark.llm.neardup import member_pairs, similar_texts, text_classes
 from tidemark.llm.packing import fill_containers, fill_report
 from tidemark.llm.tokens import encode_corpus
 from tidemark.llm.vectors import nearest, neighbour_pairs
@@ -59,5 +60,17 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(_containers(spark, folder), 2048)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
+def _near_duplicates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    memories = table(spark, folder, "memories", "id", "project_id", "content", "updated_at")
+    keyed = memories.select(normal_key(F.col("id")).alias("id"), normal_key(F.col("project_id")).alias("project_id"), "content", "updated_at")
+    texts, members = text_classes(keyed, "id", "content", "project_id", "updated_at")
+    return texts, members, similar_texts(texts, width=3, threshold=0.5, least_words=45)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts, members, pairs = _near_duplicates(spark, folder)
+    return member_pairs(pairs, members, texts, least_words=45)
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
 ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
