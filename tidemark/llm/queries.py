@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import normal_key, normal_label
+from tidemark.llm.garble import garbled_rows, restored_texts
 from tidemark.llm.groups import linked_groups
 from tidemark.llm.neardup import member_pairs, similar_texts, text_classes
 from tidemark.llm.packing import fill_containers, fill_report
@@ -72,5 +73,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return member_pairs(pairs, members, texts, least_words=45)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_rows(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return restored_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
