@@ -11,6 +11,7 @@ from tidemark.llm.groups import linked_groups
 from tidemark.llm.neardup import member_pairs, similar_texts, text_classes
 from tidemark.llm.packing import fill_containers, fill_report
 from tidemark.llm.tokens import encode_corpus
+from tidemark.llm.truncation import cut_report, cut_scores
 from tidemark.llm.vectors import nearest, neighbour_pairs
 from tidemark.sources.tables import table
 
@@ -45,6 +46,20 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return _nearest(spark, folder)
 
 
+def _cut_scores(spark: SparkSession, folder: str) -> DataFrame:
+    memories = table(spark, folder, "memories", "id", "content", "source", "updated_at")
+    keyed = memories.select(normal_key(F.col("id")).alias("id"), "content", normal_label(F.col("source")).alias("source"), "updated_at")
+    return cut_scores(keyed, "id", "content", "source", "updated_at")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut_scores(spark, folder).where("probability >= 0.5").select(F.col("id").alias("memory_id"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_report(_cut_scores(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -81,5 +96,5 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restored_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
