@@ -10,6 +10,7 @@ Equal texts are one class throughout, so that copies meet once.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Words whose frequency is told apart when shingles are ordered by rarity: the bound of what is broadcast.
-FREQUENT_WORDS = 50_000
+#: What orders shingles by rarity, and its bounds: counters of a sketch (two to this power), that all shingles of all
+#: texts are counted into, and commonest words told apart where the sketch says the same.
+SKETCH_BITS, FREQUENT_WORDS = 21, 50_000
 #: Distinct words a worker remembers.
 CACHE = 500_000
 
@@ -95,7 +97,46 @@ def _frequent_words(texts: DataFrame, most: int) -> dict[str, int]:
     return {r["w"]: r["n"] for r in top.collect()}
 
 
-def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            part = np.frombuffer(zlib.decompress(packed), np.uint64)
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counters"])
+
+
+def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> np.ndarray:
+    """How common shingles are, by the leading bits of their numbers: logarithms of counts over all texts, as bytes.
+
+    Each task sums up its counters, tasks are summed up in levels, and the driver gets a fixed number of bytes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, total = Shingler(width), np.zeros(1 << bits, np.uint64)
+        for batch in batches:
+            found = [shingler.of(t, b, least_words)[0] for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if found:
+                total += np.bincount(_counter(np.concatenate(found), bits), minlength=1 << bits).astype(np.uint64)
+        yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counters"])
+
+    parts = texts.rdd.getNumPartitions()
+    sums = texts.select("block", "text").mapInArrow(count, "counters binary")
+    while parts > 32:
+        parts = -(-parts // 32)
+        sums = sums.repartition(parts).mapInArrow(_sum_counters, "counters binary")
+    total = np.zeros(1 << bits, np.uint64)
+    for r in sums.collect():
+        total += np.frombuffer(zlib.decompress(r["counters"]), np.uint64)
+    return np.round(2 * np.log2(total + 1.0)).astype(np.uint8)
+
+
+def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, frequent_words: int = FREQUENT_WORDS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``a_no, b_no, similarity`` of the pairs of different texts of one block whose shingle sets have a Jaccard
     similarity of at least ``threshold``. ``texts``: ``no, block, text`` from :func:`text_classes`.
 
@@ -107,6 +148,7 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
     # a text of n words has at least 2n - 1 characters: cheap to see before anything is read in detail
     long = texts.where(F.length(F.lower("text")) >= 2 * max(least_words, width) - 1)
     words = spark.sparkContext.broadcast(_frequent_words(long, frequent_words))
+    sketch = spark.sparkContext.broadcast(_sketch(long, width, least_words, sketch_bits))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width, words.value)
@@ -121,7 +163,7 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 # ceil(2 t n / (1 + t)): so many shingles are left out by each, the rarest remain
                 probe = n - math.ceil(threshold * n - 1e-9) + 1
                 index = n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-                order = np.lexsort((keys, common))[:probe]
+                order = np.lexsort((keys, common, sketch.value[_counter(keys, sketch_bits)]))[:probe]
                 h.append(keys[order])
                 no.append(np.full(len(order), i))
                 size.append(np.full(len(order), n, np.int32))
@@ -130,10 +172,12 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 yield pa.record_batch([pa.array(np.concatenate(h)), pa.array(np.concatenate(no)), pa.array((np.concatenate(size) * 2 + np.concatenate(role)).astype(np.int32))], names=["h", "no", "nr"])
 
     entries = long.select("no", "block", "text").mapInArrow(lists, "h long, no long, nr int")
-    a = entries.where(F.col("nr") % 2 == 1).select("h", F.col("no").alias("a_no"), F.shiftright("nr", 1).alias("a_n"))
-    b = entries.select("h", F.col("no").alias("b_no"), F.shiftright("nr", 1).alias("b_n"), (F.col("nr") % 2).alias("b_both"))
-    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_no") < F.col("b_no")))
-    meet = a.join(b.hint("merge"), "h").where(smaller & (F.col("a_n") >= F.ceil(F.lit(threshold) * F.col("b_n") - 1e-9)))
+    # inverted lists meet themselves; the roles are told apart in the join's condition, so that both sides are one exchange
+    a, b = entries.alias("a"), entries.alias("b")
+    a_n, b_n = F.shiftright("a.nr", 1), F.shiftright("b.nr", 1)
+    smaller = (a_n < b_n) | ((a_n == b_n) & (F.col("a.no") < F.col("b.no")))
+    fits = F.when(F.col("a.nr") % 2 == 1, smaller & (a_n >= F.ceil(F.lit(threshold) * b_n - 1e-9))).otherwise(F.col("b.nr") < 0)
+    meet = a.join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & fits).select(F.col("a.no").alias("a_no"), F.col("b.no").alias("b_no"), a_n.alias("a_n"), b_n.alias("b_n"))
     counted = meet.groupBy("a_no", "b_no", "a_n", "b_n").agg(F.count(F.lit(1)).cast("int").alias("met"))
     # T - L: the text whose short lists end earlier in the order meets there all that both have, but for what it skipped
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
