@@ -164,7 +164,9 @@ def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
             key = [_hash(w) for w in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(key, pa.int64()), batch.column(0), batch.column(1)], names=["key", "word", "n"])
 
-    table = counts.mapInArrow(forms, "key long, original string, n_original long, chain int")
+    # few rows, but each gives a form per chain: spread, and never taken for small enough to broadcast
+    spread = counts.repartition(2 * counts.sparkSession.sparkContext.defaultParallelism, "word")
+    table = spread.mapInArrow(forms, "key long, original string, n_original long, chain int").hint("merge")
     seen = counts.mapInArrow(keyed, "key long, word string, n long")
     met = seen.join(table, "key").where(F.col("n_original") > 0).select("word", "n", "original", "n_original", "chain")
 

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import heavy_keys
 from tidemark.session import materialize
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -90,11 +91,12 @@ def text_classes(rows: DataFrame, id_col: str, text_col: str, block_col: str, or
     return texts, members.join(texts.select("no", *_hashed(texts, "block", "text")), ["k1", "k2"]).select("id", "no")
 
 
-def _frequent_words(texts: DataFrame, most: int) -> dict[str, int]:
-    """The ``most`` commonest words and in how many texts they are; counted over all texts."""
+def _frequent_words(texts: DataFrame, share: int) -> dict[str, int]:
+    """Words that make up at least one part in ``share`` of all (so there are no more than that), and in how many texts
+    they are; counted over all texts."""
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("w"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most)
-    return {r["w"]: r["n"] for r in top.collect()}
+    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
+    return {r["w"]: r["n"] for r in counts.join(F.broadcast(heavy_keys(counts, "w", "n", share)), "w").collect()}
 
 
 def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashed import HashedLogistic
+from tidemark.operators.skew import heavy_keys
+from tidemark.session import materialize
 
-#: Bound of the labelled rows that the model is fitted on; words that count as known; limits kept per kind of length.
-SAMPLE, KNOWN_WORDS, LIMITS = 8000, 30_000, 200
+#: Bound of the labelled rows that the model is fitted on; words that can count as known; lengths that can count as limits.
+SAMPLE, KNOWN_WORDS, LIMITS = 8000, 30_000, 4000
 #: Texts of the sample that share their last three words before these count as an ending that was meant.
 SHARED_ENDING = 4
 
@@ -136,7 +138,7 @@ def cut(text: str, rng: np.random.Generator, limits: list[int]) -> str | None:
         if fit and rng.random() < 0.5:
             n = fit[int(rng.integers(len(fit)))]
         else:
-            n = int(rng.integers(25, max(26, len(text) - 3)))
+            n = int(rng.integers(25, max(26, len(text) - 3 if rng.random() < 0.8 else min(90, len(text) - 3))))
         part = text[:n]
         open_block = part.count("```") % 2 == 1 or text.lstrip()[:1] == "{"
         if not part.strip() or (_ENDS_SENTENCE.search(part.rstrip()) and not open_block):
@@ -200,23 +202,24 @@ def _limits(rows: DataFrame, most: int) -> Limits:
     """Lengths held by far more texts of a source than the lengths around them, counted over all rows."""
     long = rows.where(F.length("text") >= 40)
     lengths = F.array(F.struct(F.lit("c").alias("kind"), F.length("text").alias("n")), F.struct(F.lit("b").alias("kind"), F.octet_length("text").alias("n")))
-    counts = long.select("source", F.inline(lengths)).groupBy("source", "kind", "n").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(long.select("source", F.inline(lengths)).groupBy("source", "kind", "n").agg(F.count(F.lit(1)).alias("c")), "lengths")
     around = counts.select("source", "kind", "n", "c", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("d"))
     near = around.where("d <> 0").select("source", "kind", (F.col("n") + F.col("d")).alias("n"), F.col("c").alias("o")).groupBy("source", "kind", "n").agg(F.sum("o").alias("others"))
     # the ten neighbours together hold less than this length alone would explain
-    peaks = counts.join(near, ["source", "kind", "n"], "left").withColumn("others", F.coalesce("others", F.lit(0))).where("c >= 8 AND c * 10 > 4 * others")
-    top = peaks.orderBy(F.desc("c"), "source", "kind", "n").limit(most).collect()
+    total = counts.agg(F.sum("c").alias("t")).first()["t"] or 0
+    often = counts.where(F.col("c") * F.lit(most) >= F.lit(max(int(total), 1)))  # no more than ``most`` can be
+    peaks = often.join(near, ["source", "kind", "n"], "left").withColumn("others", F.coalesce("others", F.lit(0))).where("c >= 8 AND c * 10 > 4 * others")
     found: dict[tuple[str, str], list[int]] = {}
-    for r in top:
+    for r in peaks.collect():
         found.setdefault((r["source"], r["kind"]), []).append(r["n"])
     return Limits(found)
 
 
 def _known_words(rows: DataFrame, most: int) -> frozenset[str]:
-    """The commonest words that end no text: all but each text's last."""
+    """Words before a text's last that make up at least one part in ``most`` of all: no more than that many."""
     inner = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), 1)
-    words = rows.select(F.explode(F.array_distinct(inner)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return frozenset(r["w"] for r in words.orderBy(F.desc("n"), "w").limit(most).collect())
+    words = materialize(rows.select(F.explode(F.array_distinct(inner)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
+    return frozenset(r["w"] for r in heavy_keys(words, "w", "n", most).collect())
 
 
 def cut_scores(rows: DataFrame, id_col: str, text_col: str, source_col: str, order_col: str | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -232,8 +235,11 @@ def cut_scores(rows: DataFrame, id_col: str, text_col: str, source_col: str, ord
         (F.col(order_col) if order_col else F.lit(0)).alias("at"), F.col(source_col).cast("string").alias("given_source"),
     ).where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
     limits, known = _limits(given, LIMITS), _known_words(given, KNOWN_WORDS)
-    # the rows of smallest hash: a random sample that is the same each time
-    part = given.select("source", "text", F.xxhash64("id", "text").alias("h")).orderBy("h").limit(sample).select("source", "text").collect()
+    # the rows of smallest hash: a random sample that is the same each time; what is far above it stays with the executors
+    n = max(given.count(), 1)
+    bound = int(min(1.0, 1.2 * sample / n + 200 / n) * 2**31)
+    hashed = given.select("source", "text", F.pmod(F.xxhash64("id", "text"), F.lit(2**31)).alias("h")).where(F.col("h") < bound)
+    part = hashed.orderBy("h", "source", "text").limit(sample).select("source", "text").collect()
     model = spark.sparkContext.broadcast(CutModel([(r["source"], r["text"]) for r in part], limits, known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
