@@ -54,6 +54,8 @@ class HashedLogistic:
                 self.bias -= rate * error.mean() / np.sqrt(seen_bias)
         return self
 
+    def logit(self, features: list[list[str]]) -> np.ndarray:
+        return np.clip(self._score([[self.slot(f) for f in fs] for fs in features]), -30, 30)
+
     def probability(self, features: list[list[str]]) -> np.ndarray:
-        score = self._score([[self.slot(f) for f in fs] for fs in features])
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        return 1 / (1 + np.exp(-self.logit(features)))

@@ -10,12 +10,23 @@ from tidemark.llm.garble import garbled_rows, restored_texts
 from tidemark.llm.groups import linked_groups
 from tidemark.llm.neardup import member_pairs, similar_texts, text_classes
 from tidemark.llm.packing import fill_containers, fill_report
+from tidemark.llm.pii import personal_spans, redacted
 from tidemark.llm.tokens import encode_corpus
 from tidemark.llm.truncation import cut_report, cut_scores
 from tidemark.llm.vectors import nearest, neighbour_pairs
 from tidemark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    memories = table(spark, folder, "memories", "id", "content").select(normal_key(F.col("id")).alias("id"), "content")
+    return personal_spans(memories, "id", "content").select(F.col("id").alias("memory_id"), F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value")).distinct()
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    memories = table(spark, folder, "memories", "id", "content").select(normal_key(F.col("id")).alias("memory_id"), "content")
+    return redacted(memories, "content").distinct()
+
+
 def _matches(spark: SparkSession, folder: str) -> DataFrame:
     edges = table(spark, folder, "edges", "src_id", "dst_id", "edge_type")
     return edges.where(normal_label(F.col("edge_type")) == "similarity").select(normal_key(F.col("src_id")).alias("a"), normal_key(F.col("dst_id")).alias("b"))
@@ -96,5 +107,5 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restored_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
