@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_quality
+from tidemark.plans import data_quality, memory_queries, search_queries
 
-MODULES = [data_quality]
+MODULES = [data_quality, memory_queries, search_queries]
 
 
 def queries() -> dict:
