@@ -82,11 +82,11 @@ DICTIONARY = (
     "although function implementation configuration application currently previously essentially basically actually additionally specifically particularly significantly memory project "
     "session default enabled disabled"
 ).split()
-_FIRST, _CAPITAL = 0xE000, ""
+_FIRST, _CAPITAL, _AS_IS = 0xE000, chr(0xE0F0), chr(0xE0FF)
 _TO_MARK = {w: chr(_FIRST + i) for i, w in enumerate(DICTIONARY)}
 _FROM_MARK = {m: w for w, m in _TO_MARK.items()}
-_MARKED = re.compile("[-]")
-_EXPAND = re.compile("([-])(?)")
+_MARKED = re.compile(f"[{chr(_FIRST)}-{_AS_IS}]")
+_EXPAND = re.compile(f"([{chr(_FIRST)}-{chr(_FIRST + 0xEF)}])({_CAPITAL})?")
 _CORE = re.compile(r"^([!-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)$")
 
 
@@ -104,9 +104,11 @@ def _mark(m: re.Match) -> str:
 
 def compress_text(text: str | None) -> str | None:
     """Dictionary words as single characters; code fences, inline code and tokens like paths stay. Text that holds a
-    marker already is returned as it is, so that expanding always gives the input back."""
-    if text is None or _MARKED.search(text):
-        return text
+    marker already is kept as it is behind a mark of its own, so that expanding always gives the input back."""
+    if text is None:
+        return None
+    if _MARKED.search(text):
+        return _AS_IS + text
     out, fenced = [], False
     for line in text.split("\n"):
         if line.lstrip().startswith("```"):
@@ -120,6 +122,8 @@ def compress_text(text: str | None) -> str | None:
 def expand_text(text: str | None) -> str | None:
     if text is None:
         return None
+    if text.startswith(_AS_IS):
+        return text[1:]
     return _EXPAND.sub(lambda m: (w.capitalize() if m.group(2) else w) if (w := _FROM_MARK.get(m.group(1))) else m.group(), text)
 
 

@@ -54,7 +54,7 @@ def _python(path: str, text: str) -> list[tuple]:
                 if test:
                     out.append(("test", me, None, child.name.removeprefix("test_") or None, None, None, None))
                 if is_type:
-                    out += [("inherit", None, None, b.id, None, None, child.name) for b in child.bases if isinstance(b, ast.Name)]
+                    out.extend(("inherit", None, None, b.id, None, None, child.name) for b in child.bases if isinstance(b, ast.Name))
                 visit(child, owner if is_type else me, is_type)
                 continue
             if isinstance(child, ast.Call):
