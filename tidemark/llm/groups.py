@@ -68,8 +68,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(child[at : at + 50_000], pa.string()), pa.array(parent[at : at + 50_000], pa.string())], names=["child", "parent"])
 
 
-def _local(edges: DataFrame, partitions: int, key: str) -> DataFrame:
-    placed = edges.coalesce(1) if partitions == 1 else edges.repartition(partitions, key)
+def _local(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    placed = edges.coalesce(1) if partitions == 1 else edges.repartition(partitions, *keys)
     return placed.mapInArrow(_forest, _STAR)
 
 
@@ -98,17 +98,18 @@ def linked_groups(pairs: DataFrame, a: str, b: str, edges_per_partition: int = E
     edges = pairs.select(F.greatest(x, y).alias("child"), F.least(x, y).alias("parent")).where(x.isNotNull() & y.isNotNull() & (x != y))
     edges = materialize(edges, "pairs")
     n = edges.count()
-    key = "child"
+    # edges of one hub are spread at first; in a forest every child has at most one edge per partition before it
+    keys = ("child", "parent")
     while True:
         parts = max(1, math.ceil(n / edges_per_partition))
-        forest = materialize(_local(edges, parts, key), "forest")
+        forest = materialize(_local(edges, parts, *keys), "forest")
         if parts == 1:
             break
         left = forest.count()
         if left > edges_per_partition and left > 0.7 * n:
             forest = _contract(forest, max(2, math.ceil(left / edges_per_partition)))
             break
-        edges, n, key = forest, left, "parent" if key == "child" else "child"
+        edges, n, keys = forest, left, ("child",)
     roots = forest.select("parent").distinct()
     return forest.select(F.col("parent").alias("group_id"), F.col("child").alias("member_id")).distinct().unionByName(
         roots.select(F.col("parent").alias("group_id"), F.col("parent").alias("member_id"))
