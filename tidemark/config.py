@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+import re
+import tomllib
+from dataclasses import dataclass, field, fields, is_dataclass, replace
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -76,3 +80,32 @@ class Config:
 
 
 DEFAULTS = Config()
+
+
+def interpolate(value: Any, env: dict[str, str] | None = None) -> Any:
+    """``{ env.X }`` in strings, lists and tables replaced by the variable, an unset one by nothing."""
+    env = dict(os.environ) if env is None else env
+    if isinstance(value, str):
+        return re.sub(r"\{\s*env\.(\w+)\s*\}", lambda m: env.get(m.group(1), ""), value)
+    if isinstance(value, list):
+        return [interpolate(v, env) for v in value]
+    if isinstance(value, dict):
+        return {k: interpolate(v, env) for k, v in value.items()}
+    return value
+
+
+def merged(base: Any, changes: dict[str, Any]) -> Any:
+    """A settings object with the given values; sections are merged, arrays replaced, unknown keys ignored."""
+    known = {f.name for f in fields(base)}
+    out = {}
+    for k, v in changes.items():
+        if k in known:
+            old = getattr(base, k)
+            out[k] = merged(old, v) if is_dataclass(old) and isinstance(v, dict) else tuple(v) if isinstance(v, list) else v
+    return replace(base, **out)
+
+
+def load(path: str, env: dict[str, str] | None = None) -> Config:
+    """Defaults changed by a TOML file."""
+    with open(path, "rb") as f:
+        return merged(DEFAULTS, interpolate(tomllib.load(f), env))

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def vector_of_bytes(c: pd.Series) -> pd.Series:
+    """Vectors stored as little-endian 32-bit floats; null and lengths that are no multiple of four give null."""
+    return c.map(lambda b: np.frombuffer(b, "<f4").tolist() if b is not None and len(b) % 4 == 0 else None)
 
 
 def _sum(c: Column) -> Column:
@@ -75,7 +84,8 @@ def backoff_seconds(attempts: Column, base: int = 10, cap: int = 6) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    """Between 0 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 def jaccard(shared: Column, size_a: Column, size_b: Column) -> Column:
