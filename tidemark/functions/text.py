@@ -14,7 +14,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, repeated ones too; null gives an empty array."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def query_tokens(query: str) -> list[str]:

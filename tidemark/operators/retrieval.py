@@ -15,6 +15,7 @@ from tidemark.functions.scoring import days_between, final_score, recency, rrf_t
 from tidemark.functions.text import tokens
 from tidemark.operators.traverse import expand
 from tidemark.operators.vectors import nearest
+from tidemark.session import materialize
 
 K1, B = 1.2, 0.75
 
@@ -47,7 +48,7 @@ def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(rows: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: int | None = None) -> DataFrame:
@@ -61,6 +62,7 @@ def bm25(rows: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: i
     counted = words.select("id", F.size("w").alias("length"), *[_times("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
         return counted.select("id", F.lit(0.0).alias("score")).limit(0)
+    counted = materialize(counted, "term-counts")  # numbers alone; the texts are read once
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

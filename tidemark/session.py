@@ -17,6 +17,7 @@ def build_session(app: str = "tidemark", cpus: int | str = "*", **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
     } | {k.replace("__", "."): v for k, v in conf.items()}
