@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import garble
 from tidemark.llm.boosting import BoostedTrees, best_threshold
-from tidemark.llm.pii import PersonalModel, made_texts, personal_spans, redacted
+from tidemark.llm.pii import PersonalModel, common_words, made_texts, personal_spans, redacted
 from tidemark.llm.spans import candidates, measures
 from tidemark.llm.truncation import cut_report, cut_scores
 
@@ -110,3 +110,16 @@ def test_garbled_rows(spark):
     fixed = {r.doc_id: r for r in garble.restored_texts(df, "doc_id", "text").collect()}
     assert fixed[100].restored == clean and fixed[101].restored == "ok\nPrüfung künftig\nok" and fixed[110].restored == clean and fixed[107].n_lost == 1
     assert garble.garbled_rows(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_common_family_names():
+    common = COMMON | {"tassmereux", "cold"}
+    model = PersonalModel([f + "." for f in FILLER] * 20, common, made=1000)
+    for text, name in (("Approved by Nadia Tassmereux in the meeting.", "Nadia Tassmereux"), ("Reviewer: Thomas Cold (a1b2c3d4).", "Thomas Cold"), ("nadia tassmereux asked us to wait.", "nadia tassmereux")):
+        assert ("name", name) in values(model, text), text
+
+
+def test_copies_make_no_word_common(spark):
+    texts = ["Approved by Mirela Tassmereux."] * 300 + [f"the cache number {i}" for i in range(300)]
+    common = common_words(spark.createDataFrame([(t,) for t in texts], "text string"), 1000)
+    assert "tassmereux" not in common and "tassmereux" in common.often and "cache" in common
