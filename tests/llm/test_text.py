@@ -123,3 +123,8 @@ def test_copies_make_no_word_common(spark):
     texts = ["Approved by Mirela Tassmereux."] * 300 + [f"the cache number {i}" for i in range(300)]
     common = common_words(spark.createDataFrame([(t,) for t in texts], "text string"), 1000)
     assert "tassmereux" not in common and "tassmereux" in common.often and "cache" in common
+
+
+def test_common_streets_have_addresses():
+    spans = candidates("Office: Ashcombegasse 12, 70173 Dunwick", COMMON | {"office", "ashcombegasse"})
+    assert any(s.kind == "address" and s.start == 8 for s in spans)
