@@ -12,7 +12,7 @@ from tidemark.llm.groups import linked_groups
 from tidemark.llm.neardup import member_pairs, similar_texts, text_classes
 from tidemark.llm.packing import RoomTree, fill_containers, fill_report, first_fit_decreasing
 from tidemark.llm.tokens import TOKENIZERS, BytePairs, encode_corpus, read_ranks
-from tidemark.llm.vectors import hilbert_keys, nearest, neighbour_pairs
+from tidemark.llm.vectors import borders, hilbert_keys, nearest, neighbour_pairs
 
 
 def components(pairs):
@@ -192,3 +192,27 @@ def test_containers(spark):
         report = fill_report(placed, 2048).first()
         assert report.fullest <= 2048 and report.n_containers >= math.ceil(report.n_units / 2048)
     assert fill_containers(df.limit(0), "doc_id", "size", 2048).count() == 0
+
+
+def test_nearest_in_a_hot_bucket(spark):
+    rng = np.random.default_rng(8)
+    close = rng.normal(size=384) + 0.02 * rng.normal(size=(6000, 5)) @ rng.normal(size=(5, 384))
+    v = np.concatenate([close, rng.normal(size=(6000, 384))])
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:05}", x.tolist()) for i, x in enumerate(v)], "id string, v array<float>")
+    got = {}
+    for r in nearest(df, "id", "v", 384, k=5).collect():
+        got.setdefault(int(r.a_id[1:]), set()).add(int(r.b_id[1:]))
+    exact = v.astype(np.float64)
+    hit = 0
+    for i in range(0, 6000, 20):
+        s = exact @ exact[i]
+        s[i] = -9
+        hit += len(got[i] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert hit / (300 * 5) > 0.9
+
+
+def test_borders_have_margins():
+    keys = [bytes([i]) for i in range(100)]
+    assert borders(keys, 4, 10) == [(keys[a - 10], keys[a], keys[a + 10]) for a in (25, 50, 75)]
+    assert borders(keys, 1, 10) == [] and borders(keys, 2, 60) == [(b"", keys[50], b"\xff")]

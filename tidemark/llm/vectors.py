@@ -7,6 +7,7 @@ whole vectors. The curves' best neighbours are merged and ranked again.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,11 @@ from tidemark.session import materialize
 #: Curves, rows looked at on either side of each row, and the bound of the sample that principal directions are fitted on.
 CURVES, REACH, SAMPLE = 5, 300, 8192
 #: Directions that a curve orders by, bits of each, and principal directions they are turned in.
-CURVE_DIMS, CURVE_BITS, POOL = 8, 6, 32
+CURVE_DIMS, CURVE_BITS, POOL = 8, 12, 32
+#: Leading bits that make a cell, and the part of the sample in one cell from which it is ordered by its own directions.
+CELL_BITS, FULL_CELL = 6, 64
+#: Rows whose keys are looked at to set the borders of partitions.
+KEYS = 65_536
 #: Vector values that a partition of a curve holds, about; of rows of 384 values these are 20 000.
 PARTITION_VALUES = 8_000_000
 
@@ -60,32 +65,72 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections of the curves; fitted on a bounded sample, applied to every row."""
+    """Projections of the curves; fitted on a bounded sample, applied to every row.
+
+    Cells that hold much of the sample (many close vectors) are ordered inside by principal directions of their own.
+    """
 
     def __init__(self, sample: np.ndarray, curves: int, seed: int = 7):
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-        _, _, axes = np.linalg.svd(sample - self.mean, full_matrices=False)
-        axes = axes[: min(POOL, len(axes))]
         rng = np.random.default_rng(seed)
-        self.turns = []
-        for _ in range(curves):
-            turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0][:, :CURVE_DIMS]
-            m = axes.T @ turn
-            at = (sample - self.mean) @ m
-            low, high = (np.quantile(at, 0.001), np.quantile(at, 0.999)) if len(at) else (0.0, 1.0)
-            self.turns.append((m, low, max(high - low, 1e-9), rng.uniform(0, 1, size=m.shape[1])))
-
-    def keys(self, unit: np.ndarray) -> list[list[bytes]]:
-        """For each curve the key of every row, led by the curve's number."""
+        self.mean, self.turns = _turns(sample, curves, rng)
+        self.cells: list[dict[bytes, tuple]] = [{} for _ in self.turns]
+        least = max(2 * POOL, len(sample) // FULL_CELL)
+        for no, turn in enumerate(self.turns):
+            cell = _hilbert(sample - self.mean, turn)[:, :CELL_BITS]
+            kinds, of, n = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(n >= least):
+                mean, (inner,) = _turns(sample[of.ravel() == k], 1, rng)
+                self.cells[no][kinds[k].tobytes()] = (mean, inner)
+
+    def keys(self, unit: np.ndarray, numbers: np.ndarray) -> list[list[bytes]]:
+        """For each curve the key of every row, led by the curve's number; equal places are in another order each time."""
         centred = unit - self.mean
         found = []
-        for no, (m, low, width, shift) in enumerate(self.turns):
-            z = np.clip(((centred @ m - low) / width + shift) / 2, 0, 1 - 1e-9) * (1 << CURVE_BITS)
-            k = hilbert_keys(z, CURVE_BITS)
-            found.append([bytes([no]) + row.tobytes() for row in k])
+        for no, turn in enumerate(self.turns):
+            k = _hilbert(centred, turn)
+            inside = k.copy()
+            if self.cells[no]:
+                cell = np.array([row.tobytes() for row in k[:, :CELL_BITS]], dtype=object)
+                for full, (mean, inner) in self.cells[no].items():
+                    mine = cell == full
+                    if mine.any():
+                        inside[mine] = _hilbert(unit[mine] - mean, inner)
+            mixed = (numbers.astype(np.uint64) + np.uint64(no + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * no)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            last = (mixed ^ (mixed >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(-1, 8)
+            found.append([bytes([no]) + row.tobytes() for row in np.concatenate([k[:, :CELL_BITS], inside, last], axis=1)])
         return found
 
 
+def _turns(sample: np.ndarray, curves: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple]]:
+    """The sample's mean, and for each curve a projection with its range and shift."""
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
+    _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
+    axes = axes[: min(POOL, len(axes))]
+    turns = []
+    for _ in range(curves):
+        turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0][:, :CURVE_DIMS]
+        m = axes.T @ turn
+        at = (sample - mean) @ m
+        low, high = (np.quantile(at, 0.001), np.quantile(at, 0.999)) if len(at) else (0.0, 1.0)
+        turns.append((m, low, max(high - low, 1e-9), rng.uniform(0, 1, size=m.shape[1])))
+    return mean, turns
+
+
+def _hilbert(centred: np.ndarray, turn: tuple) -> np.ndarray:
+    m, low, width, shift = turn
+    z = np.clip(((centred @ m - low) / width + shift) / 2, 0, 1 - 1e-9) * (1 << CURVE_BITS)
+    return hilbert_keys(z, CURVE_BITS)
+
+
+def borders(keys: list[bytes], parts: int, margin: int) -> list[tuple[bytes, bytes, bytes]]:
+    """Keys that cut sorted ``keys`` into ``parts``: each with the keys ``margin`` places before and after it."""
+    n = len(keys)
+    at = sorted({n * i // parts for i in range(1, parts)} - {0})
+    return [(keys[max(0, i - margin)] if i >= margin else b"", keys[i], keys[i + margin] if i + margin < n else b"\xff") for i in at]
+
+
 def _unit(column: pa.Array, size: int) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     rows = flat.reshape(-1, size).astype(np.float64)
@@ -143,29 +188,68 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5
     seen = np.stack([np.frombuffer(x, np.float16) for x in taken]).astype(np.float64) if len(taken) else np.zeros((0, size))
     fitted = spark.sparkContext.broadcast(Curves(seen, curves if len(seen) else 0))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # borders of the partitions from the keys of a sample; rows near one go to both sides, so no window is cut
+    part = min(1.0, KEYS / max(n, 1))
+    some = (classes if part == 1 else classes.sample(withReplacement=False, fraction=part, seed=12)).select("no", "h")
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[list[bytes]]]:
+        numbers = batch.column(0).to_numpy(zero_copy_only=False)
+        if not batch.num_rows:
+            return numbers, []
+        unit = np.stack([np.frombuffer(x, np.float16) for x in batch.column(1).to_pylist()]).astype(np.float64)
+        return numbers, fitted.value.keys(unit, numbers)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = np.stack([np.frombuffer(x, np.float16) for x in batch.column(1).to_pylist()]).astype(np.float64) if batch.num_rows else np.zeros((0, size))
-            for keys in fitted.value.keys(unit):
-                yield pa.record_batch([pa.array(keys, pa.binary()), batch.column(0), batch.column(1)], names=["key", "no", "h"])
+            for keys in read(batch)[1]:
+                yield pa.record_batch([pa.array(keys, pa.binary())], names=["key"])
+
+    parts = max(1, -(-n * size // PARTITION_VALUES))
+    by_curve: list[list[bytes]] = [[] for _ in range(curves)]
+    if parts > 1:
+        for key in some.mapInArrow(keyed, "key binary").toArrow().column(0).to_pylist():
+            by_curve[key[0]].append(key)
+    # half as many again as the reach, and some more for a thin sample
+    margin = int(np.ceil(1.5 * reach * part)) + 3
+    cuts = spark.sparkContext.broadcast([borders(sorted(keys), parts, margin) for keys in by_curve])
 
-    parts = max(1, -(-n * curves * size // PARTITION_VALUES))
-    placed = classes.select("no", "h").mapInArrow(place, "key binary, no long, h binary")
-    # the row's number splits keys that very many rows share
-    ordered = placed.repartitionByRange(parts, "key", "no").sortWithinPartitions("key", "no")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, every = read(batch)
+            for c, keys in enumerate(every):
+                before, at, after = ([x[k] for x in cuts.value[c]] for k in range(3))
+                row, where, own = [], [], []
+                for r, key in enumerate(keys):
+                    home = bisect_right(at, key)
+                    # partitions whose margin reaches over this key: those begin before it and end after it
+                    first, final = min(bisect_right(after, key), home), max(bisect_right(before, key), home)
+                    for w in range(first, final + 1):
+                        row.append(r)
+                        where.append(c * parts + w)
+                        own.append(w == home)
+                taken = pa.array(row, pa.int32())
+                yield pa.record_batch([pa.array(where, pa.int32()), pa.array(keys, pa.binary()).take(taken), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(own, pa.bool_())], names=["part", "key", "no", "h", "own"])
+
+    placed = classes.select("no", "h").mapInArrow(place, "part int, key binary, no long, h binary, own boolean")
+    ordered = placed.repartitionById(parts * curves, F.col("part")).sortWithinPartitions("part", "key")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, no, vec = [], [], []
+        where, no, vec, own = [], [], [], []
         for batch in batches:
-            curve += [x[0] for x in batch.column(0).to_pylist()]
-            no.append(batch.column(1).to_numpy(zero_copy_only=False))
-            vec.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, size))
-        if not curve:
+            where.append(batch.column(0).to_numpy(zero_copy_only=False))
+            no.append(batch.column(2).to_numpy(zero_copy_only=False))
+            vec.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float16).reshape(-1, size))
+            own.append(batch.column(4).to_numpy(zero_copy_only=False))
+        if not where:
             return
-        which, numbers, vectors = np.array(curve), np.concatenate(no), np.concatenate(vec).astype(np.float32)
-        for c in np.unique(which):
-            mine = which == c
-            a, b, s = _neighbours(numbers[mine], vectors[mine], k, reach)
+        which, numbers, vectors, mine = np.concatenate(where), np.concatenate(no), np.concatenate(vec).astype(np.float32), np.concatenate(own)
+        for w in np.unique(which):
+            here = which == w
+            # rounding to 16 bits changes lengths by as much as close vectors differ
+            unit = vectors[here] / np.linalg.norm(vectors[here], axis=1, keepdims=True)
+            a, b, s = _neighbours(numbers[here], unit, k, reach)
+            keep = np.isin(a, numbers[here & mine])
+            a, b, s = a[keep], b[keep], s[keep]
             for at in range(0, len(a), 100_000):
                 yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (a, b, s.astype(np.float32))], names=["a", "b", "score"])
 
