@@ -128,3 +128,13 @@ def test_copies_make_no_word_common(spark):
 def test_common_streets_have_addresses():
     spans = candidates("Office: Ashcombegasse 12, 70173 Dunwick", COMMON | {"office", "ashcombegasse"})
     assert any(s.kind == "address" and s.start == 8 for s in spans)
+
+
+def test_garbled_hot_source(spark):
+    russian = "проверка кэша завершена, очередь пуста"
+    rows = [(i, f"{russian} {i}") for i in range(40)] + [(100 + i, f"{russian} {i}".encode("cp1251").decode("koi8-r")) for i in range(20)]
+    once = "Łódź różnych"
+    rows += [(200, once), (201, once.encode("iso8859-2").decode("cp1252"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in garble.garbled_rows(df, "doc_id", "text").collect()} == {*range(100, 120), 201}
+    assert {r.restored for r in garble.restored_texts(df, "doc_id", "text").where("doc_id > 100").collect()} == {f"{russian} {i}" for i in range(1, 20)} | {once}

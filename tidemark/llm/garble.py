@@ -2,18 +2,19 @@
 
 Every distinct word of the corpus is garbled under all chains of a wrong reading; a word of the corpus that equals such
 a form is joined to its original by hash. A match counts as it stands where the form is one that no language writes
-(several characters for one), and else only if the original is clearly commoner and the line has further evidence.
+(several characters for one) or no word has, while its original is plausible; else the words of its line decide together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import heavy_keys, lookup_join
@@ -112,29 +113,38 @@ def _looks_broken(word: str) -> bool:
     return bool(_BROKEN.search(word)) or bool(_LATIN.search(word) and _CYRILLIC.search(word)) or bool(_LATIN.search(word) and _GREEK.search(word))
 
 
+def _plausible(word: str) -> bool:
+    """A word as it is written: of one script, letters only beyond ASCII, and no capital after a small letter."""
+    return not (_looks_broken(word) or _NO_LETTER.search(word) or _TURNED.search(word))
+
+
+_NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}\p{M}\p{Pd}\p{Pi}\p{Pf}]")
+_TURNED = regex.compile(r"(?<!\p{Lu})\p{Ll}\p{Lu}")
 _BROKEN = regex.compile(r"[\x80-\x9f-─-▟]")
 _LATIN, _CYRILLIC, _GREEK = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Greek}")
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """``id, line, word`` of every line; ``word`` is null where the line has lost characters (U+FFFD)."""
+    """``id, line, word, lost, of`` of every line, ``of`` so many words; ``word`` is null where the line has lost characters (U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            no, line, word, broken = [], [], [], []
+            no, line, word, broken, of = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None or text.isascii():
                     continue
                 for k, row in enumerate(text.split("\n")):
-                    for w in dict.fromkeys(words_of(row)):
+                    words = dict.fromkeys(words_of(row))
+                    for w in words:
+                        of.append(len(words))
                         no.append(i)
                         line.append(k)
                         word.append(w)
                         broken.append("�" in w)
-            yield pa.record_batch([pa.array(no, batch.column(0).type), pa.array(line, pa.int32()), pa.array(word, pa.string()), pa.array(broken, pa.bool_())], names=["id", "line", "word", "lost"])
+            yield pa.record_batch([pa.array(no, batch.column(0).type), pa.array(line, pa.int32()), pa.array(word, pa.string()), pa.array(broken, pa.bool_()), pa.array(of, pa.int32())], names=["id", "line", "word", "lost", "of"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, line int, word string, lost boolean")
+    return rows.mapInArrow(run, f"id {kind}, line int, word string, lost boolean, of int")
 
 
 def _hash(word: str) -> int:
@@ -142,9 +152,10 @@ def _hash(word: str) -> int:
 
 
 def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
-    """``word, original, chain, strong`` of the distinct garbled words: one row per word, its commonest original.
+    """``word, original, chain, strong, firm, lean`` of the distinct garbled words: one row per word, its commonest original.
 
-    A single character needs a chain of several characters for one. ``strong`` words are evidence by themselves.
+    A single character needs a chain of several characters for one. ``strong`` words are evidence by themselves, ``firm``
+    ones beside another, the others only as part of a whole line; ``lean`` says how much commoner the original is (log 2).
     """
     counts = materialize(tokens.where(~F.col("lost")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
 
@@ -178,20 +189,25 @@ def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
                 if garbled(o, every[no]) != w:
                     continue  # two words of one hash
                 certain = sure(every[no]) and len(w) > len(o)
-                if not certain and (m < ratio * n or len(w) < 2):
+                if not certain and len(w) < 2:
                     continue
-                keep.append((w, o, no, certain or (len(w) >= 4 and (_looks_broken(w) or m >= 10 * ratio * n)), m))
+                odd = not certain and not _plausible(w)
+                if not certain and not odd and not _plausible(o):
+                    continue  # the other way round
+                odd = odd and _plausible(o)
+                strong = certain or (len(w) >= 4 and (odd or (m >= ratio * n and _looks_broken(w)) or m >= 10 * ratio * n))
+                keep.append((w, o, no, strong, certain or odd or m >= ratio * n, math.log2(m / n), m))
             if keep:
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*keep, strict=True), kinds, strict=True)], names=["word", "original", "chain", "strong", "m"])
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.float64(), pa.int64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*keep, strict=True), kinds, strict=True)], names=["word", "original", "chain", "strong", "firm", "lean", "m"])
 
-    checked = met.mapInArrow(verify, "word string, original string, chain int, strong boolean, m long")
-    best = F.max(F.struct("strong", "m", "original", "chain")).alias("b")
-    return checked.groupBy("word").agg(best).select("word", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), F.col("b.strong").alias("strong"))
+    checked = met.mapInArrow(verify, "word string, original string, chain int, strong boolean, firm boolean, lean double, m long")
+    best = F.max(F.struct("strong", "firm", "m", "original", "chain", "lean")).alias("b")
+    return checked.groupBy("word").agg(best).select("word", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), F.col("b.strong").alias("strong"), F.col("b.firm").alias("firm"), F.col("b.lean").alias("lean"))
 
 
 def _evidence(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line, word, original, chain, strong, lost`` of the garbled words of every line."""
+    """``id, line, word, original, chain, strong, firm, lean, lost, of`` of the garbled words of every line."""
     given = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     tokens = materialize(_tokens(given), "tokens")
     table = materialize(garbled_words(tokens), "garbled")
@@ -199,19 +215,33 @@ def _evidence(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hot = heavy_keys(per_word, "word", "n")
     # inner part of the left join: only words of the table stay
     hits = lookup_join(tokens.where(~F.col("lost")), table, "word", hot).where(F.col("original").isNotNull())
-    gone = tokens.where("lost").select("id", "line", "word", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"), F.lit(True).alias("strong"), "lost")
-    return hits.select("id", "line", "word", "original", "chain", "strong", "lost").unionByName(gone)
+    gone = tokens.where("lost").select("id", "line", "word", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"), F.lit(True).alias("strong"), F.lit(True).alias("firm"), F.lit(0.0).alias("lean"), "lost", "of")
+    return hits.select("id", "line", "word", "original", "chain", "strong", "firm", "lean", "lost", "of").unionByName(gone)
+
+
+#: How much commoner the originals of a line's words have to be on average (log 2) where none is evidence by itself.
+LEAN = 0.5
+
+
+def _passages(words: DataFrame, weak_words: int, *more: Column) -> DataFrame:
+    """The lines that count, with their number of words: one strong word, several firm ones, or most words by one chain."""
+    lines = words.groupBy("id", "line").agg(
+        F.max("strong").alias("strong"), F.countDistinct(F.when(F.col("firm"), F.col("word"))).alias("n_firm"), F.countDistinct("word").alias("n"),
+        F.countDistinct("chain").alias("n_chains"), F.avg("lean").alias("lean"), F.max("of").alias("of"), *more,
+    )
+    together = (F.col("n") >= weak_words) & (F.col("n_chains") == 1) & (2 * F.col("n") >= F.col("of")) & (F.col("lean") >= LEAN)
+    return lines.where(F.col("strong") | (F.col("n_firm") >= weak_words) | together)
 
 
 def garbled_rows(rows: DataFrame, id_col: str, text_col: str, weak_words: int = 2) -> DataFrame:
     """``<id_col>, n_words, n_lines``: one row per id with a garbled passage, regainable or not.
 
-    A line counts if it has a strong word, a lost character (U+FFFD), or ``weak_words`` different weak words. What is
+    A line counts if it has a strong word, a lost character (U+FFFD), or ``weak_words`` different firm words, or if one
+    chain takes so many and at least half of its words back to words that are commoner on the whole. What is
     quoted between backticks on one line is none. Null, empty and blank texts have no passage. A repeated id counts its
     rows together. Extra columns are ignored.
     """
-    lines = _evidence(rows, id_col, text_col).groupBy("id", "line").agg(F.max("strong").alias("strong"), F.countDistinct("word").alias("n"))
-    lines = lines.where(F.col("strong") | (F.col("n") >= weak_words))
+    lines = _passages(_evidence(rows, id_col, text_col), weak_words)
     return lines.groupBy("id").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_lines")).withColumnRenamed("id", id_col)
 
 
@@ -223,8 +253,7 @@ def restored_texts(rows: DataFrame, id_col: str, text_col: str, weak_words: int
     counted. Ids must be unique for a definite result.
     """
     words = _evidence(rows, id_col, text_col)
-    lines = words.groupBy("id", "line").agg(F.max("strong").alias("strong"), F.countDistinct("word").alias("n"), F.collect_set(F.struct("word", "original", "chain")).alias("words"))
-    lines = lines.where(F.col("strong") | (F.col("n") >= weak_words))
+    lines = _passages(words, weak_words, F.collect_set(F.struct("word", "original", "chain")).alias("words"))
     # a row's garbled words are part of the row itself, so this is no larger than the text
     per = lines.groupBy("id").agg(F.collect_list(F.struct("line", "words")).alias("lines"))
     given = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
