@@ -138,3 +138,11 @@ def test_garbled_hot_source(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in garble.garbled_rows(df, "doc_id", "text").collect()} == {*range(100, 120), 201}
     assert {r.restored for r in garble.restored_texts(df, "doc_id", "text").where("doc_id > 100").collect()} == {f"{russian} {i}" for i in range(1, 20)} | {once}
+
+
+def test_copies_of_a_cut_text_are_cut(spark):
+    rows = [(f"p{i}", f"The reader number {i} stopped at row {i * 7} because the cache was cold. It was started again with a limit of {i % 50} rows.", "a") for i in range(600)]
+    rows += [(f"c{i}", "The writer was moved because the old one lost rows. Nobody saw that the worker resta", "a") for i in range(300)]
+    rows += [(f"m{i}", f"Rows of kind {i} and {i * 3} and so on...", "a") for i in range(40)]
+    by = {r.id: r.probability for r in cut_scores(spark.createDataFrame(rows, "id string, text string, source string"), "id", "text", "source").collect()}
+    assert all(p > 0.5 for k, p in by.items() if k[0] == "c") and sum(p > 0.5 for k, p in by.items() if k[0] != "c") <= 6

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashed import HashedLogistic
@@ -23,8 +22,10 @@ from tidemark.session import materialize
 
 #: Bound of the labelled rows that the model is fitted on; words that can count as known; lengths that can count as limits.
 SAMPLE, KNOWN_WORDS, LIMITS = 8000, 30_000, 4000
-#: Texts of the sample that share their last three words before these count as an ending that was meant.
+#: Ways in which distinct texts go on to the same last three words before these count as an ending that was meant.
 SHARED_ENDING = 4
+#: Texts shorter than this, and held by at least one row in so many, are replies that were meant.
+SHORT, SHORT_SHARE = 40, 2000
 
 #: Marks that cutting programs leave.
 MARKS = ("...", "…", " ...", " …", "[...]", " [...]", " [cut]", " [truncated]", "[truncated]", " <snip>", " <truncated>", " (truncated)", " (+{n} chars)", " [+{n} chars]", " (+{n} more)", " [more]", " --More--")
@@ -152,8 +153,18 @@ def cut(text: str, rng: np.random.Generator, limits: list[int]) -> str | None:
     return None
 
 
-def _ending(text: str) -> str:
-    return " ".join(text[-60:].split()[-3:]).lower()
+def _last_words(text: Column) -> Column:
+    return F.split(F.rtrim(F.lower(F.right(text, F.lit(160)))), r"\s+")
+
+
+def _ending(words: Column) -> Column:
+    """The last three words."""
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
+
+
+def _lead(words: Column) -> Column:
+    """The words from the twelfth to the ninth from the end: what is before a last sentence that texts may share."""
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - 11, F.lit(1)), F.greatest(F.least(F.lit(4), F.size(words) - 3), F.lit(0))), " ")
 
 
 def _intact(text: str) -> bool:
@@ -173,14 +184,14 @@ def _brief(text: str) -> bool:
 
 
 class CutModel:
-    """Fitted on a bounded sample of (source, text); no text at all gives a model that finds nothing."""
+    """Fitted on a bounded sample of (source, text); no text at all gives a model that finds nothing. ``meant`` are the
+    texts of the sample whose ending is known to be intact, ``replies`` short intact ones with their weights."""
 
-    def __init__(self, sample: list[tuple[str, str]], limits: Limits, known: frozenset[str], seed: int = 17):
+    def __init__(self, sample: list[tuple[str, str]], limits: Limits, known: frozenset[str], meant: frozenset[str] = frozenset(), replies: list[tuple[str, str, int]] | None = None, seed: int = 17):
         self.limits, self.known = limits, known
         rng = np.random.default_rng(seed)
-        # a cut ends anywhere, so an ending that many texts share was meant
-        endings = Counter(_ending(t) for _, t in sample)
-        known_good = [(s, t) for s, t in sample if _intact(t) or _brief(t) or endings[_ending(t)] >= SHARED_ENDING]
+        known_good = [(s, t) for s, t in sample if _intact(t) or _brief(t) or t in meant]
+        known_good += [(s, t) for s, t, n in replies or [] for _ in range(n)]
         made = []
         for s, t in sample:
             if len(t) >= 60 and _intact(t):
@@ -222,6 +233,16 @@ def _known_words(rows: DataFrame, most: int) -> frozenset[str]:
     return frozenset(r["w"] for r in heavy_keys(words, "w", "n", most).collect())
 
 
+def _meant_endings(rows: DataFrame, endings: list[str]) -> frozenset[str]:
+    """Those of the endings that are meant. A cut ends anywhere, so an ending to which many texts go on in different ways
+    was meant; copies of one text, and texts alike before the ending, are one way. Counted over all rows."""
+    wanted = rows.sparkSession.createDataFrame([(e,) for e in endings], "ending string")
+    words = rows.select(_last_words(F.col("text")).alias("words"))
+    met = words.select(_ending(F.col("words")).alias("ending"), _lead(F.col("words")).alias("lead"))
+    ways = met.join(F.broadcast(wanted), "ending", "left_semi").distinct().groupBy("ending").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_ENDING)
+    return frozenset(r["ending"] for r in ways.collect())
+
+
 def cut_scores(rows: DataFrame, id_col: str, text_col: str, source_col: str, order_col: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """``id, source, probability``: one row per id whose text is neither null, empty nor blank.
 
@@ -235,12 +256,17 @@ def cut_scores(rows: DataFrame, id_col: str, text_col: str, source_col: str, ord
         (F.col(order_col) if order_col else F.lit(0)).alias("at"), F.col(source_col).cast("string").alias("given_source"),
     ).where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
     limits, known = _limits(given, LIMITS), _known_words(given, KNOWN_WORDS)
-    # the rows of smallest hash: a random sample that is the same each time; what is far above it stays with the executors
-    n = max(given.count(), 1)
-    bound = int(min(1.0, 1.2 * sample / n + 200 / n) * 2**31)
-    hashed = given.select("source", "text", F.pmod(F.xxhash64("id", "text"), F.lit(2**31)).alias("h")).where(F.col("h") < bound)
-    part = hashed.orderBy("h", "source", "text").limit(sample).select("source", "text").collect()
-    model = spark.sparkContext.broadcast(CutModel([(r["source"], r["text"]) for r in part], limits, known))
+    # the distinct texts of smallest hash: a random sample that is the same each time; what is far above it stays with the executors
+    n_rows, n = (max(x, 1) for x in given.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("text"))).first())
+    short = given.where(F.length("text") < SHORT).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source"))
+    replies = [(r["source"], r["text"], max(1, round(r["n"] * sample / n_rows))) for r in short.where(F.col("n") * SHORT_SHARE >= n_rows).where("n > 1").orderBy("text").collect()]
+    bound = int(min(1.0, 1.3 * sample / n + 200 / n) * 2**31)
+    hashed = given.select("source", "text", F.pmod(F.xxhash64("text"), F.lit(2**31)).alias("h")).where(F.col("h") < bound)
+    once = hashed.groupBy("h").agg(F.min(F.struct("text", "source")).alias("r"))
+    part = once.orderBy("h").limit(sample).select("r.source", "r.text", _ending(_last_words(F.col("r.text"))).alias("ending")).collect()
+    meant = _meant_endings(given, sorted({r["ending"] for r in part}))
+    fitted = CutModel([(r["source"], r["text"]) for r in part], limits, known, frozenset(r["text"] for r in part if r["ending"] in meant), replies)
+    model = spark.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
