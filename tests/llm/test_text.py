@@ -10,6 +10,7 @@ from tidemark.llm import garble
 from tidemark.llm.boosting import BoostedTrees, best_threshold
 from tidemark.llm.pii import PersonalModel, common_words, made_texts, personal_spans, redacted
 from tidemark.llm.spans import candidates, measures
+from tidemark.llm.truncation import _limits as limits_of
 from tidemark.llm.truncation import cut_report, cut_scores
 
 COMMON = frozenset("write to about it the from and is in at by asked us wait approved reviewer meeting call if again lives according file row number build tag passed did not".split())
@@ -146,3 +147,8 @@ def test_copies_of_a_cut_text_are_cut(spark):
     rows += [(f"m{i}", f"Rows of kind {i} and {i * 3} and so on...", "a") for i in range(40)]
     by = {r.id: r.probability for r in cut_scores(spark.createDataFrame(rows, "id string, text string, source string"), "id", "text", "source").collect()}
     assert all(p > 0.5 for k, p in by.items() if k[0] == "c") and sum(p > 0.5 for k, p in by.items() if k[0] != "c") <= 6
+
+
+def test_limits_of_a_small_source(spark):
+    rows = [("big", "x" * n) for n in range(40, 1040) for _ in range(50)] + [("small", "y" * 400)] * 12 + [("small", "y" * n) for n in range(500, 700)]
+    assert limits_of(spark.createDataFrame(rows, "source string, text string"), 4000).near("small", "c", 400) == "at"

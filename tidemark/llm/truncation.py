@@ -20,7 +20,7 @@ from tidemark.llm.hashed import HashedLogistic
 from tidemark.operators.skew import heavy_keys
 from tidemark.session import materialize
 
-#: Bound of the labelled rows that the model is fitted on; words that can count as known; lengths that can count as limits.
+#: Bound of the labelled rows that the model is fitted on; words that can count as known; lengths of one source that can count as limits.
 SAMPLE, KNOWN_WORDS, LIMITS = 8000, 30_000, 4000
 #: Ways in which distinct texts go on to the same last three words before these count as an ending that was meant.
 SHARED_ENDING = 4
@@ -217,8 +217,8 @@ def _limits(rows: DataFrame, most: int) -> Limits:
     around = counts.select("source", "kind", "n", "c", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("d"))
     near = around.where("d <> 0").select("source", "kind", (F.col("n") + F.col("d")).alias("n"), F.col("c").alias("o")).groupBy("source", "kind", "n").agg(F.sum("o").alias("others"))
     # the ten neighbours together hold less than this length alone would explain
-    total = counts.agg(F.sum("c").alias("t")).first()["t"] or 0
-    often = counts.where(F.col("c") * F.lit(most) >= F.lit(max(int(total), 1)))  # no more than ``most`` can be
+    total = counts.groupBy("source", "kind").agg(F.sum("c").alias("t"))
+    often = counts.join(total, ["source", "kind"]).where(F.col("c") * F.lit(most) >= F.col("t")).drop("t")  # no more than ``most`` of a source can be
     peaks = often.join(near, ["source", "kind", "n"], "left").withColumn("others", F.coalesce("others", F.lit(0))).where("c >= 8 AND c * 10 > 4 * others")
     found: dict[tuple[str, str], list[int]] = {}
     for r in peaks.collect():
