@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import garble
 from tidemark.llm.boosting import BoostedTrees, best_threshold
-from tidemark.llm.pii import PersonalModel, common_words, made_texts, personal_spans, redacted
-from tidemark.llm.spans import candidates, measures
+from tidemark.llm.made import made_texts
+from tidemark.llm.pii import PersonalModel, common_words, personal_spans, redacted
+from tidemark.llm.spans import GIVEN, CommonWords, candidates, measures
 from tidemark.llm.truncation import _limits as limits_of
 from tidemark.llm.truncation import cut_report, cut_scores
 
@@ -39,7 +40,7 @@ def test_decoys(model):
 
 def test_held_out_accuracy(model):
     hit = wrong = missed = 0
-    for text, truth in made_texts([], 60, seed=99):
+    for text, truth, *_ in made_texts([], 60, seed=99):
         got = {(s.kind, s.start, s.end) for s, _ in model.select([text])[0]}
         hit, wrong, missed = hit + len(got & truth), wrong + len(got - truth), missed + len(truth - got)
     assert hit / (hit + wrong) > 0.85 and hit / (hit + missed) > 0.85
@@ -56,7 +57,7 @@ def test_spans_and_redaction(spark, model):
 
 def test_measures_have_one_length_per_kind():
     seen = {}
-    for text, _ in made_texts(FILLER, 30):
+    for text, *_ in made_texts(FILLER, 30):
         for s in candidates(text, COMMON):
             seen.setdefault(s.kind, set()).add(len(measures(text, s, COMMON)))
     assert all(len(n) == 1 for n in seen.values())
@@ -114,7 +115,8 @@ def test_garbled_rows(spark):
 
 
 def test_common_family_names():
-    common = COMMON | {"tassmereux", "cold"}
+    common = CommonWords(COMMON | {"tassmereux", "cold"})
+    common.given = GIVEN | {"nadia"}  # as learned from a corpus that says it often
     model = PersonalModel([f + "." for f in FILLER] * 20, common, made=1000)
     for text, name in (("Approved by Nadia Tassmereux in the meeting.", "Nadia Tassmereux"), ("Reviewer: Thomas Cold (a1b2c3d4).", "Thomas Cold"), ("nadia tassmereux asked us to wait.", "nadia tassmereux")):
         assert ("name", name) in values(model, text), text
