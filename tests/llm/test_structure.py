@@ -154,6 +154,26 @@ def test_compatible_pairs(bpe, a, b):
         assert bool(bpe.compatible(np.array([a]), np.array([b]))[0]) == (whole == [a, b])
 
 
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6), st.integers(1, 4000), st.sampled_from(["ab", "abcdefghijklmnopqrstuvwxyz", "ACGT", "éßжи日", "the"]))
+def test_long_words_equal_the_library(bpe, reference, seed, n, letters):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(letters) for _ in range(n))
+    want = reference.encode(text, add_special_tokens=False).ids
+    assert bpe.encode([text])[0] == want and bpe.exact(text.encode()) == want
+
+
+def test_a_million_letters_without_a_space(bpe, reference):
+    import time
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(1_000_000))
+    start = time.time()
+    got = bpe.encode([text])[0]
+    assert time.time() - start < 30
+    assert got == reference.encode(text, add_special_tokens=False).ids and text not in bpe.words
+
+
 def test_corpus(spark, bpe, reference):
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, "  \n"), (5, "<|endoftext|>"), (6, "x" * 100_000), (1, "again"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))

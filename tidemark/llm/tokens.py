@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the published split pattern of the byte-level vocabularies.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words whose ids a worker keeps, and their length in characters: longer ones are encoded each time.
+CACHE, CACHED_LENGTH = 400_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -56,22 +57,38 @@ class BytePairs:
         self.merge_keys, self.merge_ranks = merges[order], two[order]
 
     def exact(self, word: bytes, below: int | None = None) -> list[int]:
-        """Byte-pair merging, lowest rank first, leftmost first; with ``below`` only merges of lower rank."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        top = len(self.tokens) if below is None else below
-        ranks = [self.rank.get(parts[i] + parts[i + 1], top) for i in range(len(parts) - 1)]
-        while ranks:
-            low = min(ranks)
-            if low >= top:
-                break
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i > 0:
-                ranks[i - 1] = self.rank.get(parts[i - 1] + parts[i], top)
-            if i < len(ranks):
-                ranks[i] = self.rank.get(parts[i] + parts[i + 1], top)
-        return [self.rank[p] for p in parts]
+        """Byte-pair merging, lowest rank first, leftmost first; with ``below`` only merges of lower rank.
+
+        Parts are linked, and possible merges wait in a heap: n log n for a word of n bytes, however long it is.
+        """
+        n, top = len(word), len(self.tokens) if below is None else below
+        look, tokens = self.rank.get, self.tokens
+        part = [self.rank[word[i : i + 1]] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = []
+        for i in range(n - 1):
+            r = look(word[i : i + 2], top)
+            if r < top:
+                waiting.append((r, i, part[i], part[i + 1]))
+        heapify(waiting)
+        while waiting:
+            r, i, x, y = heappop(waiting)
+            j = after[i]
+            if part[i] != x or j >= n or part[j] != y:
+                continue  # one of both parts has been merged since
+            part[i], part[j] = r, -1
+            k = after[i] = after[j]
+            h = before[i]
+            if k < n:
+                before[k] = i
+                t = look(tokens[r] + tokens[part[k]], top)
+                if t < top:
+                    heappush(waiting, (t, i, r, part[k]))
+            if h >= 0:
+                t = look(tokens[part[h]] + tokens[r], top)
+                if t < top:
+                    heappush(waiting, (t, h, part[h], r))
+        return [p for p in part if p >= 0]
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -145,7 +162,11 @@ class BytePairs:
             if len(self.words) < known:  # the cache was emptied
                 self.learn(list({w for ws in split for w in ws} - self.words.keys()))
         look = self.words
-        return [[i for w in ws for i in look[w]] for ws in split]
+        found = [[i for w in ws for i in look[w]] for ws in split]
+        for w in unseen:
+            if len(w) > CACHED_LENGTH:
+                del look[w]
+        return found
 
 
 _LOADED: dict[str, BytePairs] = {}
