@@ -18,14 +18,16 @@ def heavy_keys(counts: DataFrame, key: str, n: str, share: int = HEAVY_SHARE) ->
     return counts.where(F.col(n) * F.lit(share) >= F.lit(max(int(total), 1))).select(key)
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Left join of ``rows`` with ``lookup`` (one row per key) on ``key``.
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame, only_met: bool = False) -> DataFrame:
+    """Left join of ``rows`` with ``lookup`` (one row per key) on ``key``; with ``only_met`` an inner join.
 
     ``heavy`` (a bounded list of keys, see :func:`heavy_keys`) is broadcast twice: its rows meet their lookup records
-    where they lie, and only the rows of other keys are shuffled. Null keys keep null lookup columns.
+    where they lie, and only the rows of other keys are shuffled - not even those where the planner knows ``lookup`` to
+    be small. Null keys keep null lookup columns.
     """
+    how = "inner" if only_met else "left"
     marked = rows.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
     few = lookup.join(F.broadcast(heavy), key, "left_semi")
-    hot = marked.where(F.col("__heavy")).drop("__heavy").join(F.broadcast(few), key, "left")
-    cold = marked.where(F.col("__heavy").isNull()).drop("__heavy").join(lookup.hint("merge"), key, "left")
+    hot = marked.where(F.col("__heavy")).drop("__heavy").join(F.broadcast(few), key, how)
+    cold = marked.where(F.col("__heavy").isNull()).drop("__heavy").join(lookup if only_met else lookup.hint("merge"), key, how)
     return hot.unionByName(cold)
