@@ -236,3 +236,25 @@ def test_borders_have_margins():
     keys = [bytes([i]) for i in range(100)]
     assert borders(keys, 4, 10) == [(keys[a - 10], keys[a], keys[a + 10]) for a in (25, 50, 75)]
     assert borders(keys, 1, 10) == [] and borders(keys, 2, 60) == [(b"", keys[50], b"\xff")]
+
+
+def test_sparse_chains_stay_in_bounded_partitions(spark, monkeypatch):
+    """As many keys as edges, far more than one partition holds: forests never shrink much, partitions stay bounded."""
+    from tidemark.llm import groups
+
+    plain = groups._peel
+
+    def counted(batches):
+        held = list(batches)
+        n = sum(b.num_rows for b in held)
+        assert n <= 3 * 2000
+        yield from plain(iter(held))
+
+    monkeypatch.setattr(groups, "_peel", counted)
+    chains = spark.range(10_000).select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "id")
+    pairs = chains.select(F.concat(F.lit("c"), F.lpad("id", 6, "0"), F.lit("-"), "k").alias("a"), F.concat(F.lit("c"), F.lpad("id", 6, "0"), F.lit("-"), F.col("k") + 1).alias("b"))
+    path = spark.range(3000).select(F.concat(F.lit("p"), F.lpad("id", 6, "0")).alias("a"), F.concat(F.lit("p"), F.lpad(F.col("id") + 1, 6, "0")).alias("b"))
+    got = linked_groups(pairs.unionByName(path), "a", "b", 2000)
+    sizes = {r.group_id: r.n for r in got.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(sizes) == 10_001 and sizes.pop("p000000") == 3001 and set(sizes.values()) == {4} and all(k.endswith("-0") for k in sizes)
+    assert got.count() == got.distinct().count()

@@ -1,8 +1,11 @@
 """Groups of records linked directly or through others, from pairwise matches.
 
-Union-find runs inside bounded edge partitions and keeps only their spanning forests, as stars around the smallest key.
-Forests are merged level by level into fewer partitions, each still bounded. Where forests stop shrinking although they
-do not fit one bounded partition (as many vertices as edges), they are contracted by joins instead, to the same result.
+Union-find runs inside bounded edge partitions and keeps only their spanning forests, as stars around one key. Forests
+are merged level by level into fewer partitions. Where a forest is no smaller than the edges it came from (as many keys
+as edges, more than one partition holds), the merging goes on by key: each key's edges meet in the partition of its hash;
+a key that is no parent leaves the graph with a pointer to a parent, its parents being joined in its place, and only the
+forest of what stays goes up. Levels shrink geometrically and every partition stays bounded; pointers are then followed
+down again.
 """
 
 from __future__ import annotations
@@ -10,7 +13,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,49 +30,92 @@ EDGES_PER_PARTITION = 1_000_000
 _STAR = "child string, parent string"
 
 
+def roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Union-find over the edges ``x[i] - y[i]`` of the keys 0 .. n-1, all edges at a time: the smallest key of each tree.
+
+    In each round the greater root of every open edge is hung below the smaller one, and all paths are compressed.
+    """
+    up = np.arange(n)
+    while len(x):
+        a, b = up[x], up[y]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = up[up]
+            if np.array_equal(above, up):
+                break
+            up = above
+        still = up[x] != up[y]
+        x, y = x[still], y[still]
+    return up
+
+
+def _coded(x: pa.ChunkedArray, y: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Both ends as numbers in the order of their keys, and the keys."""
+    both = pa.chunked_array([*x.chunks, *y.chunks], pa.string())
+    codes, names = pd.factorize(both.to_pandas())
+    names = pa.array(names, pa.string())
+    order = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[codes]
+    return codes[: len(x)], codes[len(x) :], names.take(pa.array(order))
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    held = list(batches)
+    return pa.Table.from_batches(held) if held else None
+
+
+def _star(child: pa.Array, parent: pa.Array) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(child), 50_000):
+        yield pa.record_batch([child.slice(at, 50_000), parent.slice(at, 50_000)], names=["child", "parent"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the edges of one partition: every key but the smallest of its tree, with that smallest key."""
-    code: dict[str, int] = {}
-    names: list[str] = []
-    up: list[int] = []
-    weight: list[int] = []
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            roots = []
-            for k in (x, y):
-                i = code.get(k)
-                if i is None:
-                    i = code[k] = len(names)
-                    names.append(k)
-                    up.append(i)
-                    weight.append(1)
-                while up[i] != i:
-                    up[i] = up[up[i]]
-                    i = up[i]
-                roots.append(i)
-            i, j = roots
-            if i != j:
-                if weight[i] < weight[j]:
-                    i, j = j, i
-                up[j] = i
-                weight[i] += weight[j]
-    least: dict[int, str] = {}
-    top: list[int] = []
-    for i, k in enumerate(names):
-        r = i
-        while up[r] != r:
-            up[r] = up[up[r]]
-            r = up[r]
-        top.append(r)
-        if r not in least or k < least[r]:
-            least[r] = k
-    child, parent = [], []
-    for k, r in zip(names, top, strict=True):
-        if k != least[r]:
-            child.append(k)
-            parent.append(least[r])
-    for at in range(0, len(child), 50_000):
-        yield pa.record_batch([pa.array(child[at : at + 50_000], pa.string()), pa.array(parent[at : at + 50_000], pa.string())], names=["child", "parent"])
+    held = _table(batches)
+    if held is None:
+        return
+    x, y, names = _coded(held.column(0), held.column(1))
+    up = roots(x, y, len(names))
+    below = np.flatnonzero(up != np.arange(len(names)))
+    yield from _star(names.take(pa.array(below)), names.take(pa.array(up[below])))
+
+
+def _turn(names: pa.Array) -> np.ndarray:
+    """A mixed order of keys, the same everywhere: no way of naming keys makes long descents."""
+    return np.array([xxhash.xxh64_intdigest(k) for k in names.to_pylist()], np.uint64)
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One level within the keys of one partition. In: ``child, parent`` at the child's home, and ``key, null`` for every
+    key that is a parent somewhere. Out: pointers of leaving keys (``leaves``), and the forest of what stays."""
+    held = _table(batches)
+    if held is None:
+        return
+    stays = held.filter(pc.is_null(held.column(1))).column(0)
+    held = held.filter(pc.is_valid(held.column(1)))
+    if not held.num_rows:
+        return
+    x, y, names = _coded(held.column(0), held.column(1))
+    kept = pc.is_in(names, value_set=stays.combine_chunks()).to_numpy(zero_copy_only=False)
+    turn = _turn(names)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(turn, kind="stable")] = np.arange(len(names))
+    # a leaving key joins its parents: the first of them takes the others
+    first = np.full(len(names), -1)
+    order = np.argsort(-rank[y], kind="stable")
+    first[x[order]] = y[order]
+    gone = np.unique(x[~kept[x]])
+    a = np.where(kept[x], x, first[x])
+    up = roots(rank[a], rank[y], len(names))
+    back = np.argsort(rank)
+    used = np.unique(np.concatenate([a, y]))
+    top = back[up[rank[used]]]
+    moved = used != top
+    for child, parent, leaves in ((gone, first[gone], True), (used[moved], top[moved], False)):
+        for b in _star(names.take(pa.array(child)), names.take(pa.array(parent))):
+            yield pa.record_batch([*b.columns, pa.array([leaves] * b.num_rows, pa.bool_())], names=["child", "parent", "leaves"])
 
 
 def _local(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
@@ -73,18 +123,37 @@ def _local(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
     return placed.mapInArrow(_forest, _STAR)
 
 
-def _contract(forest: DataFrame, partitions: int) -> DataFrame:
-    """Stars around roots of a forest too large for one partition: pointer jumping by joins, with parents of the same
-    child merged by union-find between the jumps. Depth halves in each round."""
-    while True:
-        forest = materialize(_local(forest, partitions, "child"), "forest")
-        up = forest.groupBy("child").agg(F.min("parent").alias("above")).withColumnRenamed("child", "parent")
-        heavy = heavy_keys(forest.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", "n")
-        jumped = materialize(lookup_join(forest, up, "parent", heavy), "jumped")
-        open_ends = jumped.where(F.col("above").isNotNull()).limit(1).count()
-        forest = jumped.select("child", F.coalesce("above", "parent").alias("parent"))
-        if not open_ends and not forest.groupBy("child").agg(F.min("parent").alias("a"), F.max("parent").alias("b")).where("a <> b").limit(1).count():
-            return forest
+def _turned(edges: DataFrame) -> DataFrame:
+    """Edges with the end that comes first in the mixed order as parent; the order is that of :func:`_turn`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            swap = pa.array(_turn(batch.column(0)) < _turn(batch.column(1)))
+            x, y = batch.column(0), batch.column(1)
+            yield pa.record_batch([pc.if_else(swap, y, x), pc.if_else(swap, x, y)], names=["child", "parent"])
+
+    return edges.mapInArrow(run, _STAR)
+
+
+def _merged_by_key(forest: DataFrame, n: int, bound: int) -> DataFrame:
+    """``member, root`` of every key of a forest that no single partition holds; roots are members of themselves."""
+    edges, levels = materialize(_turned(forest), "turned"), []
+    while n > bound:
+        parents = edges.select(F.col("parent").alias("child"), F.lit(None).cast("string").alias("parent")).distinct()
+        parts = max(2, math.ceil(2 * n / bound))
+        level = materialize(edges.unionByName(parents).repartition(parts, "child").mapInArrow(_peel, _STAR + ", leaves boolean"), "level")
+        levels.append(level.where("leaves").drop("leaves"))
+        edges = level.where("NOT leaves").drop("leaves")
+        n = edges.count()
+    top = materialize(_local(edges, 1), "top")
+    found = top.select(F.col("child").alias("member"), F.col("parent").alias("root")).distinct()
+    for pointers in reversed(levels):
+        heavy = heavy_keys(pointers.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", "n")
+        below = lookup_join(pointers, found.withColumnRenamed("member", "parent"), "parent", heavy)
+        below = below.select(F.col("child").alias("member"), F.coalesce("root", "parent").alias("root"))
+        found = materialize(found.unionByName(below), "found")
+    ends = found.select(F.col("root").alias("member"), "root").distinct()
+    return found.unionByName(ends)
 
 
 def linked_groups(pairs: DataFrame, a: str, b: str, edges_per_partition: int = EDGES_PER_PARTITION) -> DataFrame:
@@ -104,13 +173,15 @@ def linked_groups(pairs: DataFrame, a: str, b: str, edges_per_partition: int = E
         parts = max(1, math.ceil(n / edges_per_partition))
         forest = materialize(_local(edges, parts, *keys), "forest")
         if parts == 1:
-            break
+            return forest.select(F.col("parent").alias("group_id"), F.col("child").alias("member_id")).unionByName(
+                forest.select(F.col("parent").alias("group_id"), F.col("parent").alias("member_id")).distinct()
+            )
         left = forest.count()
         if left > edges_per_partition and left > 0.7 * n:
-            forest = _contract(forest, max(2, math.ceil(left / edges_per_partition)))
             break
         edges, n, keys = forest, left, ("child",)
-    roots = forest.select("parent").distinct()
-    return forest.select(F.col("parent").alias("group_id"), F.col("child").alias("member_id")).distinct().unionByName(
-        roots.select(F.col("parent").alias("group_id"), F.col("parent").alias("member_id"))
-    )
+    found = materialize(_merged_by_key(forest, left, edges_per_partition), "members")
+    groups = found.groupBy("root").agg(F.min("member").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups, "groups")
+    named = lookup_join(found, groups.drop("n"), "root", heavy_keys(groups, "root", "n"))
+    return named.select("group_id", F.col("member").alias("member_id"))
