@@ -79,12 +79,27 @@ def test_near_duplicates_equal_brute_force(spark):
         (n, a), (m, b) = shingles(s), shingles(t)
         if p == q and min(n, m) >= 6 and a and b and len(a & b) / len(a | b) >= 0.5:
             want.add((x, y))
-    for bits in (21, 2):  # a sketch that tells nothing apart loses nothing
+    for bits, list_part in ((21, 16_384), (2, 16_384), (2, 7), (21, 1)):  # a sketch that tells nothing apart loses nothing, nor do split lists
         texts, members = text_classes(df, "id", "text", "block", "at")
-        got = [tuple(r) for r in member_pairs(similar_texts(texts, 3, 0.5, 6, sketch_bits=bits), members, texts, 6).collect()]
+        got = [tuple(r) for r in member_pairs(similar_texts(texts, 3, 0.5, 6, sketch_bits=bits, list_part=list_part), members, texts, 6).collect()]
         assert set(got) == want and len(got) == len(want)
 
 
+def test_links_and_expansion_of_large_classes(spark, monkeypatch):
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "EXPANDED", 3)
+    members = spark.createDataFrame([(f"x{i}", 1) for i in range(10)] + [(f"y{i}", 2) for i in range(4)] + [("z", 3)], "id string, no long")
+    texts = spark.createDataFrame([(n, "p", "some words here") for n in (1, 2, 3)], "no long, block string, text string")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 1, 0.8)], "a_no long, b_no long, similarity double")
+    got = [tuple(r) for r in member_pairs(pairs, members, texts).collect()]
+    ids = {1: [f"x{i}" for i in range(10)], 2: [f"y{i}" for i in range(4)], 3: ["z"]}
+    want = {tuple(sorted(p)) for n in ids for p in itertools.combinations(ids[n], 2)} | {tuple(sorted((x, y))) for a, b in ((1, 2), (3, 1)) for x in ids[a] for y in ids[b]}
+    assert set(got) == want and len(got) == len(want)
+    links = {r.id: (r.n_copies, r.n_links) for r in neardup.text_links(pairs, members).collect()}
+    assert links["x3"] == (9, 2) and links["y0"] == (3, 1) and links["z"] == (0, 1)
+
+
 def test_near_duplicates_of_nothing(spark):
     texts, members = text_classes(spark.createDataFrame([], "id string, text string, block string"), "id", "text", "block")
     assert member_pairs(similar_texts(texts, 5, 0.8), members, texts).count() == 0

@@ -2,8 +2,9 @@
 
 A text is its set of word sequences (shingles). Two texts of similarity t or more share at least T of them. As in
 DivideSkip, each text's shingles are divided: the longest inverted lists, those of its L most frequent shingles, are
-skipped, the short ones are merged and occurrences counted. What occurs fewer than T - L times in the short lists is
-out; for the rest the skipped shingles are probed in the other text's sorted array, which gives the exact similarity.
+skipped. The short ones are partitioned by shingle, hot ones split, and within each task all lists of a text
+are merged and occurrences counted. What occurs fewer than T - L times in the short lists is out; for the rest sorted
+lists of the candidates are built and probed by binary search, which gives the exact similarity.
 Equal texts are one class throughout, so that copies meet once.
 """
 
@@ -20,55 +21,79 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import heavy_keys
+from tidemark.operators.skew import heavy_keys, lookup_join
 from tidemark.session import materialize
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: What orders shingles by rarity, and its bounds: counters of a sketch (two to this power), that all shingles of all
 #: texts are counted into, and commonest words told apart where the sketch says the same.
 SKETCH_BITS, FREQUENT_WORDS = 21, 50_000
-#: Distinct words a worker remembers.
-CACHE = 500_000
+#: Distinct words a worker remembers, texts whose shingles are computed together, and pairs that are counted together.
+CACHE, TOGETHER, COUNTED = 500_000, 1000, 4_000_000
+#: Texts of an inverted list that one task holds; longer lists are split.
+LIST_PART = 16_384
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class Shingler:
-    """Shingles of texts as 64-bit numbers, with their rarity."""
+    """Shingles of texts as 64-bit numbers, with how common their words are; whole batches at a time."""
 
     def __init__(self, width: int, frequent: dict[str, int] | None = None):
         self.width, self.frequent = width, frequent or {}
-        self.seen: dict[str, tuple[int, float]] = {}
-
-    def _word(self, w: str) -> tuple[int, float]:
-        found = self.seen.get(w)
-        if found is None:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            found = self.seen[w] = (xxhash.xxh64_intdigest(w), math.log(self.frequent.get(w, 1)))
-        return found
-
-    def of(self, text: str, block: str = "", least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct shingles, and for each how common its words are; none for fewer words than the width or than
-        ``least_words``.
+        self.code: dict[str, int] = {}
+        self.number = np.zeros(1024, np.uint64)
+        self.common = np.zeros(1024)
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        known = self.code
+        new = set(words) - known.keys()
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = set(words)
+            at = len(known)
+            while len(self.number) < at + len(new):
+                self.number, self.common = np.concatenate([self.number, np.zeros_like(self.number)]), np.concatenate([self.common, np.zeros_like(self.common)])
+            for w in new:
+                known[w] = at
+                self.number[at] = xxhash.xxh64_intdigest(w)
+                self.common[at] = math.log(self.frequent.get(w, 1))
+                at += 1
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def batch(self, blocks: list[str], texts: list[str], least_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``owner, key, common`` of the distinct shingles of all texts, in the order of owner and key; no shingles for
+        fewer words than the width or than ``least_words``.
 
         A shingle's number also depends on the block, so that only texts of the same block have any in common.
         """
-        words = WORD.findall(text.lower())
+        words: list[str] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            found = WORD.findall(t.lower())
+            if len(found) >= max(self.width, least_words):
+                words += found
+                sizes[i] = len(found)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        code = self._codes(words)
+        number, common = self.number[code], self.common[code]
         n = len(words) - self.width + 1
-        if n < 1 or len(words) < least_words:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found = [self._word(w) for w in words]
-        number = np.array([f[0] for f in found], np.uint64)
-        common = np.array([f[1] for f in found])
-        mixed = np.full(n, xxhash.xxh64_intdigest(block), np.uint64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        mixed = np.array([xxhash.xxh64_intdigest(b) if k else 0 for b, k in zip(blocks, sizes, strict=True)], np.uint64)[owner[:n]]
         total = np.zeros(n)
         for k in range(self.width):
             mixed = (mixed ^ number[k : k + n]) * _ODD[k % len(_ODD)]
             mixed ^= mixed >> np.uint64(29)
             total += common[k : k + n]
-        keys, first = np.unique(mixed.view(np.int64), return_index=True)
-        return keys, total[first]
+        whole = owner[:n] == owner[self.width - 1 :]
+        owner, key, total = owner[:n][whole], mixed.view(np.int64)[whole], total[whole]
+        order = np.lexsort((key, owner))
+        owner, key, total = owner[order], key[order], total[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        return owner[first], key[first], total[first]
 
 
 def _hashed(df: DataFrame, *columns: str) -> list:
@@ -112,20 +137,21 @@ def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> np.ndarray:
     """How common shingles are, by the leading bits of their numbers: logarithms of counts over all texts, as bytes.
 
-    Each task sums up its counters, tasks are summed up in levels, and the driver gets a fixed number of bytes.
+    Each task sums up its counters, tasks are summed up in levels, and the driver gets one array of fixed size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(width), np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            found = [shingler.of(t, b, least_words)[0] for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            if found:
-                total += np.bincount(_counter(np.concatenate(found), bits), minlength=1 << bits).astype(np.uint64)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                keys = shingler.batch(part.column(0).to_pylist(), part.column(1).to_pylist(), least_words)[1]
+                total += np.bincount(_counter(keys, bits), minlength=1 << bits).astype(np.uint64)
         yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counters"])
 
     parts = texts.rdd.getNumPartitions()
     sums = texts.select("block", "text").mapInArrow(count, "counters binary")
-    while parts > 32:
+    while parts > 1:
         parts = -(-parts // 32)
         sums = sums.repartition(parts).mapInArrow(_sum_counters, "counters binary")
     total = np.zeros(1 << bits, np.uint64)
@@ -138,7 +164,7 @@ def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, frequent_words: int = FREQUENT_WORDS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, frequent_words: int = FREQUENT_WORDS, sketch_bits: int = SKETCH_BITS, list_part: int = LIST_PART) -> DataFrame:
     """``a_no, b_no, similarity`` of the pairs of different texts of one block whose shingle sets have a Jaccard
     similarity of at least ``threshold``. ``texts``: ``no, block, text`` from :func:`text_classes`.
 
@@ -154,33 +180,43 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width, words.value)
-        for batch in batches:
-            h, no, size, role = [], [], [], []
-            for i, block, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                keys, common = shingler.of(text, block, least_words)
-                n = len(keys)
-                if n == 0:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                owner, keys, common = shingler.batch(batch.column(1).to_pylist(), batch.column(2).to_pylist(), least_words)
+                if not len(keys):
                     continue
+                n = np.bincount(owner, minlength=batch.num_rows)
                 # of two similar texts the larger has at least ceil(t n) in common with the other, the smaller at least
                 # ceil(2 t n / (1 + t)): so many shingles are left out by each, the rarest remain
-                probe = n - math.ceil(threshold * n - 1e-9) + 1
-                index = n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-                order = np.lexsort((keys, common, sketch.value[_counter(keys, sketch_bits)]))[:probe]
-                h.append(keys[order])
-                no.append(np.full(len(order), i))
-                size.append(np.full(len(order), n, np.int32))
-                role.append(np.arange(len(order)) < index)
-            if h:
-                yield pa.record_batch([pa.array(np.concatenate(h)), pa.array(np.concatenate(no)), pa.array((np.concatenate(size) * 2 + np.concatenate(role)).astype(np.int32))], names=["h", "no", "nr"])
-
-    entries = long.select("no", "block", "text").mapInArrow(lists, "h long, no long, nr int")
-    # inverted lists meet themselves; the roles are told apart in the join's condition, so that both sides are one exchange
-    a, b = entries.alias("a"), entries.alias("b")
-    a_n, b_n = F.shiftright("a.nr", 1), F.shiftright("b.nr", 1)
-    smaller = (a_n < b_n) | ((a_n == b_n) & (F.col("a.no") < F.col("b.no")))
-    fits = F.when(F.col("a.nr") % 2 == 1, smaller & (a_n >= F.ceil(F.lit(threshold) * b_n - 1e-9))).otherwise(F.col("b.nr") < 0)
-    meet = a.join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & fits).select(F.col("a.no").alias("a_no"), F.col("b.no").alias("b_no"), a_n.alias("a_n"), b_n.alias("b_n"))
-    counted = meet.groupBy("a_no", "b_no", "a_n", "b_n").agg(F.count(F.lit(1)).cast("int").alias("met"))
+                probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+                index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
+                held = sketch.value[_counter(keys, sketch_bits)]
+                order = np.lexsort((keys, common, held, owner))
+                owner, keys, held = owner[order], keys[order], held[order]
+                place = np.arange(len(keys)) - np.concatenate([[0], np.cumsum(n)])[owner]
+                short = place < probe[owner]
+                owner, keys, indexed, parts = owner[short], keys[short], (place < index[owner])[short], np.ceil(np.exp2(held[short] / 2.0) / list_part).astype(np.int64)
+                no = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+                # a long list is split: its texts go to one part each, whoever searches it to all
+                own = keys.view(np.uint64) ^ (no.astype(np.uint64) * _ODD[0])
+                piece = np.where(parts > 1, (own % parts.astype(np.uint64)).astype(np.int64), 0)
+                more = np.repeat(np.arange(len(keys)), parts - 1)
+                other = np.arange(len(more)) - np.repeat(np.cumsum(parts - 1) - (parts - 1), parts - 1)
+                other += other >= piece[more]
+                rows = np.concatenate([np.arange(len(keys)), more])
+                listed = np.concatenate([indexed, np.zeros(len(more), bool)])
+                yield pa.record_batch([pa.array(keys[rows]), pa.array(np.concatenate([piece, other]).astype(np.int32)), pa.array(no[rows]), pa.array((n[owner[rows]] * 2 + listed).astype(np.int32))], names=["h", "piece", "no", "nr"])
+
+    entries = long.select("no", "block", "text").mapInArrow(lists, "h long, piece int, no long, nr int")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from merged_lists(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(4)), threshold)
+
+    meet = entries.repartition(F.col("h"), F.col("piece")).mapInArrow(merge, "a_no long, b_no long, a_n int, b_n int, met int")
+    counted = meet.groupBy("a_no", "b_no", "a_n", "b_n").agg(F.sum("met").cast("int").alias("met"))
     # T - L: the text whose short lists end earlier in the order meets there all that both have, but for what it skipped
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     skipped = F.greatest(F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("a_n") - 1e-9), F.ceil(F.lit(threshold) * F.col("b_n") - 1e-9)) - 1
@@ -192,39 +228,118 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
 
     def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        held: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                similarity = probed(shingler, a, b, *(batch.column(k).to_pylist() for k in (2, 3, 4)))
+                keep = np.flatnonzero(similarity >= threshold)
+                yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep]), pa.array(similarity[keep])], names=["a_no", "b_no", "similarity"])
 
-        def of(no: int, block: str, text: str) -> np.ndarray:
-            if no not in held:
-                if len(held) > 2000:
-                    held.clear()
-                held[no] = shingler.of(text, block)[0]
-            return held[no]
+    return sides.select("a_no", "b_no", "block", "a_text", "b_text").mapInArrow(probe_all, "a_no long, b_no long, similarity double")
 
-        for batch in batches:
-            found = []
-            for x, y, block, s, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                p, q = of(x, block, s), of(y, block, t)
-                if len(q) < len(p):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int(np.count_nonzero(q[at] == p))
-                similarity = common / (len(p) + len(q) - common)
-                if similarity >= threshold:
-                    found.append((x, y, similarity))
-            if found:
-                yield pa.record_batch([pa.array(c) for c in zip(*found, strict=True)], names=["a_no", "b_no", "similarity"])
 
-    return sides.select("a_no", "b_no", "block", "a_text", "b_text").mapInArrow(probe_all, "a_no long, b_no long, similarity double")
+def merged_lists(h: np.ndarray, piece: np.ndarray, no: np.ndarray, nr: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """``a_no, b_no, a_n, b_n, met``: how many of one task's inverted lists have both texts, the smaller one first.
+
+    Lists are sorted by size, so that of each only the texts of a possible size are merged. All lists of a text are
+    merged at once: their concatenation is sorted, which merges runs, and equal ones are counted.
+    """
+    n = nr >> 1
+    # texts in the order of size, then number
+    first = np.unique(no, return_index=True)[1]
+    order = first[np.lexsort((no[first], n[first]))]
+    numbers, sizes = no[order], n[order]
+    by_no = np.argsort(numbers)
+    rank = by_no[np.searchsorted(numbers, no, sorter=by_no)]
+    many = len(numbers)
+    pair = np.lexsort((piece, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[pair][1:] != h[pair][:-1]) | (piece[pair][1:] != piece[pair][:-1])
+    group = np.empty(len(h), np.int64)
+    group[pair] = np.cumsum(new) - 1
+    listed = np.sort((group * many + rank)[(nr & 1) == 1])
+    query = np.argsort(rank, kind="stable")
+    group, rank = group[query], rank[query]
+    low = np.searchsorted(listed, group * many + np.searchsorted(sizes, np.ceil(threshold * sizes - 1e-9))[rank])
+    count = np.maximum(np.searchsorted(listed, group * many + rank) - low, 0)
+    some = count > 0
+    low, count, rank = low[some], count[some], rank[some]
+    ends = np.flatnonzero(np.diff(rank, append=-1))  # last list of each text
+    total = np.cumsum(count)
+    at = 0
+    while at < len(rank):
+        # as many whole texts as are counted together, one at least
+        done = ends[np.searchsorted(ends, at) :]
+        to = done[max(np.searchsorted(total[done], (total[at - 1] if at else 0) + COUNTED, side="right") - 1, 0)] + 1
+        c = count[at:to]
+        start = np.repeat(low[at:to] - (np.cumsum(c) - c), c)
+        a = listed[start + np.arange(len(start))] % many
+        both, met = np.unique(np.repeat(rank[at:to], c) * many + a, return_counts=True)
+        x, y = both % many, both // many
+        for k in range(0, len(x), 100_000):
+            i, j = x[k : k + 100_000], y[k : k + 100_000]
+            yield pa.record_batch([pa.array(numbers[i]), pa.array(numbers[j]), pa.array(sizes[i].astype(np.int32)), pa.array(sizes[j].astype(np.int32)), pa.array(met[k : k + 100_000].astype(np.int32))], names=["a_no", "b_no", "a_n", "b_n", "met"])
+        at = to
+
+
+def probed(shingler: Shingler, a: np.ndarray, b: np.ndarray, blocks: list[str], a_texts: list[str], b_texts: list[str]) -> np.ndarray:
+    """Similarity of candidate pairs: the inverted lists of the candidates ``a`` are built, sorted, and every shingle of
+    ``b`` is looked for in its list by binary search."""
+    once_a, first_a, of_a = np.unique(a, return_index=True, return_inverse=True)
+    once_b, first_b, of_b = np.unique(b, return_index=True, return_inverse=True)
+    owner_a, key_a, _ = shingler.batch([blocks[i] for i in first_a], [a_texts[i] for i in first_a])
+    owner_b, key_b, _ = shingler.batch([blocks[i] for i in first_b], [b_texts[i] for i in first_b])
+    n_a, n_b = np.bincount(owner_a, minlength=len(once_a)), np.bincount(owner_b, minlength=len(once_b))
+    keys, code = np.unique(key_a, return_inverse=True)
+    lists = np.sort(code * len(once_a) + owner_a)
+    found = np.searchsorted(keys, key_b)
+    there = keys[np.minimum(found, len(keys) - 1)] == key_b if len(keys) else np.zeros(len(key_b), bool)
+    start = np.concatenate([[0], np.cumsum(n_b)])
+    c = n_b[of_b]
+    at = np.repeat(start[of_b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+    pair = np.repeat(np.arange(len(a)), c)[there[at]]
+    at = at[there[at]]
+    wanted = found[at] * len(once_a) + of_a[pair]
+    hit = lists[np.minimum(np.searchsorted(lists, wanted), len(lists) - 1)] == wanted if len(lists) else np.zeros(0, bool)
+    common = np.bincount(pair[hit], minlength=len(a))
+    return common / np.maximum(n_a[of_a] + n_b[of_b] - common, 1)
+
+
+#: Members of a class that meet in one task when classes are expanded into pairs of ids.
+EXPANDED = 2000
+
+
+def text_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, no, n_copies, n_links``: one row per id with its class of equal texts, the other ids of it, and the other
+    classes it is similar to. Nothing is expanded."""
+    sizes = members.groupBy("no").agg((F.count(F.lit(1)) - 1).alias("n_copies"))
+    ends = pairs.select(F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_no").alias("no")))
+    links = ends.groupBy("no").agg(F.count(F.lit(1)).alias("n_links"))
+    each = sizes.join(links, "no", "left").select("no", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return lookup_join(members, each, "no", heavy_keys(sizes, "no", "n_copies")).select("id", "no", "n_copies", "n_links")
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame, texts: DataFrame, least_words: int = 0) -> DataFrame:
-    """``a_id, b_id`` (a_id < b_id) of all ids whose texts are the same or a pair of :func:`similar_texts`."""
-    x, y = members.select(F.col("no").alias("a_no"), F.col("id").alias("x")), members.select(F.col("no").alias("b_no"), F.col("id").alias("y"))
-    several = pairs.join(x, "a_no").join(y, "b_no").select("x", "y")
+    """``a_id, b_id`` (a_id < b_id) of all ids whose texts are the same or a pair of :func:`similar_texts`.
+
+    This is as many rows as there are pairs of ids. Large classes are salted: each part of a class's members meets the
+    class once more in a task of its own.
+    """
+    numbered = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+    sizes = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = sizes.select("no", "n", F.ceil(F.col("n") / EXPANDED).cast("int").alias("parts"))
     counts = texts.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= max(least_words, 1)).select("no")
-    shared = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(counts, "no", "left_semi").select("no")
-    own = members.join(shared, "no", "left_semi")
-    same = own.select("no", F.col("id").alias("x")).join(own.select("no", F.col("id").alias("y")), "no").where("x < y").select("x", "y")
+    shared = parts.join(counts, "no", "left_semi")
+    own = numbered.join(shared, "no").select("no", "id", F.pmod("part", "parts").alias("part"), "parts")
+    again = own.select("no", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"))
+    same = own.select("no", F.col("id").alias("x"), F.col("part").cast("bigint").alias("part")).join(again, ["no", "part"]).where("x < y").select("x", "y")
+    # between two classes the members of the first are salted, as many times as it is large
+    linked = pairs.select("a_no", "b_no")
+    split = linked.join(parts.select(F.col("no").alias("a_no"), "parts"), "a_no", "left").select("a_no", "b_no", F.coalesce("parts", F.lit(1)).alias("parts"))
+    split = split.select("a_no", "b_no", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = numbered.join(parts.select("no", "parts"), "no", "left").select(F.col("no").alias("a_no"), F.col("id").alias("x"), F.pmod("part", F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    y = members.select(F.col("no").alias("b_no"), F.col("id").alias("y"))
+    several = split.join(x, ["a_no", "part"]).join(y, "b_no").select("x", "y")
     both = several.unionByName(same)
     return both.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).where("a_id <> b_id")
