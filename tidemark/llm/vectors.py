@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5
     """``a_id, b_id, score``: for each id with a usable vector up to ``k`` other ids of greatest cosine.
 
     Ids are strings compared as they are; null ids and unusable vectors (null, other length, not finite, all zero) are
-    left out. A repeated id counts once (its greatest vector). Equal vectors are one class: its members are neighbours of
+    left out. A repeated id counts once (one of its vectors, the same each time). Vectors of equal direction are one class: its members are neighbours of
     each other with score 1, the smaller id first, however many they are, and share their other neighbours. Ties go to
     the smaller id. Some loss is accepted: a neighbour far away on every curve is missed. Extra columns are ignored; no
     rows give no rows. ``sample`` bounds only the rows that the projection is fitted on; every row is indexed.
@@ -172,16 +173,16 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(batch.column(1), size).astype(np.float16)
-            packed = pa.array([r.tobytes() for r in unit], pa.binary())
-            yield pa.record_batch([batch.column(0), packed], names=["id", "h"])
-
-    halves = ok.mapInArrow(pack, "id string, h binary")
-    once = halves.groupBy("id").agg(F.max("h").alias("h"))
-    # a class per distinct vector; no more members than can be anybody's neighbours travel with it
-    slim = once.withColumn("__rank", F.lit(0)).select("id", "h")
-    classes = slim.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("no"), "h", "first", "n")
-    classes = materialize(classes, "vector-classes")
+            unit = _unit(batch.column(1), size)
+            exact = [r.tobytes() for r in unit.astype(np.float32)]
+            keys = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in exact], np.uint64).view(np.int64)) for seed in (0, 1)]
+            yield pa.record_batch([batch.column(0), *keys, pa.array([r.tobytes() for r in unit.astype(np.float16)], pa.binary())], names=["id", "k1", "k2", "h"])
+
+    halves = ok.mapInArrow(pack, "id string, k1 long, k2 long, h binary")
+    once = halves.groupBy("id").agg(F.max(F.struct("k1", "k2", "h")).alias("v")).select("id", "v.k1", "v.k2", "v.h")
+    # a class per distinct direction in whole precision, told by 128 bits of hash: what only rounds alike stays apart
+    classes = once.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("no"), "k1", "k2", "h", "first", "n"), "vector-classes")
     n = classes.count()
     fraction = min(1.0, 1.5 * sample / max(n, 1))
     taken = classes.select("h").sample(withReplacement=False, fraction=fraction, seed=11).limit(sample).toPandas()["h"]
@@ -261,14 +262,14 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5
     if not classes.where("n > 1").limit(1).count():
         firsts = plain.select("no", "first")
         return best.join(firsts.select(F.col("no").alias("a"), F.col("first").alias("a_id")), "a").join(firsts.select(F.col("no").alias("b"), F.col("first").alias("b_id")), "b").select("a_id", "b_id", "score")
-    return _expanded(best, classes, slim, k)
+    return _expanded(best, classes, halves.groupBy("id").agg(F.max(F.struct("k1", "k2")).alias("v")).select("id", "v.k1", "v.k2"), k)
 
 
 def _expanded(best: DataFrame, classes: DataFrame, once: DataFrame, k: int) -> DataFrame:
     """Neighbours of every id from those of its class: at most ``k + 1`` smallest members of any class can be somebody's
     neighbours, and they are found without a window over the class."""
-    numbers = classes.select("no", "h", "n")
-    members = materialize(once.join(numbers, "h").select("no", "id", "n"), "vector-members")
+    numbers = classes.select("no", "k1", "k2", "n")
+    members = materialize(once.join(numbers, ["k1", "k2"]).select("no", "id", "n"), "vector-members")
     alone = members.where("n = 1").select("no", "id")
     # salted: a class may hold a third of all rows
     shared = members.where("n > 1").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
