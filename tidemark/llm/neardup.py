@@ -25,9 +25,8 @@ from tidemark.operators.skew import heavy_keys, lookup_join
 from tidemark.session import materialize
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: What orders shingles by rarity, and its bounds: counters of a sketch (two to this power), that all shingles of all
-#: texts are counted into, and commonest words told apart where the sketch says the same.
-SKETCH_BITS, FREQUENT_WORDS = 21, 50_000
+#: What orders shingles by rarity: counters of a sketch (two to this power), that all shingles of all texts are counted into.
+SKETCH_BITS = 21
 #: Distinct words a worker remembers, texts whose shingles are computed together, and pairs that are counted together.
 CACHE, TOGETHER, COUNTED = 500_000, 1000, 4_000_000
 #: Texts of an inverted list that one task holds; longer lists are split.
@@ -36,14 +35,22 @@ LIST_PART = 16_384
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
+_SPACED = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
+
+
+def words_of(text: str) -> list[str]:
+    """Maximal runs of letters and digits of the lower-cased text."""
+    low = text.lower()
+    return low.translate(_SPACED).split() if low.isascii() else WORD.findall(low)
+
+
 class Shingler:
-    """Shingles of texts as 64-bit numbers, with how common their words are; whole batches at a time."""
+    """Shingles of texts as 64-bit numbers, whole batches at a time."""
 
-    def __init__(self, width: int, frequent: dict[str, int] | None = None):
-        self.width, self.frequent = width, frequent or {}
+    def __init__(self, width: int):
+        self.width = width
         self.code: dict[str, int] = {}
         self.number = np.zeros(1024, np.uint64)
-        self.common = np.zeros(1024)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         known = self.code
@@ -54,16 +61,15 @@ class Shingler:
                 new = set(words)
             at = len(known)
             while len(self.number) < at + len(new):
-                self.number, self.common = np.concatenate([self.number, np.zeros_like(self.number)]), np.concatenate([self.common, np.zeros_like(self.common)])
+                self.number = np.concatenate([self.number, np.zeros_like(self.number)])
             for w in new:
                 known[w] = at
                 self.number[at] = xxhash.xxh64_intdigest(w)
-                self.common[at] = math.log(self.frequent.get(w, 1))
                 at += 1
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def batch(self, blocks: list[str], texts: list[str], least_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``owner, key, common`` of the distinct shingles of all texts, in the order of owner and key; no shingles for
+    def batch(self, blocks: list[str], texts: list[str], least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """``owner, key`` of the distinct shingles of all texts, in the order of owner and key; no shingles for
         fewer words than the width or than ``least_words``.
 
         A shingle's number also depends on the block, so that only texts of the same block have any in common.
@@ -71,29 +77,27 @@ class Shingler:
         words: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            found = WORD.findall(t.lower())
+            found = words_of(t)
             if len(found) >= max(self.width, least_words):
                 words += found
                 sizes[i] = len(found)
         if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code = self._codes(words)
-        number, common = self.number[code], self.common[code]
+        number = self.number[code]
         n = len(words) - self.width + 1
         owner = np.repeat(np.arange(len(texts)), sizes)
         mixed = np.array([xxhash.xxh64_intdigest(b) if k else 0 for b, k in zip(blocks, sizes, strict=True)], np.uint64)[owner[:n]]
-        total = np.zeros(n)
         for k in range(self.width):
             mixed = (mixed ^ number[k : k + n]) * _ODD[k % len(_ODD)]
             mixed ^= mixed >> np.uint64(29)
-            total += common[k : k + n]
         whole = owner[:n] == owner[self.width - 1 :]
-        owner, key, total = owner[:n][whole], mixed.view(np.int64)[whole], total[whole]
+        owner, key = owner[:n][whole], mixed.view(np.int64)[whole]
         order = np.lexsort((key, owner))
-        owner, key, total = owner[order], key[order], total[order]
+        owner, key = owner[order], key[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        return owner[first], key[first], total[first]
+        return owner[first], key[first]
 
 
 def _hashed(df: DataFrame, *columns: str) -> list:
@@ -113,15 +117,7 @@ def text_classes(rows: DataFrame, id_col: str, text_col: str, block_col: str, or
     texts = materialize(texts, "texts")
     keyed = given.select("id", "at", *_hashed(given, "block", "text"))
     members = keyed.groupBy("id").agg(F.max(F.struct("at", "k1", "k2")).alias("m")).select("id", "m.k1", "m.k2")
-    return texts, members.join(texts.select("no", *_hashed(texts, "block", "text")), ["k1", "k2"]).select("id", "no")
-
-
-def _frequent_words(texts: DataFrame, share: int) -> dict[str, int]:
-    """Words that make up at least one part in ``share`` of all (so there are no more than that), and in how many texts
-    they are; counted over all texts."""
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("w"))
-    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
-    return {r["w"]: r["n"] for r in counts.join(F.broadcast(heavy_keys(counts, "w", "n", share)), "w").collect()}
+    return texts, materialize(members.join(texts.select("no", *_hashed(texts, "block", "text")), ["k1", "k2"]).select("id", "no"), "members")
 
 
 def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +160,7 @@ def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, frequent_words: int = FREQUENT_WORDS, sketch_bits: int = SKETCH_BITS, list_part: int = LIST_PART) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: int = 0, sketch_bits: int = SKETCH_BITS, list_part: int = LIST_PART) -> DataFrame:
     """``a_no, b_no, similarity`` of the pairs of different texts of one block whose shingle sets have a Jaccard
     similarity of at least ``threshold``. ``texts``: ``no, block, text`` from :func:`text_classes`.
 
@@ -175,15 +171,14 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
     spark = texts.sparkSession
     # a text of n words has at least 2n - 1 characters: cheap to see before anything is read in detail
     long = texts.where(F.length(F.lower("text")) >= 2 * max(least_words, width) - 1)
-    words = spark.sparkContext.broadcast(_frequent_words(long, frequent_words))
     sketch = spark.sparkContext.broadcast(_sketch(long, width, least_words, sketch_bits))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width, words.value)
+        shingler = Shingler(width)
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(at, TOGETHER)
-                owner, keys, common = shingler.batch(batch.column(1).to_pylist(), batch.column(2).to_pylist(), least_words)
+                owner, keys = shingler.batch(batch.column(1).to_pylist(), batch.column(2).to_pylist(), least_words)
                 if not len(keys):
                     continue
                 n = np.bincount(owner, minlength=batch.num_rows)
@@ -192,7 +187,7 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
                 held = sketch.value[_counter(keys, sketch_bits)]
-                order = np.lexsort((keys, common, held, owner))
+                order = np.lexsort((keys, held, owner))
                 owner, keys, held = owner[order], keys[order], held[order]
                 place = np.arange(len(keys)) - np.concatenate([[0], np.cumsum(n)])[owner]
                 short = place < probe[owner]
@@ -288,8 +283,8 @@ def probed(shingler: Shingler, a: np.ndarray, b: np.ndarray, blocks: list[str],
     ``b`` is looked for in its list by binary search."""
     once_a, first_a, of_a = np.unique(a, return_index=True, return_inverse=True)
     once_b, first_b, of_b = np.unique(b, return_index=True, return_inverse=True)
-    owner_a, key_a, _ = shingler.batch([blocks[i] for i in first_a], [a_texts[i] for i in first_a])
-    owner_b, key_b, _ = shingler.batch([blocks[i] for i in first_b], [b_texts[i] for i in first_b])
+    owner_a, key_a = shingler.batch([blocks[i] for i in first_a], [a_texts[i] for i in first_a])
+    owner_b, key_b = shingler.batch([blocks[i] for i in first_b], [b_texts[i] for i in first_b])
     n_a, n_b = np.bincount(owner_a, minlength=len(once_a)), np.bincount(owner_b, minlength=len(once_b))
     keys, code = np.unique(key_a, return_inverse=True)
     lists = np.sort(code * len(once_a) + owner_a)
