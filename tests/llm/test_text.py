@@ -98,7 +98,7 @@ def test_cut_texts(spark):
 def test_chains_come_back(text, no):
     chain = garble.chains()[no]
     wrong = garble.garbled(text, chain)
-    if wrong is not None and wrong != text and chain[-1][0] != "controls":
+    if wrong is not None and wrong != text and chain[-1][0] != "controls" and not chain[-1][1].endswith("?"):
         back = garble.regained(wrong, chain)
         assert back is None or garble.garbled(back, chain) == wrong
 

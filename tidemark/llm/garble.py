@@ -24,9 +24,14 @@ from tidemark.session import materialize
 #: undefined bytes kept as control characters, as browsers read it.
 WRITTEN = ("utf-8", "web", "cp1250", "iso8859-2", "cp1251", "koi8-r", "shift_jis", "euc_jp", "mac_roman", "cp850", "cp437")
 READ = ("web", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "koi8-r", "mac_roman", "cp850", "cp437", "cp866", "cp1254", "gb18030")
-#: Readings that a text goes through twice.
+#: Readings that a text goes through twice, in any order of two.
 TWICE = ("web", "latin-1", "cp1251", "cp850", "cp437", "mac_roman", "cp1250")
 
+#: What stands for a character that could not be read.
+LOST = "\ufffd"
+#: Distinct words whose forms one task makes, about.
+WORDS = 20_000
+
 _SPACE = regex.compile(r"[ \t\r\n]+")
 _FENCED = regex.compile(r"`[^`\n]*`")
 _EDGE = regex.compile(r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
@@ -41,6 +46,8 @@ def _put(text: str, encoding: str) -> bytes:
 
 
 def _get(raw: bytes, encoding: str) -> str:
+    if encoding.endswith("?"):  # what cannot be read is replaced and lost
+        return raw.decode(encoding[:-1], "replace")
     if encoding != "web":
         return raw.decode(encoding)
     return "".join(_WEB_UP.get(b) or bytes([b]).decode("cp1252") for b in raw)
@@ -51,7 +58,8 @@ def chains() -> list[tuple[tuple[str, str], ...]]:
     """Every chain as steps (written in, read as); its index names it."""
     once = [((w, r),) for w in WRITTEN for r in READ if w != r and (w, r) not in (("web", "latin-1"), ("web", "iso8859-15"), ("web", "cp1254"))]
     lossy = [(("utf-8", r), ("controls", "dropped")) for r in ("latin-1", "web")]
-    return once + lossy + [(("utf-8", a), ("utf-8", b)) for a in TWICE for b in TWICE if a == b or {a, b} == {"web", "latin-1"}]
+    replaced = [((w, "utf-8?"),) for w in WRITTEN if w != "utf-8"] + [(("utf-8", "ascii?"),)]
+    return once + lossy + replaced + [(("utf-8", a), ("utf-8", b)) for a in TWICE for b in TWICE]
 
 
 def garbled(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
@@ -70,7 +78,7 @@ def garbled(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
 def regained(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """The text that the chain turns into ``text``, verified by going forth again; None for chains that lose characters."""
     back = text
-    if chain[-1][0] == "controls":
+    if chain[-1][0] == "controls" or chain[-1][1].endswith("?"):
         return None
     try:
         for written, read in reversed(chain):
@@ -103,7 +111,7 @@ def _forms(word: str) -> list[tuple[str, int]]:
     found = {}
     for no, chain in enumerate(chains()):
         g = garbled(word, chain)
-        if g and g != word and not g.isascii() and g not in found:
+        if g and g != word and not g.isascii() and g not in found and 2 * g.count(LOST) <= len(g):
             found[g] = no
     return list(found.items())
 
@@ -125,7 +133,7 @@ _LATIN, _CYRILLIC, _GREEK = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyri
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """``id, line, word, lost, of`` of every line, ``of`` so many words; ``word`` is null where the line has lost characters (U+FFFD)."""
+    """``id, line, word, lost, of`` of every line, ``of`` so many words; ``lost`` are words with U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +148,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
                         no.append(i)
                         line.append(k)
                         word.append(w)
-                        broken.append("�" in w)
+                        broken.append(LOST in w)
             yield pa.record_batch([pa.array(no, batch.column(0).type), pa.array(line, pa.int32()), pa.array(word, pa.string()), pa.array(broken, pa.bool_()), pa.array(of, pa.int32())], names=["id", "line", "word", "lost", "of"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -157,13 +165,13 @@ def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
     A single character needs a chain of several characters for one. ``strong`` words are evidence by themselves, ``firm``
     ones beside another, the others only as part of a whole line; ``lean`` says how much commoner the original is (log 2).
     """
-    counts = materialize(tokens.where(~F.col("lost")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    counts = materialize(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, word, n, chain = [], [], [], []
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g, no in _forms(w):
+                for g, no in _forms(w) if LOST not in w else ():
                     key.append(_hash(g))
                     word.append(w)
                     n.append(c)
@@ -176,7 +184,7 @@ def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
             yield pa.record_batch([pa.array(key, pa.int64()), batch.column(0), batch.column(1)], names=["key", "word", "n"])
 
     # few rows, but each gives a form per chain: spread, and never taken for small enough to broadcast
-    spread = counts.repartition(2 * counts.sparkSession.sparkContext.defaultParallelism, "word")
+    spread = counts.repartition(max(2 * counts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // WORDS)), "word")
     table = spread.mapInArrow(forms, "key long, original string, n_original long, chain int").hint("merge")
     seen = counts.mapInArrow(keyed, "key long, word string, n long")
     met = seen.join(table, "key").where(F.col("n_original") > 0).select("word", "n", "original", "n_original", "chain")
@@ -188,14 +196,15 @@ def garbled_words(tokens: DataFrame, ratio: float = 3.0) -> DataFrame:
             for w, n, o, m, no in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if garbled(o, every[no]) != w:
                     continue  # two words of one hash
-                certain = sure(every[no]) and len(w) > len(o)
-                if not certain and len(w) < 2:
+                certain = sure(every[no]) and len(w) > len(o) or LOST in w
+                broken = bool(_BROKEN.search(w)) and m >= ratio * n
+                if not certain and not broken and len(w) < 2:
                     continue
                 odd = not certain and not _plausible(w)
                 if not certain and not odd and not _plausible(o):
                     continue  # the other way round
                 odd = odd and _plausible(o)
-                strong = certain or (len(w) >= 4 and (odd or (m >= ratio * n and _looks_broken(w)) or m >= 10 * ratio * n))
+                strong = certain or broken or (len(w) >= 4 and (odd or (m >= ratio * n and _looks_broken(w)) or m >= 10 * ratio * n))
                 keep.append((w, o, no, strong, certain or odd or m >= ratio * n, math.log2(m / n), m))
             if keep:
                 kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.float64(), pa.int64())
@@ -211,12 +220,12 @@ def _evidence(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     tokens = materialize(_tokens(given), "tokens")
     table = materialize(garbled_words(tokens), "garbled")
-    per_word = tokens.where(~F.col("lost")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(table.select("word"), "word")
+    per_word = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(table.select("word"), "word")
     hot = heavy_keys(per_word, "word", "n")
-    # inner part of the left join: only words of the table stay
-    hits = lookup_join(tokens.where(~F.col("lost")), table, "word", hot).where(F.col("original").isNotNull())
-    gone = tokens.where("lost").select("id", "line", "word", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"), F.lit(True).alias("strong"), F.lit(True).alias("firm"), F.lit(0.0).alias("lean"), "lost", "of")
-    return hits.select("id", "line", "word", "original", "chain", "strong", "firm", "lean", "lost", "of").unionByName(gone)
+    # words of the table, and those that have lost characters and have no original in it
+    hits = lookup_join(tokens, table, "word", hot).where(F.col("original").isNotNull() | F.col("lost"))
+    sure_or = lambda c: F.coalesce(c, F.lit(True))
+    return hits.select("id", "line", "word", "original", "chain", sure_or(F.col("strong")).alias("strong"), sure_or(F.col("firm")).alias("firm"), F.coalesce("lean", F.lit(0.0)).alias("lean"), (F.col("lost") & F.col("original").isNull()).alias("lost"), "of")
 
 
 #: How much commoner the originals of a line's words have to be on average (log 2) where none is evidence by itself.
@@ -227,14 +236,15 @@ def _passages(words: DataFrame, weak_words: int, *more: Column) -> DataFrame:
     """The lines that count, with their number of words: one strong word, several firm ones, or most words by one chain."""
     lines = words.groupBy("id", "line").agg(
         F.max("strong").alias("strong"), F.countDistinct(F.when(F.col("firm"), F.col("word"))).alias("n_firm"), F.countDistinct("word").alias("n"),
-        F.countDistinct("chain").alias("n_chains"), F.avg("lean").alias("lean"), F.max("of").alias("of"), *more,
+        F.countDistinct("chain").alias("n_chains"), F.avg("lean").alias("lean"), F.max("of").alias("of"), F.count(F.when(F.col("lost"), 1)).alias("n_lost"), *more,
     )
     together = (F.col("n") >= weak_words) & (F.col("n_chains") == 1) & (2 * F.col("n") >= F.col("of")) & (F.col("lean") >= LEAN)
     return lines.where(F.col("strong") | (F.col("n_firm") >= weak_words) | together)
 
 
 def garbled_rows(rows: DataFrame, id_col: str, text_col: str, weak_words: int = 2) -> DataFrame:
-    """``<id_col>, n_words, n_lines``: one row per id with a garbled passage, regainable or not.
+    """``<id_col>, n_words, n_lines, n_lost``: one row per id with a garbled passage, regainable or not; ``n_lost`` of its
+    words have lost characters (U+FFFD) and no original in the corpus, and tell so by that character alone.
 
     A line counts if it has a strong word, a lost character (U+FFFD), or ``weak_words`` different firm words, or if one
     chain takes so many and at least half of its words back to words that are commoner on the whole. What is
@@ -242,7 +252,7 @@ def garbled_rows(rows: DataFrame, id_col: str, text_col: str, weak_words: int =
     rows together. Extra columns are ignored.
     """
     lines = _passages(_evidence(rows, id_col, text_col), weak_words)
-    return lines.groupBy("id").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_lines")).withColumnRenamed("id", id_col)
+    return lines.groupBy("id").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_lines"), F.sum("n_lost").alias("n_lost")).withColumnRenamed("id", id_col)
 
 
 def restored_texts(rows: DataFrame, id_col: str, text_col: str, weak_words: int = 2) -> DataFrame:
@@ -282,7 +292,7 @@ def restored_texts(rows: DataFrame, id_col: str, text_col: str, weak_words: int
                 fixed = "\n".join(parts)
                 out.append(fixed)
                 done.append(n)
-                lost.append(fixed.count("�"))
+                lost.append(fixed.count(LOST))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(done, pa.int32()), pa.array(lost, pa.int32())], names=["id", "restored", "n_restored", "n_lost"])
 
     return given.join(per, "id").mapInArrow(run, f"id {kind}, restored string, n_restored int, n_lost int").withColumnRenamed("id", id_col)
