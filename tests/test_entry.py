@@ -52,3 +52,11 @@ def test_stateful_retries(spark, tmp_path):
     stream = spark.readStream.schema("id string, ok boolean, at timestamp").parquet(str(tmp_path / "in"))
     got = pipelines.to_memory_sink(pipelines.retries(stream), "retries").collect()
     assert {(r.id, r.attempts, r.status) for r in got} == {("j", 1, "pending"), ("j", 2, "pending"), ("k", 0, "done")}
+
+
+@pytest.mark.parametrize("name", ["strength_decay", "cold_candidates", "stats_breakdown", "jobs_due", "job_activity", "sessions_gap", "sessions_keyed", "consolidation_candidates"])
+def test_scans_read_no_text(spark, folder, name):
+    plan = CORE[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan
+    for column in ("content:", "compressed_content:", "cold_path:", "last_error:"):
+        assert column not in plan, (name, column)
