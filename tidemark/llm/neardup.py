@@ -324,8 +324,14 @@ def member_pairs(pairs: DataFrame, members: DataFrame, texts: DataFrame, least_w
     numbered = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
     sizes = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = sizes.select("no", "n", F.ceil(F.col("n") / EXPANDED).cast("int").alias("parts"))
-    counts = texts.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= max(least_words, 1)).select("no")
-    shared = parts.join(counts, "no", "left_semi")
+
+    def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [len(words_of(t)) >= max(least_words, 1) for t in batch.column(3).to_pylist()]
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    # words are counted only of texts that have copies
+    shared = parts.join(texts.select("no", "text"), "no").mapInArrow(long_enough, "no long, n long, parts int")
     own = numbered.join(shared, "no").select("no", "id", F.pmod("part", "parts").alias("part"), "parts")
     again = own.select("no", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"))
     same = own.select("no", F.col("id").alias("x"), F.col("part").cast("bigint").alias("part")).join(again, ["no", "part"]).where("x < y").select("x", "y")
