@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import codegraph as cg
 from tidemark.operators import edges as E
 from tidemark.operators import traverse
@@ -97,3 +99,28 @@ def test_parser_and_incremental(spark, tmp_path):
     e = cg.resolve_edges(t["nodes"], t["calls"], t["tests"], t["inherits"])
     assert ("pkg/b.rs#2:use_add", "pkg/a.py#1:add", "calls") in {(r.src_id, r.dst_id, r.kind) for r in e.collect()}
     assert {r.id: r.snippet for r in snippets(t["nodes"], files).collect()}["pkg/a.py#1:add"].startswith("def add")
+
+
+def test_long_paths_are_found(spark):
+    e = spark.range(60).select(F.concat(F.lit("n"), F.lpad("id", 3, "0")).alias("src_id"), F.concat(F.lit("n"), F.lpad(F.col("id") + 1, 3, "0")).alias("dst_id"))
+    assert len(traverse.shortest_path(e, "n000", "n060")) == 61
+
+
+def test_two_projects_stay_apart(spark):
+    nodes = spark.createDataFrame([("p", "p1", "a.py", "function", "f", 1, 2), ("q", "q1", "a.py", "function", "f", 1, 2), ("q", "q2", "b.py", "function", "g", 1, 2), ("p", "p2", "b.py", "function", "h", 1, 2)], "project_id string, id string, file_path string, kind string, name string, start_line int, end_line int")
+    e = spark.createDataFrame([("p", "p2", "p1", "calls"), ("q", "q2", "q1", "calls")], "project_id string, src_id string, dst_id string, kind string")
+    ids = lambda df: {r.id for r in df.collect()}
+    assert ids(cg.one_hop(nodes, e, "f", "calls", True, "q")) == {"q2"} and ids(cg.one_hop(nodes, e, "f", "calls", True, "p")) == {"p2"}
+    assert ids(cg.blast_radius(nodes, e, "f", project_id="q")[0]) == {"q2"} and ids(cg.keyword(nodes, "F", project_id="p")) == {"p1"}
+    assert cg.path(nodes, e, "g", "f", "p") == [] and cg.path(nodes, e, "g", "f", "q") == ["q2", "q1"]
+
+
+def test_full_time_buckets_are_split(spark):
+
+    at = datetime(2024, 1, 1)
+    rows = [(f"m{i:02}", "p", at + timedelta(seconds=(i % 3) * 200)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, project_id string, created_at timestamp")
+    want = {(a, b) for a, _, s in rows for b, _, t in rows if a < b and abs((s - t).total_seconds()) <= 300}
+    for n in (2000, 4):
+        got = [(r.src_id, r.dst_id) for r in E.temporal_edges(df, bucket_rows=n).collect()]
+        assert set(got) == want and len(got) == len(want)

@@ -73,24 +73,33 @@ def replace_files(rows: DataFrame, fresh: DataFrame, again: DataFrame, gone: Dat
     return rows.join(out, ["project_id", file_col], "left_anti").unionByName(fresh)
 
 
-def named(nodes: DataFrame, name: str) -> DataFrame:
+def in_project(rows: DataFrame, project_id: str | None) -> DataFrame:
+    """Rows of one project; None stands for all, for graphs that hold one project only."""
+    return rows if project_id is None else rows.where(F.col("project_id") == project_id)
+
+
+def named(nodes: DataFrame, name: str, project_id: str | None = None) -> DataFrame:
     """The first symbol of that name, by file, line and id."""
+    nodes = in_project(nodes, project_id)
     return nodes.where((F.col("name") == name) & F.col("kind").isin(*SYMBOLS)).orderBy("file_path", "start_line", "id").limit(1)
 
 
-def keyword(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
+def keyword(nodes: DataFrame, text: str, limit: int = 50, project_id: str | None = None) -> DataFrame:
+    nodes = in_project(nodes, project_id)
     return nodes.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy("name", "id").limit(limit)
 
 
-def one_hop(nodes: DataFrame, edges: DataFrame, name: str, kind: str, into: bool) -> DataFrame:
+def one_hop(nodes: DataFrame, edges: DataFrame, name: str, kind: str, into: bool, project_id: str | None = None) -> DataFrame:
     """Nodes one edge before (``into``) or after the first symbol of that name."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     at, other = ("dst_id", "src_id") if into else ("src_id", "dst_id")
     hit = edges.where(F.col("kind") == kind).join(F.broadcast(named(nodes, name).select(F.col("id").alias(at))), at, "left_semi")  # one node
     return nodes.join(hit.select(F.col(other).alias("id")).distinct(), "id", "left_semi")
 
 
-def imports_of(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def imports_of(nodes: DataFrame, edges: DataFrame, name: str, project_id: str | None = None) -> DataFrame:
     """What imports the module of that name; where no such edge is known, import nodes whose name holds it."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     target = nodes.where((F.col("kind") == "import") & (F.col("name") == name)).select(F.col("id").alias("dst_id"))
     hit = edges.where(F.col("kind") == "imports").join(target, "dst_id", "left_semi").select(F.col("src_id").alias("id")).distinct()
     found = nodes.join(hit, "id", "left_semi")
@@ -99,17 +108,19 @@ def imports_of(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return keyword(nodes.where(F.col("kind") == "import"), name)
 
 
-def path(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> list[str]:
+def path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, project_id: str | None = None) -> list[str]:
     """Ids along the shortest chain of calls and imports between two names; nothing if one is unknown."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     a, b = named(nodes, start).first(), named(nodes, goal).first()
     if a is None or b is None:
         return []
     return shortest_path(edges.where(F.col("kind").isin("calls", "imports")), a["id"], b["id"])
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, target: str, depth: int = DEFAULTS.blast_depth) -> tuple[DataFrame, DataFrame]:
+def blast_radius(nodes: DataFrame, edges: DataFrame, target: str, depth: int = DEFAULTS.blast_depth, project_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Dependents (``id, hop``) of a file's nodes, or else of all symbols of a name, over reversed calls, imports and
     extends; and the tests that cover them or the roots."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     in_file = nodes.where(F.col("file_path") == target).select("id")
     roots = in_file if in_file.limit(1).count() else nodes.where((F.col("name") == target) & F.col("kind").isin(*SYMBOLS)).select("id")
     back = edges.where(F.col("kind").isin("calls", "imports", "extends")).select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"))
@@ -118,8 +129,9 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, target: str, depth: int = D
     return reached.where("hop > 0"), tests
 
 
-def explore(nodes: DataFrame, edges: DataFrame, name: str, depth: int = DEFAULTS.blast_depth) -> DataFrame:
+def explore(nodes: DataFrame, edges: DataFrame, name: str, depth: int = DEFAULTS.blast_depth, project_id: str | None = None) -> DataFrame:
     """``role, id, hop`` around a symbol: dependents, tests, and its direct callers, callees, sub- and supertypes."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     dependents, tests = blast_radius(nodes, edges, name, depth)
     out = dependents.select(F.lit("dependent").alias("role"), "id", "hop").unionByName(tests.select(F.lit("test").alias("role"), "id", F.lit(0).alias("hop")))
     for role, (kind, into) in ONE_HOP.items():
@@ -127,8 +139,9 @@ def explore(nodes: DataFrame, edges: DataFrame, name: str, depth: int = DEFAULTS
     return out
 
 
-def view(nodes: DataFrame, edges: DataFrame, focus: str | None = None, limit: int = 500, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def view(nodes: DataFrame, edges: DataFrame, focus: str | None = None, limit: int = 500, depth: int = 1, project_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes to show (around the focus, or the first ``limit``) and the edges between them."""
+    nodes, edges = in_project(nodes, project_id), in_project(edges, project_id)
     if focus is None:
         kept = nodes.orderBy("file_path", "start_line", "id").limit(limit)
     else:

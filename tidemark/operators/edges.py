@@ -9,6 +9,7 @@ from tidemark.config import DEFAULTS
 from tidemark.functions.metadata import tags
 from tidemark.functions.scoring import jaccard
 from tidemark.operators.vectors import nearest, similar_pairs
+from tidemark.session import materialize
 
 EXCLUDED_TYPE = "code_context"
 
@@ -32,21 +33,30 @@ def threshold_edges(vectors: DataFrame, id_col: str, vector_col: str, size: int,
     return _edge(pairs, "similarity", F.col("score"))
 
 
-def temporal_edges(rows: DataFrame, window_s: int = DEFAULTS.edges.temporal_window_s, id_col: str = "id", project_col: str = "project_id", at_col: str = "created_at") -> DataFrame:
+#: Rows of one time bucket that meet in one task; fuller buckets are split.
+BUCKET_ROWS = 2000
+
+
+def temporal_edges(rows: DataFrame, window_s: int = DEFAULTS.edges.temporal_window_s, id_col: str = "id", project_col: str = "project_id", at_col: str = "created_at", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges of weight 1 between rows of one project at most ``window_s`` apart (both ends count).
 
     An interval join by equality: rows meet in time buckets of the window's width, each row in its own and the next one,
-    so no range join over whole projects is planned.
+    so no range join over whole projects is planned. A bucket of very many rows (an import at one moment) is split on one
+    side, so that its pairs, which are all results, come from many tasks.
     """
     us = F.unix_micros(F.col(at_col).cast("timestamp"))
     wide = window_s * 1_000_000
     r = rows.select(F.col(id_col).alias("id"), F.col(project_col).alias("p"), us.alias("t")).where(F.col("p").isNotNull() & F.col("t").isNotNull()).dropDuplicates(["id"])
     r = r.withColumn("k", F.floor(F.col("t") / F.lit(max(wide, 1))))
-    a = r.select(F.col("id").alias("a"), "p", F.col("t").alias("ta"), F.col("k"))
+    full = r.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("p", "k", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
+    full = materialize(full, "full-buckets")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    a = r.select(F.col("id").alias("a"), "p", F.col("t").alias("ta"), "k").join(full, ["p", "k"], "left").select("a", "p", "ta", "k", part.alias("part"))
     b = r.select(F.col("id").alias("b"), "p", F.col("t").alias("tb"), F.col("k").alias("own"), F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
+    b = b.join(full, ["p", "k"], "left").select("b", "p", "tb", "own", "k", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     # a pair of one bucket meets once there, in order of ids; a pair of neighbouring ones where the later row lies
     ordered = F.when(F.col("a.k") == F.col("own"), F.col("a") < F.col("b")).otherwise(F.lit(True))
-    pairs = a.alias("a").join(b.alias("b"), ["p", "k"]).where(ordered & (F.abs(F.col("ta") - F.col("tb")) <= wide))
+    pairs = a.alias("a").join(b.alias("b"), ["p", "k", "part"]).where(ordered & (F.abs(F.col("ta") - F.col("tb")) <= wide))
     return _edge(pairs.select("a", "b"), "temporal", F.lit(1.0))
 
 

@@ -92,17 +92,17 @@ def components(edges: DataFrame, src: str = "src_id", dst: str = "dst_id") -> Da
             return label
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 32, src: str = "src_id", dst: str = "dst_id") -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "src_id", dst: str = "dst_id") -> list[str]:
     """Node ids from start to goal along directed edges, both included; the same node gives itself, no path gives none.
 
-    Breadth-first frontiers with parents; of equally short paths the one of smallest predecessors.
+    Breadth-first frontiers with parents, until the goal is reached or nothing new is; of equally short paths the one of smallest predecessors.
     """
     if start == goal:
         return [start]
     spark = edges.sparkSession
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
     found = frontier = spark.createDataFrame([(start, None)], "id string, parent string")
-    for _ in range(max_depth):
+    while True:
         step = e.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         step = materialize(step.join(found.select("id"), "id", "left_anti"), "path")
         if not step.limit(1).count():
@@ -114,5 +114,4 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 32,
                 at = found.where(F.col("id") == at).first()["parent"]
                 path.append(at)
             return path[::-1]
-    return []
 
