@@ -90,7 +90,7 @@ def test_links_and_expansion_of_large_classes(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "EXPANDED", 3)
     members = spark.createDataFrame([(f"x{i}", 1) for i in range(10)] + [(f"y{i}", 2) for i in range(4)] + [("z", 3)], "id string, no long")
-    texts = spark.createDataFrame([(n, "p", "some words here") for n in (1, 2, 3)], "no long, block string, text string")
+    texts = spark.createDataFrame([(n, "p", "some words here", n < 3) for n in (1, 2, 3)], "no long, block string, text string, several boolean")
     pairs = spark.createDataFrame([(1, 2, 0.9), (3, 1, 0.8)], "a_no long, b_no long, similarity double")
     got = [tuple(r) for r in member_pairs(pairs, members, texts).collect()]
     ids = {1: [f"x{i}" for i in range(10)], 2: [f"y{i}" for i in range(4)], 3: ["z"]}

@@ -105,7 +105,8 @@ def _hashed(df: DataFrame, *columns: str) -> list:
 
 
 def text_classes(rows: DataFrame, id_col: str, text_col: str, block_col: str, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts of each block (``no, block, text``), and the class of every id (``id, no``).
+    """Distinct texts of each block (``no, block, text, several``), and the class of every id (``id, no``). ``several``
+    is false where no other row has the text.
 
     Null ids, blocks and texts have no class. A repeated id counts once: the copy greatest by ``order_col``, then text.
     """
@@ -113,7 +114,7 @@ def text_classes(rows: DataFrame, id_col: str, text_col: str, block_col: str, or
         F.col(id_col).cast("string").alias("id"), F.col(block_col).cast("string").alias("block"), F.col(text_col).cast("string").alias("text"),
         (F.col(order_col) if order_col else F.lit(0)).alias("at"),
     ).where(F.col("id").isNotNull() & F.col("block").isNotNull() & F.col("text").isNotNull())
-    texts = given.groupBy("block", "text").agg(F.min("id").alias("first")).select(F.monotonically_increasing_id().alias("no"), "block", "text")
+    texts = given.groupBy("block", "text").agg((F.count(F.lit(1)) > 1).alias("several")).select(F.monotonically_increasing_id().alias("no"), "block", "text", "several")
     texts = materialize(texts, "texts")
     keyed = given.select("id", "at", *_hashed(given, "block", "text"))
     members = keyed.groupBy("id").agg(F.max(F.struct("at", "k1", "k2")).alias("m")).select("id", "m.k1", "m.k2")
@@ -218,8 +219,9 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
     able = counted.where(F.col("met") >= need - skipped).select("a_no", "b_no")
     able = materialize(able, "candidates")
     text = long.select(F.col("no"), F.col("block"), F.col("text"))
-    sides = able.join(text.select(F.col("no").alias("a_no"), F.col("block"), F.col("text").alias("a_text")), "a_no")
-    sides = sides.join(text.select(F.col("no").alias("b_no"), F.col("text").alias("b_text")), "b_no")
+    sides = able.join(text.select(F.col("no").alias("a_no"), "block", F.col("text").alias("a_text")), "a_no")
+    # both joins take the same columns of the texts, so that these are shuffled once
+    sides = sides.join(text.select(F.col("no").alias("b_no"), F.col("block").alias("b_block"), F.col("text").alias("b_text")), "b_no")
 
     def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -231,7 +233,7 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 keep = np.flatnonzero(similarity >= threshold)
                 yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep]), pa.array(similarity[keep])], names=["a_no", "b_no", "similarity"])
 
-    return sides.select("a_no", "b_no", "block", "a_text", "b_text").mapInArrow(probe_all, "a_no long, b_no long, similarity double")
+    return sides.where("block = b_block").select("a_no", "b_no", "block", "a_text", "b_text").mapInArrow(probe_all, "a_no long, b_no long, similarity double")
 
 
 def merged_lists(h: np.ndarray, piece: np.ndarray, no: np.ndarray, nr: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -325,13 +327,9 @@ def member_pairs(pairs: DataFrame, members: DataFrame, texts: DataFrame, least_w
     sizes = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = sizes.select("no", "n", F.ceil(F.col("n") / EXPANDED).cast("int").alias("parts"))
 
-    def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [len(words_of(t)) >= max(least_words, 1) for t in batch.column(3).to_pylist()]
-            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
-
     # words are counted only of texts that have copies
-    shared = parts.join(texts.select("no", "text"), "no").mapInArrow(long_enough, "no long, n long, parts int")
+    copied = texts.where("several").where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= max(least_words, 1)).select("no")
+    shared = parts.join(copied, "no", "left_semi")
     own = numbered.join(shared, "no").select("no", "id", F.pmod("part", "parts").alias("part"), "parts")
     again = own.select("no", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"))
     same = own.select("no", F.col("id").alias("x"), F.col("part").cast("bigint").alias("part")).join(again, ["no", "part"]).where("x < y").select("x", "y")
