@@ -60,3 +60,9 @@ def test_scans_read_no_text(spark, folder, name):
     assert "ReadSchema" in plan
     for column in ("content:", "compressed_content:", "cold_path:", "last_error:"):
         assert column not in plan, (name, column)
+
+
+def test_keyword_search_reads_the_postings_of_its_terms(spark, folder):
+    plan = CORE["bm25_topk"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "postings" in plan and "text" not in plan.split("ReadSchema")[1][:120]
+    assert "In(term, [" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]

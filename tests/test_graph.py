@@ -124,3 +124,15 @@ def test_full_time_buckets_are_split(spark):
     for n in (2000, 4):
         got = [(r.src_id, r.dst_id) for r in E.temporal_edges(df, bucket_rows=n).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_vector_blocks_equal_one_block(spark):
+    import numpy as np
+
+    from tidemark.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(f"v{i:03}", [float(x) for x in rng.normal(size=8)]) for i in range(90)] + [("n", None), ("s", [1.0])], "id string, e array<double>")
+    pairs = lambda b: {(r.a, r.b, round(r.score, 9)) for r in V.similar_pairs(df, "id", "e", 8, 0.5, b).collect()}
+    near = lambda b: {(r.query_id, r.id, r.rank) for r in V.nearest(df, df, "id", "e", 8, 3, block_values=b).collect()}
+    assert pairs(10_000) == pairs(200) and near(10_000) == near(200) and len(near(200)) == 270

@@ -62,8 +62,8 @@ def test_fusion_and_filters(spark):
 
 def test_bm25_edge_cases(spark):
     d = spark.createDataFrame([("1", "red fox"), ("2", None), ("3", ""), ("4", "fox fox fox")], "id string, text string")
-    assert [r.id for r in retrieval.bm25(d, "id", "text", ["fox"], 5).collect()] == ["4", "1"]
-    assert retrieval.bm25(d, "id", "text", [], 5).count() == 0 and retrieval.bm25(d.limit(0), "id", "text", ["fox"], 5).count() == 0
+    assert [r.id for r in retrieval.bm25(retrieval.keyword_index(d, "id", "text"), ["fox"], 5).collect()] == ["4", "1"]
+    assert retrieval.bm25(retrieval.keyword_index(d, "id", "text"), [], 5).count() == 0 and retrieval.bm25(retrieval.keyword_index(d.limit(0), "id", "text"), ["fox"], 5).count() == 0
 
 
 def test_metrics(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS
+from tidemark.functions.metadata import has_tag
 from tidemark.functions.scoring import context_score, days_between
 from tidemark.functions.text import compress
 
@@ -60,3 +61,24 @@ def memory_stats(memories: DataFrame, edges: DataFrame, projects: DataFrame, job
     one = lambda df, name: df.agg(F.lit("total").alias("kind"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
     by = lambda c: memories.groupBy(F.lit(c).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return one(memories, "memories").unionByName(one(edges, "edges")).unionByName(one(projects, "projects")).unionByName(one(jobs.where("status = 'pending'"), "pending_jobs")).unionByName(by("memory_type")).unionByName(by("tier"))
+
+
+def with_project_names(memories: DataFrame, projects: DataFrame) -> DataFrame:
+    """``memories`` with ``project_name``; null where the project or its name is unknown."""
+    names = projects.groupBy("id").agg(F.max("name").alias("project_name"))
+    return memories.join(names.withColumnRenamed("id", "project_id"), "project_id", "left")
+
+
+def projects_by_last_seen(projects: DataFrame, memories: DataFrame) -> DataFrame:
+    """``id, name, last_seen_at, n_memories, rank``: projects, the one seen last first, with their number of memories."""
+    once = projects.groupBy("id").agg(F.max(F.struct("last_seen_at", "name")).alias("p")).select("id", F.col("p.name").alias("name"), F.col("p.last_seen_at").alias("last_seen_at"))
+    n = memories.where(F.col("project_id").isNotNull()).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("n_memories"))
+    found = once.join(n, "id", "left").withColumn("n_memories", F.coalesce("n_memories", F.lit(0)))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("last_seen_at"), "id")))  # one row per project
+
+
+def latest_session_summary(memories: DataFrame, tag: str) -> DataFrame:
+    """``project_id, id, content``: each project's newest memory with the tag."""
+    tagged = memories.where(F.col("project_id").isNotNull() & has_tag(F.col("metadata"), tag))
+    newest = F.max(F.struct("created_at", "id", "content")).alias("n")
+    return tagged.groupBy("project_id").agg(newest).select("project_id", F.col("n.id").alias("id"), F.col("n.content").alias("content"))

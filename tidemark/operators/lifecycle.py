@@ -85,13 +85,18 @@ def consolidate(candidates: DataFrame, vectors: DataFrame, size: int, conf: Life
     return rows.drop("component"), lineage, tiers
 
 
-def session_summaries(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle, most: int = 2000, by: str = "project_id") -> DataFrame:
-    """``project, n_rows, summary``: of each project's newest plain memories the most important ones, joined."""
+def summary_members(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle, by: str = "project_id") -> DataFrame:
+    """The rows that a project's session summary is made of, with their place ``t`` in it."""
     plain = memories.where(~F.col("is_decoy") & ~F.coalesce(has_tag(F.col("metadata"), SUMMARY_TAG), F.lit(False)) & F.col(by).isNotNull())
     newest = Window.partitionBy(by).orderBy(F.desc("created_at"), "id")
     r = plain.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= conf.summary_window)
     top = Window.partitionBy(by).orderBy(F.desc("importance"), "id")
-    r = r.withColumn("t", F.row_number().over(top)).where(F.col("t") <= conf.summary_top)
+    return r.withColumn("t", F.row_number().over(top)).where(F.col("t") <= conf.summary_top)
+
+
+def session_summaries(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle, most: int = 2000, by: str = "project_id") -> DataFrame:
+    """``project, n_rows, summary``: of each project's newest plain memories the most important ones, joined."""
+    r = summary_members(memories, conf, by)
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "\n---\n")
     return r.groupBy(F.col(by).alias("project_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.substring(texts, 1, most).alias("summary"))
 
@@ -106,19 +111,61 @@ def frequent_sequences(rows: DataFrame, by: str, order: list[str], step: str, n:
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def procedures(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle, newest: int = 200) -> DataFrame:
-    """Frequent tool sequences in each project's newest code memories."""
+def sequence_rows(rows: DataFrame, by: str, order: list[str], step: str, n: int, id_col: str = "id") -> DataFrame:
+    """``by, gram, id``: every row of every occurrence of every run of ``n`` steps."""
+    along = Window.partitionBy(by).orderBy(*order)
+    grams = rows.select(by, *[F.lead(step, k).over(along).alias(f"g{k}") for k in range(n)], F.array(*[F.lead(id_col, k).over(along) for k in range(n)]).alias("ids")).where(F.col(f"g{n - 1}").isNotNull())
+    return grams.select(by, F.concat_ws(" > ", *[f"g{k}" for k in range(n)]).alias("gram"), F.explode("ids").alias("id")).distinct()
+
+
+def code_steps(memories: DataFrame, newest: int = 200) -> DataFrame:
+    """Each project's newest code memories with the ``tool`` of each."""
     recent = Window.partitionBy("project_id").orderBy(F.desc("created_at"), "id")
     code = memories.where((F.col("memory_type") == "code_context") & F.col("project_id").isNotNull()).withColumn("r", F.row_number().over(recent)).where(F.col("r") <= newest)
-    code = code.withColumn("tool", tool_name(F.col("metadata"), F.col("content")))
+    return code.withColumn("tool", tool_name(F.col("metadata"), F.col("content")))
+
+
+def procedures(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle, newest: int = 200) -> DataFrame:
+    """Frequent tool sequences in each project's newest code memories."""
+    code = code_steps(memories, newest)
     return frequent_sequences(code, "project_id", ["created_at", "id"], "tool", conf.ngram, conf.ngram_support, conf.ngram_top, conf.ngram_min_rows)
 
 
-def pipeline(memories: DataFrame, vectors: DataFrame, size: int, conf: Lifecycle = DEFAULTS.lifecycle, newest: int = 200) -> DataFrame:
-    """``stage, n``: rows that the three stages make over all projects: session summaries, semantic facts, procedures."""
-    recent = Window.partitionBy("project_id").orderBy(F.desc("created_at"), "id")
-    episodic = memories.where((F.col("memory_type") == "episodic") & ~F.col("is_decoy") & F.col("project_id").isNotNull()).withColumn("r", F.row_number().over(recent)).where(F.col("r") <= newest).drop("r")
-    facts, _, _ = consolidate(episodic, vectors, size, conf)
-    count = lambda df, name: df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"))
-    return count(session_summaries(memories, conf), "episodic").unionByName(count(facts, "semantic")).unionByName(count(procedures(memories, conf, newest), "procedural"))
+def pipeline_rows(memories: DataFrame, vectors: DataFrame, size: int, as_of: datetime, conf: Lifecycle = DEFAULTS.lifecycle, newest: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``id, project_id, memory_type, content, importance, created_at, is_decoy``) that the three stages make over
+    all projects, their lineage (``decoy_id, child_id``), and ``summarizes`` edges from each session summary to the rows
+    it was made of.
+
+    A stage's row has the same id each time for the same project and content, so that a second run makes nothing new.
+    """
+    made = lambda kind, *parts: F.sha2(F.concat_ws(":", F.lit(kind), *parts), 256)
+    row = lambda df, kind, importance: df.select("id", "project_id", F.lit(kind).alias("memory_type"), "content", importance.alias("importance"), F.lit(as_of).alias("created_at"), F.lit(True).alias("is_decoy"))
+    newest_first = Window.partitionBy("project_id").orderBy(F.desc("created_at"), "id")
 
+    top = summary_members(memories, conf)
+    summaries = session_summaries(memories, conf).select(made("summary", "project_id", "summary").alias("id"), "project_id", F.col("summary").alias("content"))
+    held = top.select("project_id", F.col("id").alias("child_id")).join(summaries.select("project_id", F.col("id").alias("decoy_id")), "project_id")
+    edges = held.select(F.col("decoy_id").alias("src_id"), F.col("child_id").alias("dst_id"), F.lit("summarizes").alias("edge_type"), F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("weight"))
+
+    episodic = memories.where((F.col("memory_type") == "episodic") & ~F.col("is_decoy") & F.col("project_id").isNotNull()).withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= newest).drop("r")
+    facts, facts_held, _ = consolidate(episodic, vectors, size, conf)
+    fact_project = facts_held.join(episodic.select(F.col("id").alias("child_id"), "project_id"), "child_id").groupBy(F.col("decoy_id").alias("id")).agg(F.min("project_id").alias("project_id"))
+    facts = facts.join(fact_project, "id")
+
+    code = code_steps(memories, newest)
+    grams = frequent_sequences(code, "project_id", ["created_at", "id"], "tool", conf.ngram, conf.ngram_support, conf.ngram_top, conf.ngram_min_rows)
+    grams = grams.select(made("procedure", "project_id", "gram").alias("id"), "project_id", F.col("gram").alias("content"))
+    occurring = sequence_rows(code, "project_id", ["created_at", "id"], "tool", conf.ngram)
+    gram_held = occurring.withColumnRenamed("gram", "content").join(grams.select(F.col("id").alias("decoy_id"), "project_id", "content"), ["project_id", "content"]).select("decoy_id", F.col("id").alias("child_id"))
+
+    rows = row(summaries, "episodic", F.lit(0.6)).unionByName(row(facts, "semantic", F.col("importance"))).unionByName(row(grams, "procedural", F.lit(0.6)))
+    lineage = held.select("decoy_id", "child_id").unionByName(facts_held).unionByName(gram_held).distinct()
+    return rows, lineage, edges
+
+
+def pipeline(memories: DataFrame, vectors: DataFrame, size: int, conf: Lifecycle = DEFAULTS.lifecycle, newest: int = 200) -> DataFrame:
+    """``stage, n``: how many rows the three stages make: session summaries, semantic facts, procedures."""
+    rows, _, _ = pipeline_rows(memories, vectors, size, datetime(1970, 1, 1), conf, newest)
+    stages = rows.groupBy(F.col("memory_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    names = memories.sparkSession.createDataFrame([("episodic",), ("semantic",), ("procedural",)], "stage string")
+    return names.join(stages, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Retrieval
@@ -15,9 +16,11 @@ from tidemark.functions.scoring import days_between, final_score, recency, rrf_t
 from tidemark.functions.text import tokens
 from tidemark.operators.traverse import expand
 from tidemark.operators.vectors import nearest
-from tidemark.session import materialize
+from tidemark.session import shared_dir
 
 K1, B = 1.2, 0.75
+#: Rows of a candidate pool that are broadcast.
+POOL_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,31 +50,48 @@ def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _times(words: str, term: str) -> Column:
-    return F.size(words) - F.size(F.array_remove(words, term))
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Postings stored by bucket of the term and sorted by term, with the numbers of the whole collection beside them."""
+
+    postings: DataFrame
+    n: int
+    mean: float
+    buckets: int
+
+
+#: Buckets of terms that postings are stored by; a search reads those of its terms.
+TERM_BUCKETS = 64
 
 
-def bm25(rows: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: int | None = None) -> DataFrame:
-    """``id, score`` of the rows holding one of the terms, greatest first, at most ``k``.
+def keyword_index(rows: DataFrame, id_col: str, text_col: str, buckets: int = TERM_BUCKETS) -> KeywordIndex:
+    """Builds the index of ``rows`` in the shared folder; every text is read once. Null texts have no words and count."""
+    words = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    stored = postings(rows, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    path = f"{shared_dir(rows.sparkSession)}/tidemark/postings-{uuid.uuid4().hex}"
+    stored.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    kind = stored.schema  # the partition column comes last, as in the folder
+    return KeywordIndex(rows.sparkSession.read.schema(kind).parquet(path), int(stats["n"]), float(stats["mean"] or 1.0), buckets)
+
 
-    Okapi BM25 (k1 1.2, b 0.75), idf at least 1e-6. Document frequencies and the mean length are of all rows; no terms
-    give no rows. Only the terms' postings are built: rows are reduced to their counts before anything is shuffled.
+def bm25(index: KeywordIndex, terms: Sequence[str], k: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """``id, score`` of the rows holding one of the terms, greatest first, at most ``k``; with ``among`` (id) only of those.
+
+    Okapi BM25 (k1 1.2, b 0.75), idf at least 1e-6. Document frequencies and the mean length are of the whole collection;
+    no terms give no rows. Only the terms' postings are read: buckets are pruned, and the filter on terms reaches the scan.
     """
     terms = list(dict.fromkeys(terms))
-    words = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    counted = words.select("id", F.size("w").alias("length"), *[_times("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    if not terms:
-        return counted.select("id", F.lit(0.0).alias("score")).limit(0)
-    counted = materialize(counted, "term-counts")  # numbers alone; the texts are read once
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df = stats[f"df{i}"] or 0
-        idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(stats["n"])) - df + 0.5) / (df + 0.5)))
-        tf = F.col(f"tf{i}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
-    some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    found = counted.where(some).select("id", score.alias("score"))
+    wanted = sorted({int(r["b"]) for r in index.postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(index.buckets)).cast("int").alias("b")).collect()}) if terms else []
+    hit = index.postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms)) if terms else index.postings.limit(0)
+    df = {r["term"]: r["df"] for r in hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()} if terms else {}
+    idf = F.lit(0.0)
+    for t, n in df.items():
+        idf = F.when(F.col("term") == t, F.greatest(F.lit(1e-6), F.log((F.lit(float(index.n)) - n + 0.5) / (F.lit(float(n)) + 0.5)))).otherwise(idf)
+    tf = F.col("tf").cast("double")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(index.mean)))
+    found = hit.groupBy("id").agg(F.sum(part).alias("score"))
+    found = found if among is None else found.join(among.select("id"), "id", "left_semi")
     return found if k is None else found.orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -107,15 +127,19 @@ def recall(
     filter_mode: str = "pre",
     pool: bool = False,
     conf: Retrieval = DEFAULTS.retrieval,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """``id, rrf, score, rank`` of the best ``limit`` memories (with ``pool`` the whole candidate pool).
 
     ``memories``: id, content, importance, created_at, strength and the filters' columns. ``query_vector``: one row
     (id, v); without it only keywords count. ``filter_mode`` pre puts the filters into the scans, post applies them to the
     pool, which can then hold fewer than ``limit``. Every ranking ends in the id, so ties are the same each time.
+    ``index`` is the stored keyword index of ``memories``; without one it is built for this search.
     """
     rows = filters.of(memories) if filter_mode == "pre" else memories
-    sparse = ranked(bm25(rows, "id", "content", terms, limit), F.desc("score"), "id")
+    index = index or keyword_index(memories, "id", "content")
+    among = rows.select("id") if filter_mode == "pre" and filters != Filters() else None
+    sparse = ranked(bm25(index, terms, limit, among), F.desc("score"), "id")
     if vectors is not None and query_vector is not None:
         v = vectors.join(rows.select("id"), "id", "left_semi") if filter_mode == "pre" and filters != Filters() else vectors
         near = nearest(v, query_vector, "id", "v", size, limit)
@@ -131,8 +155,8 @@ def recall(
         if filter_mode == "pre" and filters != Filters():
             graph = graph.join(rows.select("id"), "id", "left_semi")
     found = fuse(dense, sparse, graph, conf).orderBy(F.desc("rrf"), "id").limit(limit * conf.overfetch)
-    # the pool is small by construction; memories are not moved for it
-    hit = memories.join(F.broadcast(found), "id")
+    # the pool holds at most limit * overfetch rows: memories are not moved for it unless the caller asks for very many
+    hit = memories.join(F.broadcast(found) if limit * conf.overfetch <= POOL_ROWS else found, "id")
     hit = filters.of(hit) if filter_mode == "post" else hit
     score = final_score(F.col("rrf"), F.coalesce("importance", F.lit(0.5)), recency(days_between(F.lit(as_of), F.col("created_at")), conf.recency_days), F.coalesce("strength", F.lit(1.0)))
     scored = hit.select("id", "rrf", score.alias("score"))

@@ -1,76 +1,103 @@
 """Exact nearest neighbours and similarity pairs by blocks of matrix products.
 
-Every row stays where it is; a query set (or, block by block, all rows) passes over it. Queries are broadcast only up to
-a checked number; beyond it they are processed in blocks.
+A query set within the bound of one block is broadcast, and every row stays where it is. Beyond it, rows and queries are
+cut into blocks by hash; each pair of blocks meets in one task, and nothing passes the driver. All rows against all rows
+is quadratic by its nature: what is exact here is for query sets and moderate collections.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vector values that one broadcast block may hold (32 MB as floats).
+#: Vector values that one block may hold (32 MB as floats).
 BLOCK_VALUES = 8_000_000
 
+_SCORES = ["query_id", "id", "score"]
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
 
+def usable(c: Column, size: int) -> Column:
+    """True for vectors of exactly ``size`` values, all finite, not all zero."""
+    bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(c.isNotNull() & (F.size(c) == size) & ~bad & F.exists(c, lambda x: x != 0), F.lit(False))
 
-def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
-    """Queries by hash, so many that each block is within the bound."""
-    n = queries.count()
-    parts = max(1, -(-n * size // BLOCK_VALUES))
-    if parts == 1:
-        return [queries]
-    return [queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) for k in range(parts)]
 
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
 
-def _scores(rows: DataFrame, queries: DataFrame, metric: str, keep) -> DataFrame:
-    """``query_id, id, score`` of the pairs that ``keep(scores, row ids, query ids)`` selects in each batch."""
+
+def _score(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    prod = v @ q.T
+    if metric == "dot":
+        return prod
+    if metric == "l2":
+        return -np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * prod))
+    n = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+    return np.divide(prod, n, out=np.zeros_like(prod), where=n > 0)
+
+
+Keep = Callable[[np.ndarray, list, list], tuple[np.ndarray, np.ndarray]]
+
+
+def _kept(rid: list, v: np.ndarray, qids: list, q: np.ndarray, metric: str, keep: Keep, kind: pa.DataType) -> pa.RecordBatch:
+    score = _score(v, q, metric)
+    a, b = keep(score, rid, qids)
+    return pa.record_batch([pa.array([qids[j] for j in b], kind), pa.array([rid[i] for i in a], kind), pa.array(score[a, b])], names=_SCORES)
+
+
+def _scores(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep, block_values: int) -> DataFrame:
+    """``query_id, id, score`` of the pairs that ``keep(scores, row ids, query ids)`` selects in each block."""
     kind = rows.schema["id"].dataType.simpleString()
-    got = queries.toArrow()
-    ids = got.column("id").to_pylist()
-    q = _matrix(got.column("v")) if ids else np.zeros((0, 0))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+    schema = f"query_id {kind}, id {kind}, score double"
+    parts = max(1, -(-queries.count() * size // block_values))
+    if parts > 1:
+        return _by_blocks(rows, queries, size, metric, keep, schema, parts, block_values)
+    got = queries.toArrow()  # within the bound of one block
+    shared = rows.sparkSession.sparkContext.broadcast((got.column("id").to_pylist(), _matrix(got.column("v"), size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qv = shared.value
-        if not qids:
-            return
-        qn = np.linalg.norm(qv, axis=1)
+        qids, q = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rid, v = batch.column(0).to_pylist(), _matrix(batch.column(1))
-            prod = v @ qv.T
-            if metric == "l2":
-                score = -np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + (qv**2).sum(1)[None, :] - 2 * prod))
-            elif metric == "dot":
-                score = prod
-            else:
-                n = np.linalg.norm(v, axis=1)[:, None] * qn[None, :]
-                score = np.divide(prod, n, out=np.zeros_like(prod), where=n > 0)
-            a, b = keep(score, rid, qids)
-            yield pa.record_batch(
-                [pa.array([qids[j] for j in b], batch.column(0).type), pa.array([rid[i] for i in a], batch.column(0).type), pa.array(score[a, b])], names=["query_id", "id", "score"]
-            )
-
-    return rows.select("id", "v").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+            if batch.num_rows and qids:
+                yield _kept(batch.column(0).to_pylist(), _matrix(batch.column(1), size), qids, q, metric, keep, batch.column(0).type)
+
+    return rows.select("id", "v").mapInArrow(run, schema)
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep, schema: str, parts: int, block_values: int) -> DataFrame:
+    """Every block of rows with every block of queries, each pair in one task."""
+    row_parts = max(1, -(-rows.count() * size // block_values))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "v", place(row_parts).alias("rb")).select("id", "v", "rb", each(parts).alias("qb"))
+    right = queries.select("id", "v", place(parts).alias("qb")).select("id", "v", "qb", each(row_parts).alias("rb"))
+
+    def run(r: pa.Table, q: pa.Table) -> pa.Table:
+        if not r.num_rows or not q.num_rows:
+            return pa.table({"query_id": pa.array([], r.column("id").type), "id": pa.array([], r.column("id").type), "score": pa.array([], pa.float64())})
+        qids, qv = q.column("id").to_pylist(), _matrix(q.column("v"), size)
+        some = max(1, 4_000_000 // len(qids))  # scores held at a time
+        return pa.Table.from_batches([_kept(x.column("id").to_pylist(), _matrix(x.column("v"), size), qids, qv, metric, keep, r.column("id").type) for x in (r.slice(at, some) for at in range(0, r.num_rows, some))])
+
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(run, schema)
 
 
 def _prepared(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
-    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where((F.size("v") == size) & F.col("id").isNotNull())
+    v = F.col(vector_col).cast("array<double>")
+    whole = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull())
+    return rows.select(F.col(id_col).alias("id"), v.alias("v")).where(whole & F.col("id").isNotNull())
 
 
-def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, size: int, k: int, metric: str = "cosine") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, size: int, k: int, metric: str = "cosine", block_values: int = BLOCK_VALUES) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` rows of greatest score per query, itself excluded, ties to the smaller id.
 
-    ``metric``: cosine, dot, or l2 (score is then the negative distance). Vectors of another length are left out.
+    ``metric``: cosine, dot, or l2 (score is then the negative distance). Vectors of another length or with a null are
+    left out.
     """
     r, q = _prepared(rows, id_col, vector_col, size), _prepared(queries, id_col, vector_col, size)
 
@@ -82,18 +109,14 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, s
                 masked[i, place[x]] = -np.inf
         m = min(k, len(rid))
         edge = np.partition(masked, len(rid) - m, axis=0)[len(rid) - m]
-        a, b = np.nonzero((masked >= edge[None, :]) & np.isfinite(masked))
-        return a, b
+        return np.nonzero((masked >= edge[None, :]) & np.isfinite(masked))
 
-    found = None
-    for block in _blocks(q, size):
-        part = _scores(r, block, metric, best)
-        found = part if found is None else found.unionByName(part)
+    found = _scores(r, q, size, metric, best, block_values)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, size: int, threshold: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, size: int, threshold: float, block_values: int = BLOCK_VALUES) -> DataFrame:
     """``a, b, score`` (a < b) of all pairs of cosine at least ``threshold``."""
     r = _prepared(rows, id_col, vector_col, size)
 
@@ -102,8 +125,5 @@ def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, size: int, thre
         keep = np.array([rid[i] < qids[j] for i, j in zip(a, b, strict=True)], bool)
         return a[keep], b[keep]
 
-    found = None
-    for block in _blocks(r, size):
-        part = _scores(r, block, "cosine", over)
-        found = part if found is None else found.unionByName(part)
+    found = _scores(r, r, size, "cosine", over, block_values)
     return found.select(F.col("id").alias("a"), F.col("query_id").alias("b"), "score")

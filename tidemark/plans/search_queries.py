@@ -73,6 +73,17 @@ def edge_tag_overlap(spark, folder):
     return edge_ops.tag_edges(t, tags_col="tags").select("src_id", "dst_id", F.round("weight", 6).alias("weight"))
 
 
+_INDEXES: dict[tuple[str, str], retrieval.KeywordIndex] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> retrieval.KeywordIndex:
+    """The keyword index of a folder's documents: built once per application, searched many times."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.keyword_index(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return _INDEXES[key]
+
+
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
 _S = " + ".join(
@@ -85,7 +96,7 @@ bm AS (SELECT id, {_S} AS score FROM c, k WHERE greatest({', '.join(f'tf{i}' for
 
 @query(_BM + " SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 10")
 def bm25_topk(spark, folder):
-    return retrieval.bm25(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", TERMS, 10).select("id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(_index(spark, folder), TERMS, 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id AS id, len({_WORDS}) AS length, unnest({_WORDS}) AS term FROM documents) GROUP BY 1, 2")
@@ -111,7 +122,7 @@ SELECT id, round(rrf, 6) AS rrf, round(score, 6) AS score, row_number() OVER (OR
 
 def _recall(spark, folder, **more) -> DataFrame:
     v = emb(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    found = retrieval.recall(_docs(spark, folder), v, v.where("id = 0"), TERMS, AS_OF, 20, size=SIZE, **more)
+    found = retrieval.recall(_docs(spark, folder), v, v.where("id = 0"), TERMS, AS_OF, 20, size=SIZE, index=_index(spark, folder), **more)
     return found.select("id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -120,18 +131,31 @@ def recall_rrf(spark, folder):
     return _recall(spark, folder, conf=Retrieval(hops=0))
 
 
-@query()
+_GRAPH = f""", e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {NEAR}),
+seed AS ({{seed}}),
+h1 AS (SELECT b AS id, max(c) AS pr FROM e WHERE a IN (SELECT id FROM seed) AND b NOT IN (SELECT id FROM seed) GROUP BY 1 ORDER BY pr DESC, id LIMIT {{most}}),
+h2 AS (SELECT * FROM (SELECT id, pr, row_number() OVER (ORDER BY pr DESC, id) AS n FROM (SELECT b AS id, max(c) AS pr FROM e WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM seed) AND b NOT IN (SELECT id FROM h1) GROUP BY 1)) WHERE n <= {{most}} - (SELECT count(*) FROM h1)),
+hop AS (SELECT id, 1 AS hop, pr FROM h1 UNION ALL SELECT id, 2, pr FROM h2),
+gr AS (SELECT id, hop, row_number() OVER (ORDER BY hop, pr DESC, id) - 1 AS r FROM hop)"""
+
+
+@query(_LISTS.rstrip().rstrip(",") + _GRAPH.format(seed="SELECT id FROM de WHERE r < 10 UNION SELECT id FROM sp WHERE r < 10", most=20) + """, f AS (SELECT id, sum(s) AS rrf FROM (SELECT id, 0.6 / (61.0 + r) AS s FROM de UNION ALL SELECT id, 0.4 / (61.0 + r) FROM sp
+UNION ALL SELECT id, 0.3 * pow(0.5, hop) / (61.0 + greatest((SELECT count(*) FROM de), (SELECT count(*) FROM sp)) + r) FROM gr) GROUP BY 1)""" + _FINAL)
 def recall_hybrid_graph(spark, folder):
     e = edge_ops.threshold_edges(emb(spark, folder), "vec_id", "embedding", SIZE, NEAR)
     return _recall(spark, folder, edges=e)
 
 
-@query()
+_NOTES = "SELECT doc_id FROM documents WHERE kind = 'note'"
+
+
+@query(_LISTS.replace("FROM bm QUALIFY", f"FROM bm WHERE id IN ({_NOTES} AND lang = 'en') QUALIFY").replace("v.vec_id <> 0 QUALIFY", f"v.vec_id <> 0 AND v.vec_id IN ({_NOTES} AND lang = 'en') QUALIFY")
+       + "f AS (SELECT id, sum(s) AS rrf FROM (SELECT id, 0.6 / (61.0 + r) AS s FROM de UNION ALL SELECT id, 0.4 / (61.0 + r) FROM sp) GROUP BY 1)" + _FINAL)
 def recall_prefilter(spark, folder):
     return _recall(spark, folder, conf=Retrieval(hops=0), filters=retrieval.Filters(memory_type="note", tag="en"))
 
 
-@query()
+@query(_LISTS + "f AS (SELECT id, sum(s) AS rrf FROM (SELECT id, 0.6 / (61.0 + r) AS s FROM de UNION ALL SELECT id, 0.4 / (61.0 + r) FROM sp) GROUP BY 1)" + _FINAL.replace("ON doc_id = f.id)", f"ON doc_id = f.id WHERE f.id IN ({_NOTES}))").replace(" QUALIFY rank <= 20", ""))
 def recall_postfilter(spark, folder):
     return _recall(spark, folder, conf=Retrieval(hops=0), filters=retrieval.Filters(memory_type="note"), filter_mode="post", pool=True)
 
@@ -155,7 +179,7 @@ def graph_neighborhood(spark, folder):
     return nodes
 
 
-@query()
+@query(_V + _GRAPH.format(seed="SELECT vec_id AS id FROM v WHERE vec_id < 5", most=50) + " SELECT id, hop FROM hop")
 def graph_expand(spark, folder):
     e = edge_ops.threshold_edges(emb(spark, folder), "vec_id", "embedding", SIZE, NEAR)
     return traverse.expand(e, emb(spark, folder).where("vec_id < 5").select(F.col("vec_id").alias("id")), 50, 2).select("id", "hop")
