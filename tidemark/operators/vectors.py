@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vector values that one block may hold (32 MB as floats).
 BLOCK_VALUES = 8_000_000
@@ -75,16 +76,19 @@ def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("id", "v", place(row_parts).alias("rb")).select("id", "v", "rb", each(parts).alias("qb"))
-    right = queries.select("id", "v", place(parts).alias("qb")).select("id", "v", "qb", each(row_parts).alias("rb"))
+    # names of their own: rows and queries may be the same table
+    right = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), place(parts).alias("q")).select("qid", "qv", "q", each(row_parts).alias("r"))
+
+    kind = to_arrow_type(rows.schema["id"].dataType)
 
     def run(r: pa.Table, q: pa.Table) -> pa.Table:
-        if not r.num_rows or not q.num_rows:
-            return pa.table({"query_id": pa.array([], r.column("id").type), "id": pa.array([], r.column("id").type), "score": pa.array([], pa.float64())})
-        qids, qv = q.column("id").to_pylist(), _matrix(q.column("v"), size)
+        if not r.num_rows or not q.num_rows:  # the other side has no such block
+            return pa.table({"query_id": pa.array([], kind), "id": pa.array([], kind), "score": pa.array([], pa.float64())})
+        qids, qv = q.column("qid").to_pylist(), _matrix(q.column("qv"), size)
         some = max(1, 4_000_000 // len(qids))  # scores held at a time
-        return pa.Table.from_batches([_kept(x.column("id").to_pylist(), _matrix(x.column("v"), size), qids, qv, metric, keep, r.column("id").type) for x in (r.slice(at, some) for at in range(0, r.num_rows, some))])
+        return pa.Table.from_batches([_kept(x.column("id").to_pylist(), _matrix(x.column("v"), size), qids, qv, metric, keep, kind) for x in (r.slice(at, some) for at in range(0, r.num_rows, some))])
 
-    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(run, schema)
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("r", "q")).applyInArrow(run, schema)
 
 
 def _prepared(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
