@@ -58,7 +58,7 @@ def _flat(value: object, path: str = "") -> dict[str, str]:
         for k, v in value.items():
             out |= _flat(v, f"{path}.{k}" if path else str(k))
         return out
-    return {path: value if isinstance(value, str) else json.dumps(value)}
+    return {path: value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)}
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

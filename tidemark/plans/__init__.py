@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_quality, memory_queries, search_queries
+from tidemark.plans import data_quality, lifecycle_queries, memory_queries, search_queries
 
-MODULES = [data_quality, memory_queries, search_queries]
+MODULES = [data_quality, memory_queries, search_queries, lifecycle_queries]
 
 
 def queries() -> dict:

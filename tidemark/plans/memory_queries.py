@@ -138,12 +138,6 @@ def edge_temporal(spark, folder):
     return edge_ops.temporal_edges(m).select("src_id", "dst_id", "edge_type", "weight")
 
 
-@query(_MEM + "SELECT src_id, dst_id, edge_type, max(weight) AS weight FROM edge WHERE src_id <> dst_id AND src_id <> '' AND dst_id <> '' AND edge_type IS NOT NULL GROUP BY src_id, dst_id, edge_type, coalesce(label, '')")
-def edges_dedupe(spark, folder):
-    e = edges(spark, folder, "src_id", "dst_id", "edge_type", "label", "weight").where("src_id <> dst_id AND src_id <> '' AND dst_id <> '' AND edge_type IS NOT NULL")
-    return edge_ops.new_edges(e, e.limit(0)).select("src_id", "dst_id", "edge_type", "weight")
-
-
 @query(_MEM + "SELECT DISTINCT src_id, dst_id, 'explicit' AS edge_type FROM edge WHERE edge_type = 'explicit' AND src_id <> dst_id")
 def edge_explicit(spark, folder):
     return edge_ops.explicit_edges(edges(spark, folder, "src_id", "dst_id", "edge_type").where("edge_type = 'explicit'")).select("src_id", "dst_id", "edge_type")
@@ -295,17 +289,6 @@ def git_remote_norm(spark, folder):
     return table(spark, folder, "projects", "id", "git_remote").where("git_remote IS NOT NULL").select("id", git_remote(F.col("git_remote")).alias("remote")).distinct()
 
 
-@query()
-def metadata_merge(spark, folder):
-    extra = F.lit('{"tags": ["merged"], "seen": true}')
-    return mem(spark, folder, "metadata").select("id", md.merge_metadata(F.col("metadata"), extra).alias("metadata"))
-
-
-@query()
-def metadata_flat(spark, folder):
-    return mem(spark, folder, "metadata").select("id", F.explode(md.flatten_json("metadata")).alias("path", "value"))
-
-
 @query(_MEM + f"SELECT t AS tag, count(*) AS n FROM (SELECT id, unnest(list_distinct({_TAGS})) AS t FROM mem) GROUP BY 1")
 def tag_counts(spark, folder):
     return mem(spark, folder, "metadata").select(F.explode(F.array_distinct(md.tags(F.col("metadata")))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))

@@ -11,10 +11,8 @@ from tidemark.config import Retrieval
 from tidemark.operators import codegraph as cg
 from tidemark.operators import edges as edge_ops
 from tidemark.operators import lifecycle, retrieval, traverse, vectors
-from tidemark.session import shared_dir
 from tidemark.sources import export
 from tidemark.sources.tables import table
-from tidemark.streaming import pipelines
 
 AS_OF = datetime(2024, 3, 1)
 TERMS = ("queue", "worker", "timeout", "migration")
@@ -316,42 +314,3 @@ k AS (SELECT user_id, event_type || ' > ' || b || ' > ' || c AS gram, count(*) A
 SELECT * FROM (SELECT user_id, gram, n_times, row_number() OVER (PARTITION BY user_id ORDER BY n_times DESC, gram) AS rank FROM k) WHERE rank <= 5""")
 def ngram_events(spark, folder):
     return lifecycle.frequent_sequences(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type")
-
-
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    kind = table(spark, folder, "events").schema
-    return spark.readStream.schema(kind).parquet(f"{folder}/events.parque[t]")
-
-
-def _finished(stream: DataFrame, label: str, mode: str) -> DataFrame:
-    """What a finite stream gives, through a Parquet folder in the shared place."""
-    import uuid
-
-    spark, name = stream.sparkSession, f"{label}-{uuid.uuid4().hex}"
-    base = f"{shared_dir(spark)}/tidemark/stream/{name}"
-    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        q = out.format("parquet").option("path", f"{base}/rows").start()
-    else:
-        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows")).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
-
-
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_counts(spark, folder):
-    found = _finished(pipelines.counts(_stream(spark, folder), "ts", ["event_type"]), "counts", "complete")
-    return found.select(F.col("window_start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
-
-
-@query("""WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1800000000 THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM f)
-SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_rows FROM s GROUP BY user_id, no""")
-def stream_sessions(spark, folder):
-    found = _finished(pipelines.sessions(_stream(spark, folder), "ts", ["user_id"]), "sessions", "complete")
-    return found.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("ended_at").cast("timestamp_ntz").alias("ended_at"), "n_rows")
-
-
-@query("SELECT DISTINCT event_id FROM events")
-def stream_dedupe(spark, folder):
-    return _finished(pipelines.deduplicated(_stream(spark, folder), "ts", ["event_id"]).select("event_id"), "dedupe", "append")

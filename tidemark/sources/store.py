@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
@@ -52,13 +54,36 @@ def delete_projects(ids: DataFrame, projects: DataFrame, memories: DataFrame) ->
     return {"projects": projects.join(ids.select("id"), "id", "left_anti"), "memories": kept}
 
 
-def write_cold(rows: DataFrame, folder: str) -> None:
-    """Contents of archived memories, zstd-compressed, by project."""
-    rows.select("id", "content", "project_id").write.mode("append").option("compression", "zstd").partitionBy("project_id").parquet(folder)
+#: Folders of the cold tier; a fetch reads those of its ids, a deletion rewrites those.
+COLD_BUCKETS = 64
+
+
+def _cold_bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_cold(rows: DataFrame, folder: str, buckets: int = COLD_BUCKETS) -> None:
+    """Contents of archived memories, zstd-compressed, in a bounded number of folders by id."""
+    placed = rows.select("id", "content", "project_id", _cold_bucket(buckets)).repartition("bucket")
+    placed.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+
+
+def read_cold(spark: SparkSession, folder: str, ids: DataFrame, buckets: int = COLD_BUCKETS) -> DataFrame:
+    """``id, content, project_id`` of the ids; only their folders are read."""
+    wanted = ids.select("id", _cold_bucket(buckets)).distinct()
+    return spark.read.parquet(folder).join(wanted, ["bucket", "id"], "left_semi").drop("bucket")
 
 
-def read_cold(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
-    return spark.read.parquet(folder).join(ids.select("id"), "id", "left_semi")
+def delete_cold(spark: SparkSession, folder: str, ids: DataFrame, buckets: int = COLD_BUCKETS) -> None:
+    """Removes the ids' rows: their folders are written anew, the others stay as they are."""
+    wanted = materialize(ids.select("id", _cold_bucket(buckets)).distinct(), "cold-ids")
+    touched = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # no more than there are buckets
+    left = materialize(spark.read.parquet(folder).where(F.col("bucket").isin(touched)).join(wanted, ["bucket", "id"], "left_anti"), "cold-left")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in touched:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"bucket={k}"), True)
+    left.select("id", "content", "project_id", "bucket").repartition("bucket").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(folder)
 
 
 def detect_projects(wanted: DataFrame, projects: DataFrame) -> DataFrame:
