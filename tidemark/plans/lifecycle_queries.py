@@ -224,9 +224,9 @@ def stream_debounce(spark, folder):
     return found.select("event_type", F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n_rows")
 
 
-@query("""WITH RECURSIVE f AS (SELECT event_type, min(ts) AS at FROM events GROUP BY 1 UNION ALL
-SELECT f.event_type, n.at FROM f, LATERAL (SELECT min(ts) AS at FROM events e WHERE e.event_type = f.event_type AND e.ts >= f.at + INTERVAL 6 HOUR) n WHERE n.at IS NOT NULL)
-SELECT event_type, at AS fired_at FROM f""")
+@query("""WITH RECURSIVE f AS (SELECT event_type, min(ts) AS t FROM events GROUP BY 1 UNION ALL
+SELECT f.event_type, n.t FROM f, LATERAL (SELECT min(ts) AS t FROM events e WHERE e.event_type = f.event_type AND e.ts >= f.t + INTERVAL 6 HOUR) n WHERE n.t IS NOT NULL)
+SELECT event_type, t AS fired_at FROM f""")
 def stream_throttle(spark, folder):
     parts = with_late_rows(table(spark, folder, "events"))[:2]
     found = run_in_parts(spark, parts, "throttle", lambda s: pipelines.throttled(s, "ts", "event_type", 6 * 3600))

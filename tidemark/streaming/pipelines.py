@@ -89,7 +89,7 @@ def retries(outcomes: DataFrame, conf: Jobs = DEFAULTS.jobs, late: str = "10 sec
         status = "pending"
         for ok, at in sorted(((o, t) for frame in frames for o, t in zip(frame["ok"], frame["at"], strict=True)), key=lambda r: r[1]):
             if status != "pending":
-                continue
+                attempts, status = 0, "pending"
             attempts += 0 if ok else 1
             status = "done" if ok else "failed" if attempts >= conf.max_attempts else "pending"
             due = at + pd.Timedelta(seconds=conf.backoff_s * 2 ** min(attempts, conf.backoff_cap)) if status == "pending" else pd.NaT
