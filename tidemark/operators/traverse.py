@@ -22,6 +22,8 @@ def expand(edges: DataFrame, seeds: DataFrame, limit: int, hops: int, by: str =
     """
     both = undirected(edges, extra=("edge_type", "weight"))
     both = both.select("a", "b", (F.col("weight") + F.when(F.col("edge_type") == "relation", 1.0).otherwise(0.0)).alias("priority"))
+    if hops > 1:
+        both = materialize(both, "expand-edges")
     visited = frontier = seeds.select(F.col(by).alias("id")).distinct()
     found, left = None, limit
     for hop in range(1, max(hops, 1) + 1):
@@ -40,6 +42,8 @@ def expand(edges: DataFrame, seeds: DataFrame, limit: int, hops: int, by: str =
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "a", dst: str = "b") -> DataFrame:
     """``id, hop`` of all nodes within ``depth`` steps along src -> dst, the least hop each; seeds have 0."""
+    if depth > 1:
+        edges = materialize(edges.select(src, dst), "reach-edges")
     found = frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("hop", F.lit(0)), "reach")
     for hop in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("id").alias(src)), src, "left_semi").select(F.col(dst).alias("id")).distinct()
@@ -100,7 +104,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "src_id",
     if start == goal:
         return [start]
     spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    e = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "path-edges")  # read once per hop
     found = frontier = spark.createDataFrame([(start, None)], "id string, parent string")
     while True:
         step = e.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,11 +252,11 @@ def session_summary_top(spark, folder):
 
 @query(_MEM + """, c AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS r FROM mem WHERE memory_type = 'code_context' AND project_id IS NOT NULL),
 s AS (SELECT *, coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.tool') END, nullif(regexp_extract(coalesce(content, ''), '^\\s*(\\S+)', 1), ''), '?') AS tool, count(*) OVER (PARTITION BY project_id) AS n FROM c WHERE r <= 200),
-g AS (SELECT project_id, tool || ' > ' || lead(tool, 1) OVER w || ' > ' || lead(tool, 2) OVER w AS gram FROM s WHERE n >= 4 WINDOW w AS (PARTITION BY project_id ORDER BY created_at, id)),
+g AS (SELECT project_id, tool || ' > ' || lead(tool, 1) OVER w AS gram FROM s WHERE n >= 4 WINDOW w AS (PARTITION BY project_id ORDER BY created_at, id)),
 k AS (SELECT project_id, gram, count(*) AS n_times FROM g WHERE gram IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT * FROM (SELECT project_id, gram, n_times, row_number() OVER (PARTITION BY project_id ORDER BY n_times DESC, gram) AS rank FROM k) WHERE rank <= 5""")
 def ngram_top(spark, folder):
-    return lifecycle.procedures(mem(spark, folder, "memory_type", "project_id", "created_at", "metadata", "content"))
+    return lifecycle.procedures(mem(spark, folder, "memory_type", "project_id", "created_at", "metadata", "content"), Lifecycle(ngram=2))
 
 
 @query(_MEM + "SELECT id, regexp_replace('x <private lang=\"a\">' || content || '</PRIVATE> y ' || content, '(?is)<private(?:\\s[^>]*)?>.*?</private\\s*>', '', 'g') AS text FROM mem WHERE content IS NOT NULL")
@@ -322,13 +323,19 @@ def edges_incident(spark, folder):
     return edges_of(edges(spark, folder, "id", "src_id", "dst_id"), _keys(spark, folder, "deleted_memories", "memory_id")).select("id").distinct()
 
 
-@query(_MEM + "SELECT 'memories' AS table_name, count(*) AS n FROM mem WHERE id NOT IN (SELECT memory_id FROM dead) UNION ALL SELECT 'jobs', count(*) FROM job WHERE memory_id IS NULL OR memory_id NOT IN (SELECT memory_id FROM dead)")
+@query(_MEM + _LINE + """SELECT 'memories' AS table_name, id AS row_id, NULL AS other_id FROM mem WHERE id IS NULL OR id NOT IN (SELECT memory_id FROM dead) UNION ALL SELECT 'jobs', id, memory_id FROM job WHERE memory_id IS NULL OR memory_id NOT IN (SELECT memory_id FROM dead)
+UNION ALL SELECT DISTINCT 'edges', src_id, dst_id FROM edge WHERE (src_id IS NULL OR src_id NOT IN (SELECT memory_id FROM dead)) AND (dst_id IS NULL OR dst_id NOT IN (SELECT memory_id FROM dead))
+UNION ALL SELECT DISTINCT 'vectors', lower(trim(memory_id)), NULL FROM vec_memories WHERE lower(trim(memory_id)) NOT IN (SELECT memory_id FROM dead)
+UNION ALL SELECT 'lineage', decoy_id, child_id FROM line WHERE decoy_id NOT IN (SELECT memory_id FROM dead) AND child_id NOT IN (SELECT memory_id FROM dead)""")
 def delete_cascade(spark, folder):
+    """What is left of every table once the deleted memories are gone from it."""
     ids = _keys(spark, folder, "deleted_memories", "memory_id")
     m = mem(spark, folder, "is_decoy", "project_id")
-    left = delete_memories(ids, m, table(spark, folder, "vec_memories", "memory_id"), edges(spark, folder, "id", "src_id", "dst_id"), jobs(spark, folder, "memory_id"), _lineage(m))
-    n = lambda k: left[k].agg(F.lit(k).alias("table_name"), F.count(F.lit(1)).alias("n"))
-    return n("memories").unionByName(n("jobs"))
+    vectors = table(spark, folder, "vec_memories", "memory_id").select(normal_key(F.col("memory_id")).alias("memory_id")).where("memory_id IS NOT NULL").distinct()
+    left = delete_memories(ids, m, vectors, edges(spark, folder, "src_id", "dst_id"), jobs(spark, folder, "memory_id"), _lineage(m))
+    keys = {"memories": ("id", None), "jobs": ("id", "memory_id"), "edges": ("src_id", "dst_id"), "vectors": ("memory_id", None), "lineage": ("decoy_id", "child_id")}
+    parts = [left[t].select(F.lit(t).alias("table_name"), F.col(a).alias("row_id"), (F.col(b) if b else F.lit(None).cast("string")).alias("other_id")) for t, (a, b) in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(_MEM + "SELECT CASE WHEN project_id NOT IN (SELECT project_id FROM gone) THEN project_id END AS project_id, count(*) AS n FROM mem GROUP BY 1")
@@ -338,10 +345,12 @@ def delete_set_null(spark, folder):
     return left["memories"].groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT project_id FROM deleted_projects UNION SELECT id FROM projects)")
-def insert_or_ignore_count(spark, folder):
-    p = table(spark, folder, "projects", "id").distinct()
-    return insert_or_ignore(p, table(spark, folder, "deleted_projects").select(F.col("project_id").alias("id")), ["id"]).agg(F.count(F.lit(1)).alias("n"))
+@query("""WITH p AS (SELECT lower(trim(id)) AS id, max(name) AS name FROM projects GROUP BY 1), g AS (SELECT lower(trim(project_id)) AS id, CASE WHEN count(*) > count(reason) THEN NULL ELSE min(reason) END AS name FROM deleted_projects GROUP BY 1)
+SELECT id, name FROM p UNION ALL SELECT id, name FROM g WHERE id NOT IN (SELECT id FROM p)""")
+def insert_or_ignore_projects(spark, folder):
+    p = table(spark, folder, "projects", "id", "name").groupBy(normal_key(F.col("id")).alias("id")).agg(F.max("name").alias("name"))
+    g = table(spark, folder, "deleted_projects", "project_id", "reason").select(normal_key(F.col("project_id")).alias("id"), F.col("reason").alias("name"))
+    return insert_or_ignore(p, g, ["id"])
 
 
 @query("""WITH w AS (SELECT DISTINCT path, git_remote FROM projects UNION SELECT DISTINCT path || '-copy', git_remote FROM projects),

@@ -63,14 +63,6 @@ def edge_similarity(spark, folder):
     return edge_ops.threshold_edges(emb(spark, folder), "vec_id", "embedding", SIZE, NEAR).select("src_id", "dst_id", F.round("weight", 6).alias("weight"))
 
 
-@query("""WITH t AS (SELECT vec_id AS id, list_distinct(['l' || label, 'm' || label % 3, 'd' || vec_id % 5]) AS tags FROM embeddings)
-SELECT a.id AS src_id, b.id AS dst_id, round(len(list_intersect(a.tags, b.tags)) / (len(a.tags) + len(b.tags) - len(list_intersect(a.tags, b.tags))), 6) AS weight FROM t a JOIN t b ON a.id < b.id
-WHERE len(list_intersect(a.tags, b.tags)) >= 2""")
-def edge_tag_overlap(spark, folder):
-    t = emb(spark, folder).select(F.col("vec_id").alias("id"), F.array(F.concat(F.lit("l"), "label"), F.concat(F.lit("m"), F.col("label") % 3), F.concat(F.lit("d"), F.col("vec_id") % 5)).alias("tags"))
-    return edge_ops.tag_edges(t, tags_col="tags").select("src_id", "dst_id", F.round("weight", 6).alias("weight"))
-
-
 _INDEXES: dict[tuple[str, str], retrieval.KeywordIndex] = {}
 
 
@@ -199,114 +191,136 @@ def cluster_summary(spark, folder):
     return n.join(lifecycle.cohesion(c, e, "vec_id", "embedding", SIZE), "component").select("component", "n", F.round("cohesion", 6).alias("cohesion"))
 
 
-# The small code graph that the code queries are asked of.
-_NODES = [
-    ("p", "a.py#1:add", "a.py", "function", "add", 1, 3), ("p", "a.py#5:test_add", "a.py", "test", "test_add", 5, 8), ("p", "b.py#1:use_add", "b.py", "function", "use_add", 1, 4),
-    ("p", "b.py#6:main", "b.py", "function", "main", 6, 9), ("p", "c.py#1:Animal", "c.py", "type", "Animal", 1, 2), ("p", "c.py#4:Dog", "c.py", "type", "Dog", 4, 6), ("p", "c.py#8:add", "c.py", "function", "add", 8, 9),
-    ("p", "d.py#1:getUserById", "d.py", "function", "getUserById", 1, 5), ("p", "d.py#7:os.path", "d.py", "import", "os.path", 7, 7),
-]
-_CALLS = [("p", "a.py", "a.py#5:test_add", "add"), ("p", "b.py", "b.py#1:use_add", "add"), ("p", "b.py", "b.py#6:main", "use_add"), ("p", "c.py", None, "add"), ("p", "c.py", "c.py#8:add", "add"), ("p", "d.py", "d.py#1:getUserById", "main")]
-_TESTS = [("p", "a.py", "a.py#5:test_add", "add")]
-_INHERITS = [("p", "c.py", "Dog", "Animal")]
-
-
-def _code(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    nodes = spark.createDataFrame(_NODES, "project_id string, id string, file_path string, kind string, name string, start_line int, end_line int")
-    calls = spark.createDataFrame(_CALLS, "project_id string, file_path string, caller_id string, ref string")
-    tests = spark.createDataFrame(_TESTS, "project_id string, file_path string, test_id string, ref string")
-    inherits = spark.createDataFrame(_INHERITS, "project_id string, file_path string, sub string, ref string")
+# A code graph derived from the tables: parts are symbols, brands are files, large returned lines are calls.
+_SYMBOLS = "('function', 'method', 'type')"
+_CG = f"""WITH RECURSIVE n AS (SELECT 'p' || p_size % 2 AS project_id, f || '#' || k || ':' || name AS id, f AS file_path, kind, name, k AS start_line, k + 3 AS end_line, k
+  FROM (SELECT p_size, p_partkey AS k, 'src/' || replace(lower(p_brand), '#', '') || '.py' AS f, CASE p_partkey % 10 WHEN 0 THEN 'type' WHEN 1 THEN 'test' WHEN 2 THEN 'import' ELSE 'function' END AS kind,
+  CASE WHEN p_partkey % 10 = 1 THEN 'test_s' || (p_partkey + 2) % 300 ELSE 's' || p_partkey % 300 END AS name FROM part)),
+c AS (SELECT DISTINCT project_id, file_path, id AS caller_id, 's' || l_suppkey * 3 % 300 AS ref FROM lineitem JOIN n ON k = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45 AND kind IN ('function', 'test')),
+cr AS (SELECT c.project_id, caller_id AS src_id, n.id AS dst_id, 'calls' AS kind FROM c JOIN n ON n.project_id = c.project_id AND n.name = c.ref AND n.kind IN {_SYMBOLS}
+  QUALIFY row_number() OVER (PARTITION BY c.project_id, c.file_path, caller_id, ref ORDER BY n.file_path = c.file_path DESC, n.file_path, start_line, n.id) = 1),
+tr AS (SELECT t.project_id, t.id AS src_id, n.id AS dst_id, 'tests' AS kind FROM n t JOIN n ON n.project_id = t.project_id AND n.name = replace(t.name, 'test_', '') AND n.kind IN {_SYMBOLS} WHERE t.kind = 'test'
+  QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY n.file_path = t.file_path DESC, n.file_path, n.start_line, n.id) = 1),
+ir AS (SELECT s.project_id, s.id AS src_id, n.id AS dst_id, 'extends' AS kind FROM (SELECT x.project_id, x.file_path, x.name AS sub, 's' || x.k * 7 % 300 AS sup, y.id FROM n x JOIN n y ON y.project_id = x.project_id AND y.name = x.name AND y.kind = 'type' WHERE x.kind = 'type'
+  QUALIFY row_number() OVER (PARTITION BY x.project_id, x.file_path, x.name, x.k * 7 % 300 ORDER BY y.file_path = x.file_path DESC, y.file_path, y.start_line, y.id) = 1) s JOIN n ON n.project_id = s.project_id AND n.name = s.sup AND n.kind = 'type'
+  QUALIFY row_number() OVER (PARTITION BY s.project_id, s.file_path, s.sub, s.sup, s.id ORDER BY n.file_path, n.start_line, n.id) = 1),
+e AS (SELECT DISTINCT * FROM (SELECT * FROM cr UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM ir) WHERE src_id <> dst_id), pn AS (SELECT * FROM n WHERE project_id = 'p0'), pe AS (SELECT * FROM e WHERE project_id = 'p0')"""
+PROJECT = "p0"
+
+
+def _code(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    kind = F.when(k % 10 == 0, "type").when(k % 10 == 1, "test").when(k % 10 == 2, "import").otherwise("function")
+    name = F.when(k % 10 == 1, F.concat(F.lit("test_s"), text((k + 2) % 300))).otherwise(F.concat(F.lit("s"), text(k % 300)))
+    file = F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit(".py"))
+    parts = table(spark, folder, "part", "p_partkey", "p_brand", "p_size").select(F.concat(F.lit("p"), text(F.col("p_size") % 2)).alias("project_id"), file.alias("file_path"), kind.alias("kind"), name.alias("name"), k.alias("start_line"), (k + 3).alias("end_line"))
+    nodes = parts.select("project_id", F.concat("file_path", F.lit("#"), text(F.col("start_line")), F.lit(":"), "name").alias("id"), "file_path", "kind", "name", "start_line", "end_line")
+    lines = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").where("l_returnflag = 'R' AND l_quantity >= 45")
+    callers = nodes.where(F.col("kind").isin("function", "test")).withColumnRenamed("start_line", "l_partkey")
+    calls = lines.join(callers, "l_partkey").select("project_id", "file_path", F.col("id").alias("caller_id"), F.concat(F.lit("s"), text(F.col("l_suppkey") * 3 % 300)).alias("ref")).distinct()
+    tests = nodes.where("kind = 'test'").select("project_id", "file_path", F.col("id").alias("test_id"), F.replace("name", F.lit("test_"), F.lit("")).alias("ref"))
+    inherits = nodes.where("kind = 'type'").select("project_id", "file_path", F.col("name").alias("sub"), F.concat(F.lit("s"), text(F.col("start_line") * 7 % 300)).alias("ref")).distinct()
     return nodes, cg.resolve_edges(nodes, calls, tests, inherits)
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
-
-
-_CG = f"""WITH RECURSIVE n(project_id, id, file_path, kind, name, start_line, end_line) AS (VALUES {_values(_NODES)}), c(project_id, file_path, caller_id, ref) AS (VALUES {_values(_CALLS)}),
-cr AS (SELECT caller_id AS src_id, n.id AS dst_id, 'calls' AS kind FROM c JOIN n ON n.name = c.ref AND n.kind IN ('function', 'method', 'type') WHERE caller_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY c.file_path, caller_id, ref ORDER BY n.file_path = c.file_path DESC, n.file_path, start_line, n.id) = 1),
-e AS (SELECT DISTINCT * FROM cr WHERE src_id <> dst_id UNION ALL VALUES ('a.py#5:test_add', 'a.py#1:add', 'tests'), ('c.py#4:Dog', 'c.py#1:Animal', 'extends'))"""
+@query(_CG + " SELECT project_id, src_id, dst_id, kind FROM e")
+def cg_resolve(spark, folder):
+    return _code(spark, folder)[1].select("project_id", "src_id", "dst_id", "kind")
 
 
-@query(_CG + " SELECT src_id, dst_id, kind FROM e")
-def cg_resolve(spark, folder):
-    return _code(spark)[1].select("src_id", "dst_id", "kind")
+def _named(name: str) -> str:
+    return f"(SELECT id FROM pn WHERE name = '{name}' AND kind IN {_SYMBOLS} ORDER BY file_path, start_line, id LIMIT 1)"
 
 
 def _hop(text: str):
     q = cg.parse_query(text)
 
     def run(spark, folder):
-        nodes, e = _code(spark)
-        return cg.one_hop(nodes, e, q.name, *cg.ONE_HOP[q.op]).select("id")
+        nodes, e = _code(spark, folder)
+        return cg.one_hop(nodes, e, q.name, *cg.ONE_HOP[q.op], PROJECT).select("id")
 
     return run
 
 
-for _name, _text, _kind, _at, _out, _node in (
-    ("cg_callers", "callers_of:add", "calls", "dst_id", "src_id", "a.py#1:add"), ("cg_callees", "callees_of:main", "calls", "src_id", "dst_id", "b.py#6:main"), ("cg_tests", "tests_for:add", "tests", "dst_id", "src_id", "a.py#1:add"),
-    ("cg_subtypes", "subtypes_of:Animal", "extends", "dst_id", "src_id", "c.py#1:Animal"), ("cg_supertypes", "supertypes_of:Dog", "extends", "src_id", "dst_id", "c.py#4:Dog"),
-):
+_HOPS = {"callers_of": ("calls", "dst_id", "src_id"), "callees_of": ("calls", "src_id", "dst_id"), "tests_for": ("tests", "dst_id", "src_id"), "subtypes_of": ("extends", "dst_id", "src_id"), "supertypes_of": ("extends", "src_id", "dst_id")}
+for _name, _text in (("cg_callers", "callers_of:s3"), ("cg_callees", "callees_of:s3"), ("cg_tests", "tests_for:s3"), ("cg_subtypes", "subtypes_of:s70"), ("cg_supertypes", "supertypes_of:s10")):
+    _op, _, _symbol = _text.partition(":")
     QUERIES[_name] = _hop(_text)
-    ORACLE[_name] = _CG + f" SELECT DISTINCT {_out} AS id FROM e WHERE kind = '{_kind}' AND {_at} = '{_node}'"
+    ORACLE[_name] = _CG + f" SELECT DISTINCT {_HOPS[_op][2]} AS id FROM pe WHERE kind = '{_HOPS[_op][0]}' AND {_HOPS[_op][1]} = {_named(_symbol)}"
 
 
-@query(_CG + " SELECT id FROM n WHERE kind = 'import' AND contains(lower(name), 'os')")
+@query(_CG + " SELECT id FROM (SELECT id, name FROM pn WHERE kind = 'import' AND contains(lower(name), 's12') ORDER BY name, id LIMIT 50)")
 def cg_imports(spark, folder):
-    return cg.imports_of(*_code(spark), "os").select("id")
+    return cg.imports_of(*_code(spark, folder), "S12", PROJECT).select("id")
 
 
-@query(_CG + " SELECT id FROM n WHERE contains(lower(name), 'user') ORDER BY name, id LIMIT 50")
+@query(_CG + " SELECT id FROM (SELECT id, name FROM pn WHERE contains(lower(name), 's1') ORDER BY name, id LIMIT 50)")
 def cg_keyword(spark, folder):
-    return cg.keyword(_code(spark)[0], "User").select("id")
+    return cg.keyword(_code(spark, folder)[0], "S1", project_id=PROJECT).select("id")
 
 
-@query("SELECT * FROM (VALUES (0, 'd.py#1:getUserById'), (1, 'b.py#6:main'), (2, 'b.py#1:use_add'), (3, 'a.py#1:add')) t(step, id)")
+@query(_CG + f""", w AS (SELECT {_named('s184')} AS id, 0 AS hop UNION SELECT pe.dst_id, w.hop + 1 FROM w JOIN pe ON pe.src_id = w.id AND pe.kind IN ('calls', 'imports') WHERE w.hop < 40)
+SELECT {_named('s184')} AS first_id, {_named('s213')} AS last_id, min(hop) AS n_steps FROM w WHERE id = {_named('s213')} HAVING count(*) > 0""")
 def cg_path(spark, folder):
-    found = cg.path(*_code(spark), "getUserById", "add")
-    return spark.createDataFrame(list(enumerate(found)), "step int, id string")
+    found = cg.path(*_code(spark, folder), "s184", "s213", PROJECT)
+    return spark.createDataFrame([(found[0], found[-1], len(found) - 1)] if found else [], "first_id string, last_id string, n_steps int")
+
 
+_BLAST = _CG + f""", w AS (SELECT id, 0 AS hop FROM pn WHERE name = 's3' AND kind IN {_SYMBOLS} UNION SELECT pe.src_id, w.hop + 1 FROM w JOIN pe ON pe.dst_id = w.id AND pe.kind IN ('calls', 'imports', 'extends') WHERE w.hop < 5),
+reached AS (SELECT id, min(hop) AS hop FROM w GROUP BY 1)"""
 
-@query(_CG + ", w AS (SELECT 'a.py#1:add' AS id, 0 AS hop UNION SELECT 'c.py#8:add', 0 UNION SELECT e.src_id, w.hop + 1 FROM w JOIN e ON e.dst_id = w.id AND e.kind IN ('calls', 'imports', 'extends') WHERE w.hop < 5) SELECT id, min(hop) AS hop FROM w GROUP BY 1 HAVING min(hop) > 0")
+
+@query(_BLAST + " SELECT id, hop FROM reached WHERE hop > 0")
 def blast_radius(spark, folder):
-    return cg.blast_radius(*_code(spark), "add")[0]
+    return cg.blast_radius(*_code(spark, folder), "s3", project_id=PROJECT)[0]
 
 
-@query()
+@query(_BLAST + " SELECT 'dependent' AS role, id, hop FROM reached WHERE hop > 0 UNION ALL SELECT DISTINCT 'test', src_id, 0 FROM pe WHERE kind = 'tests' AND dst_id IN (SELECT id FROM reached)"
+       + "".join(f" UNION ALL SELECT DISTINCT '{op}', {out}, 1 FROM pe WHERE kind = '{kind}' AND {at} = {_named('s3')}" for op, (kind, at, out) in _HOPS.items()))
 def cg_explore(spark, folder):
-    return cg.explore(*_code(spark), "add")
+    return cg.explore(*_code(spark, folder), "s3", project_id=PROJECT)
+
 
+_FIRST = "(SELECT id FROM pn ORDER BY file_path, start_line, id LIMIT 200)"
 
-@query(_CG + " SELECT e.src_id, e.dst_id FROM e WHERE src_id IN (SELECT id FROM n ORDER BY file_path, start_line, id LIMIT 4) AND dst_id IN (SELECT id FROM n ORDER BY file_path, start_line, id LIMIT 4)")
+
+@query(_CG + f" SELECT src_id, dst_id FROM pe WHERE src_id IN {_FIRST} AND dst_id IN {_FIRST}")
 def codegraph_view(spark, folder):
-    return cg.view(*_code(spark), limit=4)[1].select("src_id", "dst_id")
+    return cg.view(*_code(spark, folder), limit=200, project_id=PROJECT)[1].select("src_id", "dst_id")
 
 
-@query("SELECT * FROM (VALUES ('b', 'again'), ('d', 'again'), ('c', 'gone')) t(path, what)")
+@query("""WITH now AS (SELECT p_brand AS path, count(*) AS h FROM part GROUP BY 1), old AS (SELECT p_brand AS path, count(*) FILTER (p_size <> 11) AS h FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1 UNION ALL SELECT 'gone-' || r_name, 1 FROM region)
+SELECT now.path, 'again' AS what FROM now LEFT JOIN old USING (path) WHERE old.h IS DISTINCT FROM now.h UNION ALL SELECT path, 'gone' FROM old WHERE path NOT IN (SELECT path FROM now)""")
 def cg_incremental(spark, folder):
-    kind = "project_id string, path string, content_hash string"
-    now = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "d", "4")], kind)
-    old = spark.createDataFrame([("p", "a", "1"), ("p", "b", "x"), ("p", "c", "3")], kind)
-    again, gone = cg.changed_files(now, old)
+    """Files (brands) whose symbols changed since the stored state, in which one size, one brand and some others differ."""
+    part, hashed = table(spark, folder, "part", "p_brand", "p_size"), lambda c: c.cast("string").alias("content_hash")
+    now = part.groupBy(F.lit("p").alias("project_id"), F.col("p_brand").alias("path")).agg(hashed(F.count(F.lit(1))))
+    old = part.where("p_brand <> 'Brand#1'").groupBy(F.lit("p").alias("project_id"), F.col("p_brand").alias("path")).agg(hashed(F.count(F.when(F.col("p_size") != 11, 1))))
+    dropped = table(spark, folder, "region", "r_name").select(F.lit("p").alias("project_id"), F.concat(F.lit("gone-"), "r_name").alias("path"), F.lit("1").alias("content_hash"))
+    again, gone = cg.changed_files(now, old.unionByName(dropped))
     return again.select("path", F.lit("again").alias("what")).unionByName(gone.select("path", F.lit("gone").alias("what")))
 
 
+@query(_CG + ", f AS (SELECT project_id, count(DISTINCT file_path) AS n_files, count(*) AS n_nodes FROM n GROUP BY 1), k AS (SELECT project_id, count(*) AS n_edges FROM e GROUP BY 1) SELECT project_id, n_files, n_nodes, coalesce(n_edges, 0) AS n_edges FROM f LEFT JOIN k USING (project_id)")
+def cg_stats(spark, folder):
+    nodes, e = _code(spark, folder)
+    return cg.stats(nodes.select("project_id", "file_path").distinct(), nodes, e)
+
+
 @query(_CG + """ SELECT 0 AS part, 'digraph codegraph {' AS line UNION ALL SELECT 1, '  "' || id || '" [label="' || name || '"];' FROM n UNION ALL SELECT 2, '  "' || src_id || '" -> "' || dst_id || '" [label="' || kind || '"];' FROM e UNION ALL SELECT 3, '}'""")
 def export_dot(spark, folder):
-    nodes, e = _code(spark)
-    return export.dot(nodes, e)
+    return export.dot(*_code(spark, folder))
 
 
-@query()
+@query(_CG + """ SELECT 1 AS part, '    <node id="' || id || '"><data key="name">' || name || '</data></node>' AS line FROM n UNION ALL SELECT 2, '    <edge source="' || src_id || '" target="' || dst_id || '"><data key="kind">' || kind || '</data></edge>' FROM e""")
 def export_graphml(spark, folder):
-    nodes, e = _code(spark)
-    return export.graphml(nodes, e)
+    return export.graphml(*_code(spark, folder)).where("part IN (1, 2)")
 
 
-@query()
+@query(_CG + """ SELECT to_json({'record': 'node', 'project_id': project_id, 'id': id, 'file_path': file_path, 'kind': kind, 'name': name, 'start_line': start_line, 'end_line': end_line})::VARCHAR AS line FROM n
+UNION ALL SELECT to_json({'record': 'edge', 'project_id': project_id, 'src_id': src_id, 'dst_id': dst_id, 'kind': kind})::VARCHAR FROM e""")
 def export_graph_json(spark, folder):
-    nodes, e = _code(spark)
-    return export.graph_json(nodes, e)
+    return export.graph_json(*_code(spark, folder))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
