@@ -57,3 +57,25 @@ def test_nulls_repeats_and_empty(spark):
 def test_hot_stream_over_many_slices(spark):
     rows = [(str(i), "a", "x", T + timedelta(seconds=37 * i + (500 if i > 40 else 0)), 0) for i in range(120)]
     assert run(spark, rows) == brute(rows, 100)
+
+
+def test_slices_and_stretches_change_nothing(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from tidemark.operators.lifecycle import frequent_sequences
+    from tidemark.operators.sessions import gap_sessions
+
+    rng, at = random.Random(3), datetime(2024, 1, 1)
+    rows = [(f"e{i:03}", rng.choice(["a", "b", None]), at + timedelta(seconds=rng.randrange(40_000)), rng.choice("xyz")) for i in range(200)] + [("n1", "a", None, "x")]
+    df = spark.createDataFrame(rows, "id string, project_id string, created_at timestamp, step string")
+    sessions = lambda s: {(r.id, r.project_id, r.session_no) for r in gap_sessions(df, 600, slice_s=s).collect()}
+    assert sessions(86_400 * 9) == sessions(900) and len(sessions(900)) == 201
+    grams = lambda n: {tuple(r) for r in frequent_sequences(df, "project_id", ["created_at", "id"], "step", 3, 2, None, 4, n).collect()}
+    assert grams(10_000) == grams(7) and len(grams(7)) > 10
+    counts = {}
+    for key in ("a", "b", None):
+        mine = [r[3] for r in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] or datetime.min, r[0]))]
+        for g in zip(mine, mine[1:], mine[2:], strict=False):
+            counts[key, " > ".join(g)] = counts.get((key, " > ".join(g)), 0) + 1
+    assert {(k, g, n) for k, g, n, _ in grams(7)} == {(k, g, n) for (k, g), n in counts.items() if n >= 2}

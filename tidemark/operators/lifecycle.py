@@ -12,6 +12,7 @@ from tidemark.functions.metadata import has_tag, tool_name
 from tidemark.functions.scoring import days_between, forgetting_strength
 from tidemark.functions.text import ellipsis
 from tidemark.operators.edges import threshold_edges
+from tidemark.operators.sessions import numbered
 from tidemark.operators.traverse import components
 
 SUMMARY_TAG = "session-summary"
@@ -101,11 +102,23 @@ def session_summaries(memories: DataFrame, conf: Lifecycle = DEFAULTS.lifecycle,
     return r.groupBy(F.col(by).alias("project_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.substring(texts, 1, most).alias("summary"))
 
 
-def frequent_sequences(rows: DataFrame, by: str, order: list[str], step: str, n: int = DEFAULTS.lifecycle.ngram, support: int = DEFAULTS.lifecycle.ngram_support, top: int | None = DEFAULTS.lifecycle.ngram_top, least_rows: int = DEFAULTS.lifecycle.ngram_min_rows) -> DataFrame:
-    """``by, gram, n_times, rank``: runs of ``n`` steps that occur at least ``support`` times, the ``top`` per key."""
-    along = Window.partitionBy(by).orderBy(*order)
-    r = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(by))).where(F.col("__n") >= least_rows)
-    grams = r.select(by, *[F.lead(step, k).over(along).alias(f"g{k}") for k in range(n)]).where(F.col(f"g{n - 1}").isNotNull())
+#: Rows of one key that are looked at in one task for runs of steps.
+STRETCH = 10_000
+
+
+def frequent_sequences(rows: DataFrame, by: str, order: list[str], step: str, n: int = DEFAULTS.lifecycle.ngram, support: int = DEFAULTS.lifecycle.ngram_support, top: int | None = DEFAULTS.lifecycle.ngram_top, least_rows: int = DEFAULTS.lifecycle.ngram_min_rows, stretch: int = STRETCH) -> DataFrame:
+    """``by, gram, n_times, rank``: runs of ``n`` steps that occur at least ``support`` times, the ``top`` per key.
+
+    The rows of a key, in the order of a time and then of what follows it in ``order``, are cut into stretches that also
+    hold the first rows of the next one: runs over a border are found once, and no task sees all rows of a key.
+    """
+    r = numbered(rows, (by,), order).where(F.col("__of") >= least_rows).select(by, F.col(step).alias("__step"), "__no")
+    own = F.floor(F.col("__no") / stretch)
+    again = (F.col("__no") % stretch < n - 1) & (own > 0)
+    r = r.select(by, "__step", "__no", F.explode(F.when(again, F.array(own, own - 1)).otherwise(F.array(own))).alias("__part"))
+    along = Window.partitionBy(by, "__part").orderBy("__no")
+    grams = r.select(by, "__part", "__no", *[F.lead("__step", k).over(along).alias(f"g{k}") for k in range(n)])
+    grams = grams.where((F.floor(F.col("__no") / stretch) == F.col("__part")) & F.col(f"g{n - 1}").isNotNull())
     counted = grams.select(by, F.concat_ws(" > ", *[f"g{k}" for k in range(n)]).alias("gram")).groupBy(by, "gram").agg(F.count(F.lit(1)).alias("n_times")).where(F.col("n_times") >= support)
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n_times"), "gram")))
     return ranked if top is None else ranked.where(F.col("rank") <= top)

@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metadata import session_key
 from tidemark.functions.scoring import seconds_between
 
+#: Width of the slices of time that a key's rows are cut into.
+SLICE_SECONDS = 86_400
+
 
 def keyed_sessions(rows: DataFrame) -> DataFrame:
     """Rows with a session key in their metadata: ``session_no`` is that key."""
     return rows.withColumn("session_no", session_key(F.col("metadata"))).where(F.col("session_no").isNotNull())
 
 
-def gap_sessions(rows: DataFrame, gap_s: int = 1800, by: tuple[str, ...] = ("project_id",), at: str = "created_at", id_col: str = "id") -> DataFrame:
-    """``session_no`` of rows per ``by``: a new one after a gap of more than ``gap_s`` seconds."""
-    order = Window.partitionBy(*by).orderBy(at, id_col)
-    first = F.when(seconds_between(F.col(at), F.lag(at).over(order)) <= gap_s, 0).otherwise(1)
-    return rows.withColumn("__first", first).withColumn("session_no", F.sum("__first").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__first")
+def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with one row per ``keys``; null keys are equal. Comes as an equality join."""
+    names = {k: f"__on_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(small.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in small.columns if c not in keys]), reduce(lambda x, y: x & y, on)).drop(*names.values())
+
+
+def _sliced(rows: DataFrame, at: str, slice_s: int) -> DataFrame:
+    """``__t`` and its time slice ``__k``; rows without a time are a slice of their own, before all others."""
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    return rows.withColumn("__t", t).withColumn("__k", F.coalesce(F.floor(F.col("__t") / F.lit(slice_s * 1_000_000)), F.lit(-(1 << 60)).cast("bigint")))
+
+
+def gap_sessions(rows: DataFrame, gap_s: int = 1800, by: tuple[str, ...] = ("project_id",), at: str = "created_at", id_col: str = "id", slice_s: int = SLICE_SECONDS) -> DataFrame:
+    """``session_no`` of rows per ``by``: a new one after a gap of more than ``gap_s`` seconds.
+
+    Rows are compared within slices of time, and slices by their last rows, so that no task sees all rows of a key.
+    """
+    keys = [*by, "__k"]
+    r = _sliced(rows, at, slice_s)
+    order, along = Window.partitionBy(*keys).orderBy("__t", id_col), Window.partitionBy(*by).orderBy("__k")
+    before = r.groupBy(*keys).agg(F.max("__t").alias("__last")).select(*keys, F.lag("__last").over(along).alias("__before"))
+    r = _with(r, before, keys)
+    first = F.when(F.col("__t") - F.coalesce(F.lag("__t").over(order), F.col("__before")) <= gap_s * 1_000_000, 0).otherwise(1)
+    r = r.withColumn("__first", first)
+    base = r.groupBy(*keys).agg(F.sum("__first").alias("n"))
+    base = base.select(*keys, (F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__base"))
+    r = _with(r, base, keys)
+    return r.withColumn("session_no", F.col("__base") + F.sum("__first").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*rows.columns, "session_no")
+
+
+def numbered(rows: DataFrame, by: tuple[str, ...], order: list[str], slice_s: int = SLICE_SECONDS) -> DataFrame:
+    """``rows`` with ``__no``, the place of each among those of its key (from 0), and ``__of``, how many these are. The
+    first column of ``order`` is a time; the work is cut by it, so that no task sees all rows of a key."""
+    keys = [*by, "__k"]
+    r = _sliced(rows, order[0], slice_s)
+    along = Window.partitionBy(*by).orderBy("__k")
+    sizes = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(*keys, (F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__base"), F.sum("n").over(Window.partitionBy(*by)).alias("__of"))
+    within = Window.partitionBy(*keys).orderBy(*order)
+    return _with(r, sizes, keys).withColumn("__no", F.col("__base") + F.row_number().over(within) - 1).select(*rows.columns, "__no", "__of")
 
 
 def interleaved_sessions(rows: DataFrame, gap_s: int = 1800, by: str = "project_id", at: str = "created_at", id_col: str = "id", slice_s: int = 86_400) -> DataFrame:
