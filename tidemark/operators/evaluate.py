@@ -49,4 +49,4 @@ def ranked_turns(instances: DataFrame, rows: DataFrame) -> DataFrame:
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     score = s.groupBy("question_id", "id").agg(F.sum(part).alias("score"))
-    return score.select("question_id", "id", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id")).alias("rank"))
+    return score.select("question_id", "id", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "id")).alias("rank"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.config import Jobs, Lifecycle
 from tidemark.functions import metadata as md
 from tidemark.functions.keys import normal_key
-from tidemark.operators import context, edges as edge_ops, lifecycle
+from tidemark.operators import context, edges as edge_ops, evaluate, lifecycle, retrieval, sessions
 from tidemark.operators.vectors import usable
-from tidemark.plans.memory_queries import _MEM, _TAGS, AS_OF, edges, jobs, mem
+from tidemark.plans.memory_queries import _GAP, _MEM, _TAGS, AS_OF, edges, jobs, mem
 from tidemark.session import materialize, shared_dir
 from tidemark.sources.ingest import EVENT_TYPES
 from tidemark.sources.store import delete_cold, insert_or_replace, read_cold, upsert, write_cold
@@ -290,3 +290,28 @@ def edges_dedupe(spark, folder):
     e = edges(spark, folder, "src_id", "dst_id", "edge_type", "label", "weight", "created_at")
     fresh = e.where("src_id <> dst_id AND src_id <> '' AND dst_id <> '' AND edge_type IS NOT NULL")
     return edge_ops.new_edges(fresh, e.where("created_at < TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select("src_id", "dst_id", "edge_type", "weight")
+
+
+_TURN_WORDS = "list_filter(string_split_regex(lower(coalesce(content, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+@query(_GAP + f""", q AS (SELECT project_id, content AS question, session_no FROM s WHERE trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY importance DESC NULLS LAST, id) = 1),
+d AS (SELECT project_id, id, session_no, {_TURN_WORDS} AS w FROM s), every AS (SELECT project_id, count(*) AS n, avg(len(w)) AS mean FROM d GROUP BY 1),
+tf AS (SELECT project_id, id, term, len(any_value(w)) AS length, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+tm AS (SELECT DISTINCT project_id, unnest({_TURN_WORDS.replace('content', 'question')}) AS term FROM q), hit AS (SELECT * FROM tf JOIN tm USING (project_id, term)),
+df AS (SELECT project_id, term, count(*) AS df FROM hit GROUP BY 1, 2),
+sc AS (SELECT project_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM hit JOIN df USING (project_id, term) JOIN every USING (project_id) GROUP BY 1, 2),
+rk AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc),
+first AS (SELECT q.project_id, min(rank) AS first FROM q LEFT JOIN (SELECT rk.*, session_no FROM rk JOIN s USING (project_id, id)) g ON g.project_id = q.project_id AND g.session_no = q.session_no GROUP BY 1)
+SELECT count(*) AS n_questions, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM first""")
+def eval_questions(spark, folder):
+    """A question set from the data: each project's haystack are its sessions, the question is its most important
+    memory, the answer that memory's session."""
+    m = mem(spark, folder, "project_id", "content", "created_at", "importance").where("project_id IS NOT NULL")
+    s = materialize(sessions.gap_sessions(m).withColumn("session_id", F.col("session_no").cast("string")), "questions")
+    rows = s.select(F.col("project_id").alias("question_id"), "id", "session_id", "content", F.lit(False).alias("has_answer"))
+    asked = s.where("trim(content) <> ''").groupBy(F.col("project_id").alias("question_id"))
+    asked = asked.agg(F.min_by(F.struct("content", "session_id"), F.struct(-F.coalesce("importance", F.lit(-1e9)), F.col("id"))).alias("q"))
+    instances = asked.select("question_id", F.col("q.content").alias("question"), F.array("q.session_id").alias("answer_session_ids"))
+    found = retrieval.metrics(evaluate.ranked_turns(instances, rows), evaluate.gold(instances, rows))
+    return found.select("n_questions", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
