@@ -71,3 +71,15 @@ def test_metadata(spark):
 def test_text(spark):
     assert one(spark, tokens(F.col("c")), "Ab-c, Élan 9!") == ["ab", "c", "élan", "9"] and one(spark, tokens(F.col("c")), None) == []
     assert one(spark, ellipsis(F.col("c"), 5), "abcdefgh") == "ab..." and one(spark, ellipsis(F.col("c"), 8), "abcdefgh") == "abcdefgh"
+
+
+def test_stems(spark):
+    from tidemark.functions.porter import stem
+    from tidemark.operators import retrieval
+
+    want = "caresses caress|ponies poni|ties ti|cats cat|feed feed|agreed agre|plastered plaster|bled bled|motoring motor|sing sing|conflated conflat|troubled troubl|sized size|hopping hop|tanned tan|falling fall|hissing hiss|fizzed fizz|failing fail|filing file|happy happi|sky sky|relational relat|conditional condit|rational ration|valenci valenc|digitizer digit|operator oper|feudalism feudal|decisiveness decis|hopefulness hope|formaliti formal|triplicate triplic|formative form|formalize formal|electrical electr|goodness good|revival reviv|allowance allow|inference infer|airliner airlin|adjustable adjust|defensible defens|irritant irrit|replacement replac|adjustment adjust|dependent depend|adoption adopt|communism commun|activate activ|effective effect|bowdlerize bowdler|probate probat|rate rate|cease ceas|controll control|roll roll|größe größe|42 42|as as"
+    assert {w: stem(w) for w, _ in (p.split() for p in want.split("|"))} == dict(p.split() for p in want.split("|"))
+    d = spark.createDataFrame([("1", "the queues were connected"), ("2", "connecting a queue"), ("3", "nothing here")], "id string, text string")
+    index = retrieval.keyword_index(d, "id", "text", stemmed=True)
+    assert {r.id for r in retrieval.bm25(index, ["connection", "queueing"]).collect()} == {"1", "2"}
+    assert retrieval.bm25(retrieval.keyword_index(d, "id", "text"), ["connection"]).count() == 0

@@ -135,16 +135,3 @@ def compress(c: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def expand(c: pd.Series) -> pd.Series:
     return c.map(expand_text)
-
-
-def porter_free_stem(word: str) -> str:
-    """A light English stem (plural, -ing, -ed) for recall that ignores inflection."""
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("s", "")):
-        if word.endswith(end) and not (end == "s" and word.endswith("ss")) and len(word) - len(end) >= 3:
-            return word[: len(word) - len(end)] + put
-    return word
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(c: pd.Series) -> pd.Series:
-    return c.map(lambda ws: [porter_free_stem(w) for w in ws] if ws is not None else [])

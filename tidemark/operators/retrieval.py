@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Retrieval
 from tidemark.functions.metadata import tags
+from tidemark.functions.porter import stem, stems
 from tidemark.functions.scoring import days_between, final_score, recency, rrf_term
 from tidemark.functions.text import tokens
 from tidemark.operators.traverse import expand
@@ -44,9 +45,10 @@ class Filters:
         return rows
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf, length``: the keyword index."""
-    words = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+def postings(rows: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
+    """``id, term, tf, length``: the keyword index; with ``stemmed`` of English stems instead of words."""
+    w = tokens(F.col(text_col))
+    words = rows.select(F.col(id_col).alias("id"), (stems(w) if stemmed else w).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
     return words.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -58,21 +60,23 @@ class KeywordIndex:
     n: int
     mean: float
     buckets: int
+    stemmed: bool = False
 
 
 #: Buckets of terms that postings are stored by; a search reads those of its terms.
 TERM_BUCKETS = 64
 
 
-def keyword_index(rows: DataFrame, id_col: str, text_col: str, buckets: int = TERM_BUCKETS) -> KeywordIndex:
-    """Builds the index of ``rows`` in the shared folder; every text is read once. Null texts have no words and count."""
+def keyword_index(rows: DataFrame, id_col: str, text_col: str, buckets: int = TERM_BUCKETS, stemmed: bool = False) -> KeywordIndex:
+    """Builds the index of ``rows`` in the shared folder. Null texts have no words and count. With ``stemmed`` words of one
+    English stem are one term, in the index and in searches of it."""
     words = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    stored = postings(rows, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    stored = postings(rows, id_col, text_col, stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     path = f"{shared_dir(rows.sparkSession)}/tidemark/postings-{uuid.uuid4().hex}"
     stored.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     kind = stored.schema  # the partition column comes last, as in the folder
-    return KeywordIndex(rows.sparkSession.read.schema(kind).parquet(path), int(stats["n"]), float(stats["mean"] or 1.0), buckets)
+    return KeywordIndex(rows.sparkSession.read.schema(kind).parquet(path), int(stats["n"]), float(stats["mean"] or 1.0), buckets, stemmed)
 
 
 def bm25(index: KeywordIndex, terms: Sequence[str], k: int | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -81,7 +85,7 @@ def bm25(index: KeywordIndex, terms: Sequence[str], k: int | None = None, among:
     Okapi BM25 (k1 1.2, b 0.75), idf at least 1e-6. Document frequencies and the mean length are of the whole collection;
     no terms give no rows. Only the terms' postings are read: buckets are pruned, and the filter on terms reaches the scan.
     """
-    terms = list(dict.fromkeys(terms))
+    terms = list(dict.fromkeys(stem(t) if index.stemmed else t for t in terms))
     wanted = sorted({int(r["b"]) for r in index.postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(index.buckets)).cast("int").alias("b")).collect()}) if terms else []
     hit = index.postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms)) if terms else index.postings.limit(0)
     df = {r["term"]: r["df"] for r in hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()} if terms else {}
