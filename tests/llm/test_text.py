@@ -103,6 +103,16 @@ def test_chains_come_back(text, no):
         assert back is None or garble.garbled(back, chain) == wrong
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.text(alphabet="aäöéß—…€Łжи日", min_size=1, max_size=9))
+def test_forms_are_those_of_the_chains(word):
+    got = garble._forms(word)
+    for g, no in got:
+        assert garble.garbled(word, garble.chains()[no]) == g
+    every = {g for c in garble.chains() if (g := garble.garbled(word, c)) and g != word and not g.isascii() and 2 * g.count(garble.LOST) <= len(g)}
+    assert {g for g, _ in got} == every
+
+
 def test_garbled_rows(spark):
     clean = "Größere Änderungen an der Prüfung künftig prüfen"
     rows = [(i, clean + f" {i}") for i in range(40)]

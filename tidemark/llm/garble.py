@@ -42,6 +42,10 @@ _WEB_UP = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 def _put(text: str, encoding: str) -> bytes:
     if encoding != "web":
         return text.encode(encoding)
+    try:
+        return text.encode("cp1252")
+    except UnicodeError:
+        pass
     return b"".join(bytes([ord(c)]) if ord(c) in _WEB_UP else c.encode("cp1252") for c in text)
 
 
@@ -50,6 +54,10 @@ def _get(raw: bytes, encoding: str) -> str:
         return raw.decode(encoding[:-1], "replace")
     if encoding != "web":
         return raw.decode(encoding)
+    try:
+        return raw.decode("cp1252")
+    except UnicodeError:
+        pass
     return "".join(_WEB_UP.get(b) or bytes([b]).decode("cp1252") for b in raw)
 
 
@@ -108,9 +116,39 @@ def words_of(line: str) -> list[str]:
 
 
 def _forms(word: str) -> list[tuple[str, int]]:
-    found = {}
+    """The garbled forms of a word, each with the first chain that gives it; what chains have in common is done once."""
+    raw: dict[str, bytes | None] = {}
+    first: dict[tuple[str, str], str | None] = {}
+    again: dict[tuple[str, str], bytes | None] = {}
+    found: dict[str, int] = {}
     for no, chain in enumerate(chains()):
-        g = garbled(word, chain)
+        written, read = chain[0]
+        if written not in raw:
+            try:
+                raw[written] = _put(word, written)
+            except UnicodeError:
+                raw[written] = None
+        if raw[written] is None:
+            continue
+        g = first.get(chain[0], "")
+        if g == "":
+            try:
+                g = _get(raw[written], read)
+            except UnicodeError:
+                g = None
+            first[chain[0]] = g
+        if g is None:
+            continue
+        if len(chain) == 2:
+            if chain[1][0] == "controls":
+                g = _CONTROLS.sub("", g)
+            else:
+                if chain[0] not in again:
+                    again[chain[0]] = _put(g, chain[1][0])
+                try:
+                    g = _get(again[chain[0]], chain[1][1])
+                except UnicodeError:
+                    continue
         if g and g != word and not g.isascii() and g not in found and 2 * g.count(LOST) <= len(g):
             found[g] = no
     return list(found.items())
