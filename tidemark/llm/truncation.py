@@ -24,6 +24,8 @@ from tidemark.session import materialize
 SAMPLE, KNOWN_WORDS, LIMITS = 8000, 30_000, 4000
 #: Ways in which distinct texts go on to the same last three words before these count as an ending that was meant.
 SHARED_ENDING = 4
+#: Probability from which a short text without a sentence's end is no longer taken for a whole one while fitting.
+SUSPECT = 0.1
 #: Texts shorter than this, and held by at least one row in so many, are replies that were meant.
 SHORT, SHORT_SHARE = 40, 2000
 
@@ -190,8 +192,9 @@ class CutModel:
     def __init__(self, sample: list[tuple[str, str]], limits: Limits, known: frozenset[str], meant: frozenset[str] = frozenset(), replies: list[tuple[str, str, int]] | None = None, seed: int = 17):
         self.limits, self.known = limits, known
         rng = np.random.default_rng(seed)
-        known_good = [(s, t) for s, t in sample if _intact(t) or _brief(t) or t in meant]
+        known_good = [(s, t) for s, t in sample if _intact(t) or t in meant]
         known_good += [(s, t) for s, t, n in replies or [] for _ in range(n)]
+        brief = [(s, t) for s, t in sample if _brief(t) and not _intact(t) and t not in meant]
         made = []
         for s, t in sample:
             if len(t) >= 60 and _intact(t):
@@ -202,8 +205,13 @@ class CutModel:
         if not made:
             self.model.bias = -30.0
             return
-        good = [features(t, s, limits, known) for s, t in known_good]
-        self.model.fit(good + made, np.array([0.0] * len(good) + [1.0] * len(made)))
+        good, short = ([features(t, s, limits, known) for s, t in rows] for rows in (known_good, brief))
+        # among short texts without a sentence's end some are cut: those that look it are taken for neither in a second fit
+        labels = lambda n: np.array([0.0] * (len(good) + n) + [1.0] * len(made))
+        self.model.fit(good + short + made, labels(len(short)))
+        clear = [f for f, p in zip(short, self.model.probability(short), strict=True) if p < SUSPECT] if short else []
+        if len(clear) < len(short):
+            self.model = HashedLogistic().fit(good + clear + made, labels(len(clear)))
 
     def probability(self, rows: list[tuple[str, str]]) -> np.ndarray:
         return self.model.probability([features(t, s, self.limits, self.known) for s, t in rows])
