@@ -29,8 +29,8 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 SKETCH_BITS = 21
 #: Distinct words a worker remembers, texts whose shingles are computed together, and pairs that are counted together.
 CACHE, TOGETHER, COUNTED = 500_000, 1000, 4_000_000
-#: Texts of an inverted list that one task holds; longer lists are split.
-LIST_PART = 16_384
+#: Texts of an inverted list that one task holds; longer lists are split. Entries of all lists of one task, about.
+LIST_PART, ENTRIES = 16_384, 2_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -131,8 +131,9 @@ def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counters"])
 
 
-def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> np.ndarray:
-    """How common shingles are, by the leading bits of their numbers: logarithms of counts over all texts, as bytes.
+def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> tuple[np.ndarray, int]:
+    """How common shingles are, by the leading bits of their numbers: logarithms of counts over all texts, as bytes; and
+    the sum of the counts.
 
     Each task sums up its counters, tasks are summed up in levels, and the driver gets one array of fixed size.
     """
@@ -154,7 +155,7 @@ def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> np.nda
     total = np.zeros(1 << bits, np.uint64)
     for r in sums.collect():
         total += np.frombuffer(zlib.decompress(r["counters"]), np.uint64)
-    return np.round(2 * np.log2(total + 1.0)).astype(np.uint8)
+    return np.round(2 * np.log2(total + 1.0)).astype(np.uint8), int(total.sum())
 
 
 def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -172,7 +173,8 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
     spark = texts.sparkSession
     # a text of n words has at least 2n - 1 characters: cheap to see before anything is read in detail
     long = texts.where(F.length(F.lower("text")) >= 2 * max(least_words, width) - 1)
-    sketch = spark.sparkContext.broadcast(_sketch(long, width, least_words, sketch_bits))
+    rarity, n_shingles = _sketch(long, width, least_words, sketch_bits)
+    sketch = spark.sparkContext.broadcast(rarity)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -211,7 +213,11 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
         if held:
             yield from merged_lists(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(4)), threshold)
 
-    meet = entries.repartition(F.col("h"), F.col("piece")).mapInArrow(merge, "a_no long, b_no long, a_n int, b_n int, met int")
+    # a task holds its lists in memory: as many tasks as the number of entries asks for, if the session has set fewer
+    parts = math.ceil(n_shingles * (1 - threshold) / ENTRIES)
+    by_list = [F.col("h"), F.col("piece")]
+    placed = entries.repartition(parts, *by_list) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else entries.repartition(*by_list)
+    meet = placed.mapInArrow(merge, "a_no long, b_no long, a_n int, b_n int, met int")
     counted = meet.groupBy("a_no", "b_no", "a_n", "b_n").agg(F.sum("met").cast("int").alias("met"))
     # T - L: the text whose short lists end earlier in the order meets there all that both have, but for what it skipped
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
