@@ -94,6 +94,16 @@ def _near_duplicates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return texts, members, similar_texts(texts, width=3, threshold=0.5, least_words=45)
 
 
+#: Every pair of a project compared.
+_P4 = r"""
+WITH m AS (SELECT * FROM (SELECT nullif(lower(trim(id)), '') AS id, nullif(lower(trim(project_id)), '') AS p, content, updated_at FROM memories)
+  WHERE id IS NOT NULL AND p IS NOT NULL AND content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+w AS (SELECT id, p, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM m),
+s AS (SELECT id, p, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 45)
+SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.p = b.p AND a.id < b.id WHERE 3 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g)
+"""
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     texts, members, pairs = _near_duplicates(spark, folder)
     return member_pairs(pairs, members, texts, least_words=45)
@@ -108,4 +118,4 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
-ORACLE = {"p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
+ORACLE = {"p4_found": _P4, "p3_found": _P3 + "SELECT min(root) AS group_id, memory_id FROM (SELECT * FROM r UNION SELECT DISTINCT a, a FROM u) GROUP BY memory_id"}
