@@ -27,7 +27,7 @@ from tidemark.session import materialize
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: What orders shingles by rarity: counters of a sketch (two to this power), that all shingles of all texts are counted into.
 SKETCH_BITS = 21
-#: Distinct words a worker remembers, texts whose shingles are computed together, and pairs that are counted together.
+#: Distinct words a worker remembers, texts (fewer than 2**15) whose shingles are computed together, and pairs that are counted together.
 CACHE, TOGETHER, COUNTED = 500_000, 1000, 4_000_000
 #: Texts of an inverted list that one task holds; longer lists are split. Entries of all lists of one task, about.
 LIST_PART, ENTRIES = 16_384, 2_000_000
@@ -93,7 +93,8 @@ class Shingler:
             mixed ^= mixed >> np.uint64(29)
         whole = owner[:n] == owner[self.width - 1 :]
         owner, key = owner[:n][whole], mixed.view(np.int64)[whole]
-        order = np.lexsort((key, owner))
+        order = np.argsort(key)
+        order = order[np.argsort(owner[order].astype(np.int16), kind="stable")]  # small numbers are sorted by counting
         owner, key = owner[order], key[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
@@ -140,11 +141,20 @@ def _sketch(texts: DataFrame, width: int, least_words: int, bits: int) -> tuple[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(width), np.zeros(1 << bits, np.uint64)
+        held: list[np.ndarray] = []
+
+        def count_held() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint64)
+                held.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                keys = shingler.batch(part.column(0).to_pylist(), part.column(1).to_pylist(), least_words)[1]
-                total += np.bincount(_counter(keys, bits), minlength=1 << bits).astype(np.uint64)
+                held.append(_counter(shingler.batch(part.column(0).to_pylist(), part.column(1).to_pylist(), least_words)[1], bits))
+                if sum(map(len, held)) > COUNTED:
+                    count_held()
+        count_held()
         yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counters"])
 
     parts = texts.rdd.getNumPartitions()
@@ -190,7 +200,8 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
                 held = sketch.value[_counter(keys, sketch_bits)]
-                order = np.lexsort((keys, held, owner))
+                order = np.argsort(held, kind="stable")
+                order = order[np.argsort(owner[order].astype(np.int16), kind="stable")]
                 owner, keys, held = owner[order], keys[order], held[order]
                 place = np.arange(len(keys)) - np.concatenate([[0], np.cumsum(n)])[owner]
                 short = place < probe[owner]
@@ -256,7 +267,7 @@ def merged_lists(h: np.ndarray, piece: np.ndarray, no: np.ndarray, nr: np.ndarra
     by_no = np.argsort(numbers)
     rank = by_no[np.searchsorted(numbers, no, sorter=by_no)]
     many = len(numbers)
-    pair = np.lexsort((piece, h))
+    pair = np.lexsort((piece, h)) if piece.any() else np.argsort(h)
     new = np.ones(len(h), bool)
     new[1:] = (h[pair][1:] != h[pair][:-1]) | (piece[pair][1:] != piece[pair][:-1])
     group = np.empty(len(h), np.int64)
@@ -331,7 +342,8 @@ def member_pairs(pairs: DataFrame, members: DataFrame, texts: DataFrame, least_w
     """
     numbered = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
     sizes = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = sizes.select("no", "n", F.ceil(F.col("n") / EXPANDED).cast("int").alias("parts"))
+    # written, so that the planner knows how few classes have several members
+    parts = materialize(sizes.select("no", "n", F.ceil(F.col("n") / EXPANDED).cast("int").alias("parts")), "large-classes")
 
     # words are counted only of texts that have copies
     copied = texts.where("several").where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= max(least_words, 1)).select("no")
