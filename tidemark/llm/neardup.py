@@ -31,6 +31,8 @@ SKETCH_BITS = 21
 CACHE, TOGETHER, COUNTED = 500_000, 1000, 4_000_000
 #: Texts of an inverted list that one task holds; longer lists are split. Entries of all lists of one task, about.
 LIST_PART, ENTRIES = 16_384, 2_000_000
+#: Bytes of a list's entry: shingle, text, size and role, part of the list.
+ENTRY_BYTES = 24
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -185,6 +187,8 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
     long = texts.where(F.length(F.lower("text")) >= 2 * max(least_words, width) - 1)
     rarity, n_shingles = _sketch(long, width, least_words, sketch_bits)
     sketch = spark.sparkContext.broadcast(rarity)
+    # a task holds its lists in memory: as many tasks as the number of entries asks for, if the session has set fewer
+    parts_of_lists = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_shingles * (1 - threshold) / ENTRIES))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -215,20 +219,26 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, least_words: i
                 other += other >= piece[more]
                 rows = np.concatenate([np.arange(len(keys)), more])
                 listed = np.concatenate([indexed, np.zeros(len(more), bool)])
-                yield pa.record_batch([pa.array(keys[rows]), pa.array(np.concatenate([piece, other]).astype(np.int32)), pa.array(no[rows]), pa.array((n[owner[rows]] * 2 + listed).astype(np.int32))], names=["h", "piece", "no", "nr"])
-
-    entries = long.select("no", "block", "text").mapInArrow(lists, "h long, piece int, no long, nr int")
+                # entries of one task travel together, as arrays: rows of their own would cost more than the work
+                at_piece = np.concatenate([piece, other])
+                where = ((keys[rows].view(np.uint64) ^ (at_piece.astype(np.uint64) * _ODD[1])) % np.uint64(parts_of_lists)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                rows, ends = rows[order], np.concatenate([[0], np.cumsum(np.bincount(where, minlength=parts_of_lists))])
+                columns = (keys[rows], no[rows], (n[owner[rows]] * 2 + listed[order]).astype(np.int32), at_piece[order].astype(np.int32))
+                there = np.flatnonzero(np.diff(ends))
+                packed = [b"".join(c[ends[k] : ends[k + 1]].tobytes() for c in columns) for k in there]
+                yield pa.record_batch([pa.array(there.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "entries"])
+
+    entries = long.select("no", "block", "text").mapInArrow(lists, "part int, entries binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from merged_lists(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(4)), threshold)
+        packed = [x for b in batches for x in b.column(1).to_pylist()]
+        if packed:
+            sizes = [len(x) // ENTRY_BYTES for x in packed]
+            column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, n, at * n) for x, n in zip(packed, sizes, strict=True)])
+            yield from merged_lists(column(np.int64, 0), column(np.int32, 20), column(np.int64, 8), column(np.int32, 16), threshold)
 
-    # a task holds its lists in memory: as many tasks as the number of entries asks for, if the session has set fewer
-    parts = math.ceil(n_shingles * (1 - threshold) / ENTRIES)
-    by_list = [F.col("h"), F.col("piece")]
-    placed = entries.repartition(parts, *by_list) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else entries.repartition(*by_list)
-    meet = placed.mapInArrow(merge, "a_no long, b_no long, a_n int, b_n int, met int")
+    meet = entries.repartitionById(parts_of_lists, F.col("part")).mapInArrow(merge, "a_no long, b_no long, a_n int, b_n int, met int")
     counted = meet.groupBy("a_no", "b_no", "a_n", "b_n").agg(F.sum("met").cast("int").alias("met"))
     # T - L: the text whose short lists end earlier in the order meets there all that both have, but for what it skipped
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
