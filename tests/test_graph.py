@@ -154,3 +154,23 @@ def test_vector_blocks_equal_one_block(spark):
     pairs = lambda b: {(r.a, r.b, round(r.score, 9)) for r in V.similar_pairs(df, "id", "e", 8, 0.5, b).collect()}
     near = lambda b: {(r.query_id, r.id, r.rank) for r in V.nearest(df, df, "id", "e", 8, 3, block_values=b).collect()}
     assert pairs(10_000) == pairs(200) and near(10_000) == near(200) and len(near(200)) == 270
+
+
+def test_incremental_build_equals_a_full_one(spark, tmp_path):
+    from tidemark.sources import code
+
+    a, b, c = (tmp_path / n for n in ("a.py", "b.py", "c.py"))
+    a.write_text("def add(x):\n    return x\n\ndef test_add():\n    add(1)\n")
+    b.write_text("class Animal:\n    pass\n\nclass Dog(Animal):\n    def bark(self):\n        return add(2)\n")
+    c.write_text("def old():\n    return add(3)\n")
+    first, n = code.build(code.source_files(spark, str(tmp_path), "p"))
+    assert tuple(n.first())[:4] == (3, 3, 0, 0)
+    b.write_text("class Animal:\n    pass\n\nclass Cat(Animal):\n    def purr(self):\n        return add(2)\n")
+    c.unlink()
+    second, n = code.build(code.source_files(spark, str(tmp_path), "p"), first)
+    assert tuple(n.first())[:4] == (2, 1, 1, 1)
+    full, _ = code.build(code.source_files(spark, str(tmp_path), "p"))
+    for t in ("files", "nodes", "calls", "tests", "inherits", "edges"):
+        assert rows(second[t].select(*sorted(second[t].columns))) == rows(full[t].select(*sorted(full[t].columns))), t
+    assert {r.kind for r in full["edges"].collect()} == {"calls", "tests", "extends"}
+    assert tuple(code.build(code.source_files(spark, str(tmp_path), "p"), full)[1].first())[:4] == (2, 0, 2, 0)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS
 from tidemark.functions.text import content_hash, glob_regex
+from tidemark.operators.codegraph import changed_files, replace_files, resolve_edges
+from tidemark.session import materialize
 
 # Languages by file extension.
 LANGUAGES = {
@@ -130,3 +132,25 @@ def snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """``id, snippet``: the lines of each node."""
     f = files.select("project_id", F.col("path").alias("file_path"), F.split("content", "\n").alias("lines"))
     return nodes.join(f, ["project_id", "file_path"]).select("id", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("snippet"))
+
+
+def build(files: DataFrame, stored: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The code graph of ``files`` (:func:`source_files`): its tables (files, nodes, calls, tests, inherits, edges), and one
+    row of counts (``n_files, n_parsed, n_skipped, n_removed, n_nodes, n_edges``).
+
+    With ``stored``, the tables of an earlier build, only new and changed files are parsed, what is gone is dropped, and
+    edges are resolved over all of it: the result is that of a full build.
+    """
+    spark = files.sparkSession
+    known = files.select("project_id", "path", "content_hash")
+    before = stored["files"] if stored else known.limit(0)
+    again, gone = changed_files(files, before)
+    again = again.select(*files.columns)
+    fresh = parsed_tables(materialize(parse(again), "parsed"))
+    if stored:
+        fresh = {name: replace_files(stored[name], rows, again, gone) for name, rows in fresh.items()}
+    tables = {name: materialize(rows, name) for name, rows in fresh.items()}
+    tables |= {"files": materialize(known, "files"), "edges": materialize(resolve_edges(tables["nodes"], tables["calls"], tables["tests"], tables["inherits"]), "code-edges")}
+    n, parsed = tables["files"].count(), again.count()
+    counts = (n, parsed, n - parsed, gone.count(), tables["nodes"].count(), tables["edges"].count())
+    return tables, spark.createDataFrame([counts], "n_files long, n_parsed long, n_skipped long, n_removed long, n_nodes long, n_edges long")
