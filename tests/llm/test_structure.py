@@ -273,3 +273,22 @@ def test_sparse_chains_stay_in_bounded_partitions(spark, monkeypatch):
     sizes = {r.group_id: r.n for r in got.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert len(sizes) == 10_001 and sizes.pop("p000000") == 3001 and set(sizes.values()) == {4} and all(k.endswith("-0") for k in sizes)
     assert got.count() == got.distinct().count()
+
+
+def test_nearest_where_no_few_directions_tell(spark):
+    """Groups of eight in all directions: what is found must not hang on a few of them. Beyond one cell."""
+    rng = np.random.default_rng(11)
+    mates = 0.85 * np.repeat(rng.normal(size=(1200, 96)), 8, axis=0) + 0.5 * rng.normal(size=(9600, 96))
+    v = (mates + 0.3 * np.sqrt(96) * np.eye(96)[0]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i:05}", x.tolist()) for i, x in enumerate(v)], "id string, v array<float>")
+    got = {}
+    for r in nearest(df, "id", "v", 96, k=5).collect():
+        got.setdefault(int(r.a_id[1:]), set()).add(int(r.b_id[1:]))
+    assert len(got) == 9600 and all(len(x) == 5 for x in got.values())
+    hit = 0
+    for i in range(0, 9600, 20):
+        s = v @ v[i]
+        s[i] = -9
+        hit += len(got[i] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert hit / (480 * 5) > 0.97

@@ -1,13 +1,13 @@
-"""Most similar vectors for every vector, from shifted space-filling curves.
+"""Most similar vectors for every vector, from cells around pivots that grow in number with the rows.
 
-Vectors are projected to a few principal directions, turned and shifted differently for each curve, and ordered along a
-Hilbert curve. Each ordering is range-partitioned; every row meets the rows near it in the ordering, compared on their
-whole vectors. The curves' best neighbours are merged and ranked again.
+Every row enters the cells of its nearest pivots. The cells are range-partitioned; a row meets all rows of its cells,
+compared on their whole vectors. What the cells found is merged and ranked again. A cell is as full at any size of the
+table, so what is missed does not grow with it. Cells of far too many rows are ordered along a Hilbert curve of their own
+directions, and rows meet those near them in that order.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-#: Curves, rows looked at on either side of each row, and the bound of the sample that principal directions are fitted on.
-CURVES, REACH, SAMPLE = 5, 300, 8192
-#: Directions that a curve orders by, bits of each, and principal directions they are turned in.
+#: Cells that a row enters, rows that a cell holds, about, and rows beyond which a cell is looked through in windows.
+PROBES, CELL_ROWS, FULL_ROWS = 5, 6000, 36_000
+#: The sample that pivots are taken from and balanced on: at least so many rows, and so many for each pivot.
+SAMPLE, PER_PIVOT = 8192, 4
+#: Turns in which cells are made alike in size, and the step of each.
+TURNS, STEP = 12, 0.01
+#: Directions that a full cell is ordered by, bits of each, and principal directions they are turned in.
 CURVE_DIMS, CURVE_BITS, POOL = 8, 12, 32
-#: Leading bits that make a cell, and the part of the sample in one cell from which it is ordered by its own directions.
-CELL_BITS, FULL_CELL = 6, 64
-#: Rows whose keys are looked at to set the borders of partitions.
-KEYS = 65_536
-#: Vector values that a partition of a curve holds, about; of rows of 384 values these are 20 000.
+#: Vector values that a partition holds, about; of rows of 384 values these are 20 000.
 PARTITION_VALUES = 8_000_000
 
 
@@ -65,64 +65,44 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.concatenate(planes, axis=1).astype(np.uint8), axis=1)
 
 
-class Curves:
-    """Projections of the curves; fitted on a bounded sample, applied to every row.
+class Cells:
+    """Pivots from a sample of the rows, each with a handicap that makes the cells about alike in size."""
 
-    Cells that hold much of the sample (many close vectors) are ordered inside by principal directions of their own.
-    """
-
-    def __init__(self, sample: np.ndarray, curves: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cells: int, probes: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.turns = _turns(sample, curves, rng)
-        self.cells: list[dict[bytes, tuple]] = [{} for _ in self.turns]
-        least = max(2 * POOL, len(sample) // FULL_CELL)
-        for no, turn in enumerate(self.turns):
-            cell = _hilbert(sample - self.mean, turn)[:, :CELL_BITS]
-            kinds, of, n = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
-            for k in np.flatnonzero(n >= least):
-                mean, (inner,) = _turns(sample[of.ravel() == k], 1, rng)
-                self.cells[no][kinds[k].tobytes()] = (mean, inner)
-
-    def keys(self, unit: np.ndarray, numbers: np.ndarray) -> list[list[bytes]]:
-        """For each curve the key of every row, led by the curve's number; equal places are in another order each time."""
-        centred = unit - self.mean
-        found = []
-        for no, turn in enumerate(self.turns):
-            k = _hilbert(centred, turn)
-            inside = k.copy()
-            if self.cells[no]:
-                cell = np.array([row.tobytes() for row in k[:, :CELL_BITS]], dtype=object)
-                for full, (mean, inner) in self.cells[no].items():
-                    mine = cell == full
-                    if mine.any():
-                        inside[mine] = _hilbert(unit[mine] - mean, inner)
-            mixed = (numbers.astype(np.uint64) + np.uint64(no + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * no)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            last = (mixed ^ (mixed >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(-1, 8)
-            found.append([bytes([no]) + row.tobytes() for row in np.concatenate([k[:, :CELL_BITS], inside, last], axis=1)])
-        return found
-
-
-def _turns(sample: np.ndarray, curves: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple]]:
-    """The sample's mean, and for each curve a projection with its range and shift."""
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-    _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
-    axes = axes[: min(POOL, len(axes))]
-    turns = []
-    for _ in range(curves):
-        turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0][:, :CURVE_DIMS]
-        m = axes.T @ turn
-        at = (sample - mean) @ m
-        low, high = (np.quantile(at, 0.001), np.quantile(at, 0.999)) if len(at) else (0.0, 1.0)
-        turns.append((m, low, max(high - low, 1e-9), rng.uniform(0, 1, size=m.shape[1])))
-    return mean, turns
-
-
-def _hilbert(centred: np.ndarray, turn: tuple) -> np.ndarray:
-    m, low, width, shift = turn
-    z = np.clip(((centred @ m - low) / width + shift) / 2, 0, 1 - 1e-9) * (1 << CURVE_BITS)
-    return hilbert_keys(z, CURVE_BITS)
+        cells = max(1, min(cells, len(sample)))
+        self.probes = min(probes, cells)
+        self.pivots = sample[rng.permutation(len(sample))[:cells]].astype(np.float32)
+        self.handicap = np.zeros(cells, np.float32)
+        if cells <= self.probes:
+            return
+        for turn in range(TURNS):
+            load = np.bincount(self.nearest(sample).ravel(), minlength=cells)
+            self.handicap += np.float32(STEP / (1 + turn / 4)) * np.log((load + 1) / (load.mean() + 1)).astype(np.float32)
+
+    def nearest(self, unit: np.ndarray) -> np.ndarray:
+        """The cells that each row enters."""
+        if len(self.pivots) <= self.probes:
+            return np.tile(np.arange(len(self.pivots), dtype=np.int32), (len(unit), 1))
+        found = [np.zeros((0, self.probes), np.int32)]
+        for at in range(0, len(unit), 512):
+            score = unit[at : at + 512] @ self.pivots.T - self.handicap
+            found.append(np.argpartition(score, -self.probes, axis=1)[:, -self.probes :].astype(np.int32))
+        return np.concatenate(found)
+
+
+def along_curve(vec: np.ndarray) -> np.ndarray:
+    """The order of ``vec`` along a Hilbert curve of its principal directions."""
+    rng = np.random.default_rng(len(vec))
+    some = vec[rng.permutation(len(vec))[:SAMPLE]].astype(np.float64)
+    mean = some.mean(axis=0)
+    _, _, axes = np.linalg.svd(some - mean, full_matrices=False)
+    axes = axes[:POOL]
+    turn = axes.T @ np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0][:, :CURVE_DIMS]
+    at = (vec - mean) @ turn
+    low, high = np.quantile(at, 0.001), np.quantile(at, 0.999)
+    z = np.clip((at - low) / max(high - low, 1e-9), 0, 1 - 1e-9) * (1 << CURVE_BITS)
+    return np.lexsort(hilbert_keys(z, CURVE_BITS).T[::-1])
 
 
 def borders(keys: list[bytes], parts: int, margin: int) -> list[tuple[bytes, bytes, bytes]]:
@@ -139,34 +119,45 @@ def _unit(column: pa.Array, size: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _halves(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, size).astype(np.float32)
+
+
 def _neighbours(no: np.ndarray, vec: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``k`` of the rows up to ``reach`` before or after each row, all given in curve order."""
-    n, block = len(no), max(64, reach // 2)
-    a, b, s = [], [], []
+    """Best ``k`` of the rows up to ``reach`` before or after each row."""
+    n, block = len(no), 256
+    width = min(n, block + 2 * reach)
+    # one place for all scores: fresh ones for each block would leave holes in memory
+    scores, above = np.empty(block * width, np.float32), np.empty(block * width, bool)
+    others, values = np.full((n, k), -1, np.int64), np.empty((n, k), np.float32)
     for at in range(0, n, block):
         low, high, end = max(0, at - reach), min(n, at + block + reach), min(n, at + block)
-        score = vec[at:end] @ vec[low:high].T
-        rows = np.arange(at, end)
-        far = np.abs(np.arange(low, high)[None, :] - rows[:, None])
-        score[(far > reach) | (far == 0)] = -9
-        m = min(k, score.shape[1])
-        best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        value = np.take_along_axis(score, best, axis=1)
-        keep = value > -5
-        a.append(np.repeat(no[at:end], m)[keep.ravel()])
-        b.append(no[low + best].ravel()[keep.ravel()])
-        s.append(value.ravel()[keep.ravel()])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(s)
-
-
-def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5, curves: int = CURVES, reach: int = REACH, sample: int = SAMPLE) -> DataFrame:
+        shape, size = (end - at, high - low), (end - at) * (high - low)
+        score = np.matmul(vec[at:end], vec[low:high].T, out=scores[:size].reshape(shape))
+        score[np.arange(end - at), np.arange(at - low, end - low)] = -9
+        # the k-th best of a part of the others is a bound that few of all are above
+        part = score[:, : max(shape[1] // 8, 8 * k)]
+        bound = np.partition(part, part.shape[1] - k, axis=1)[:, -k][:, None] if part.shape[1] > k else np.float32(-5)
+        place = np.flatnonzero(np.greater_equal(score, np.maximum(bound, np.float32(-5)), out=above[:size].reshape(shape)))
+        row, value = place // shape[1], score.ravel()[place]
+        order = np.lexsort((-value, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best = rank < k
+        others[at + row[best], rank[best]] = low + place[order[best]] % shape[1]
+        values[at + row[best], rank[best]] = value[order[best]]
+    there = others >= 0
+    return np.repeat(no, there.sum(axis=1)), no[others[there]], values[there]
+
+
+def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5, probes: int = PROBES, cell_rows: int = CELL_ROWS, sample: int = SAMPLE) -> DataFrame:
     """``a_id, b_id, score``: for each id with a usable vector up to ``k`` other ids of greatest cosine.
 
     Ids are strings compared as they are; null ids and unusable vectors (null, other length, not finite, all zero) are
     left out. A repeated id counts once (one of its vectors, the same each time). Vectors of equal direction are one class: its members are neighbours of
     each other with score 1, the smaller id first, however many they are, and share their other neighbours. Ties go to
-    the smaller id. Some loss is accepted: a neighbour far away on every curve is missed. Extra columns are ignored; no
-    rows give no rows. ``sample`` bounds only the rows that the projection is fitted on; every row is indexed.
+    the smaller id. Some loss is accepted: a neighbour that shares no cell is missed. Extra columns are ignored; no rows
+    give no rows. ``sample`` bounds only the rows that pivots are chosen among; every row is indexed.
     """
     spark = rows.sparkSession
     ok = rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), size))
@@ -184,75 +175,52 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5
     classes = once.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("no"), "k1", "k2", "h", "first", "n"), "vector-classes")
     n = classes.count()
+    cells = -(-n * probes // cell_rows) if n > cell_rows else 1
+    sample = max(sample, PER_PIVOT * cells)
     fraction = min(1.0, 1.5 * sample / max(n, 1))
-    taken = classes.select("h").sample(withReplacement=False, fraction=fraction, seed=11).limit(sample).toPandas()["h"]
-    seen = np.stack([np.frombuffer(x, np.float16) for x in taken]).astype(np.float64) if len(taken) else np.zeros((0, size))
-    fitted = spark.sparkContext.broadcast(Curves(seen, curves if len(seen) else 0))
-
-    # borders of the partitions from the keys of a sample; rows near one go to both sides, so no window is cut
-    part = min(1.0, KEYS / max(n, 1))
-    some = (classes if part == 1 else classes.sample(withReplacement=False, fraction=part, seed=12)).select("no", "h")
-
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[list[bytes]]]:
-        numbers = batch.column(0).to_numpy(zero_copy_only=False)
-        if not batch.num_rows:
-            return numbers, []
-        unit = np.stack([np.frombuffer(x, np.float16) for x in batch.column(1).to_pylist()]).astype(np.float64)
-        return numbers, fitted.value.keys(unit, numbers)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys in read(batch)[1]:
-                yield pa.record_batch([pa.array(keys, pa.binary())], names=["key"])
-
-    parts = max(1, -(-n * size // PARTITION_VALUES))
-    by_curve: list[list[bytes]] = [[] for _ in range(curves)]
-    if parts > 1:
-        for key in some.mapInArrow(keyed, "key binary").toArrow().column(0).to_pylist():
-            by_curve[key[0]].append(key)
-    # half as many again as the reach, and some more for a thin sample
-    margin = int(np.ceil(1.5 * reach * part)) + 3
-    cuts = spark.sparkContext.broadcast([borders(sorted(keys), parts, margin) for keys in by_curve])
+    taken = classes.select("h").sample(withReplacement=False, fraction=fraction, seed=11).limit(sample).toArrow().column(0)
+    seen = _halves(taken, size)
+    fitted = Cells(seen, cells, probes)
+    # borders of the partitions from the cells of the sample; a cell lies in one partition
+    parts = max(1, -(-n * fitted.probes * size // PARTITION_VALUES))
+    at_cells = [at for _, at, _ in borders(sorted(c.to_bytes(4, "big") for c in fitted.nearest(seen).ravel().tolist()), parts, 0)]
+    del seen, taken
+    cuts = np.array([int.from_bytes(c, "big") for c in at_cells], np.int32)
+    shared = spark.sparkContext.broadcast((fitted, cuts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, cuts = shared.value
         for batch in batches:
-            numbers, every = read(batch)
-            for c, keys in enumerate(every):
-                before, at, after = ([x[k] for x in cuts.value[c]] for k in range(3))
-                row, where, own = [], [], []
-                for r, key in enumerate(keys):
-                    home = bisect_right(at, key)
-                    # partitions whose margin reaches over this key: those begin before it and end after it
-                    first, final = min(bisect_right(after, key), home), max(bisect_right(before, key), home)
-                    for w in range(first, final + 1):
-                        row.append(r)
-                        where.append(c * parts + w)
-                        own.append(w == home)
-                taken = pa.array(row, pa.int32())
-                yield pa.record_batch([pa.array(where, pa.int32()), pa.array(keys, pa.binary()).take(taken), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(own, pa.bool_())], names=["part", "key", "no", "h", "own"])
-
-    placed = classes.select("no", "h").mapInArrow(place, "part int, key binary, no long, h binary, own boolean")
-    ordered = placed.repartitionById(parts * curves, F.col("part")).sortWithinPartitions("part", "key")
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                cell = fitted.nearest(_halves(some.column(1), size))
+                row = pa.array(np.repeat(np.arange(some.num_rows, dtype=np.int32), cell.shape[1]))
+                part = np.searchsorted(cuts, cell.ravel(), side="right").astype(np.int32)
+                yield pa.record_batch([pa.array(part), pa.array(cell.ravel()), some.column(0).take(row), some.column(1).take(row)], names=["part", "cell", "no", "h"])
+
+    placed = classes.select("no", "h").mapInArrow(place, "part int, cell int, no long, h binary")
+    ordered = placed.repartitionById(parts, F.col("part"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, no, vec, own = [], [], [], []
+        cell, no, vec = [], [], []
         for batch in batches:
-            where.append(batch.column(0).to_numpy(zero_copy_only=False))
+            cell.append(batch.column(1).to_numpy(zero_copy_only=False))
             no.append(batch.column(2).to_numpy(zero_copy_only=False))
             vec.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float16).reshape(-1, size))
-            own.append(batch.column(4).to_numpy(zero_copy_only=False))
-        if not where:
+        if not cell:
             return
-        which, numbers, vectors, mine = np.concatenate(where), np.concatenate(no), np.concatenate(vec).astype(np.float32), np.concatenate(own)
+        which, numbers, vectors = np.concatenate(cell), np.concatenate(no), np.concatenate(vec)
+        del cell, no, vec
         for w in np.unique(which):
-            here = which == w
+            here = np.flatnonzero(which == w)
+            unit = vectors[here].astype(np.float32)
             # rounding to 16 bits changes lengths by as much as close vectors differ
-            unit = vectors[here] / np.linalg.norm(vectors[here], axis=1, keepdims=True)
-            a, b, s = _neighbours(numbers[here], unit, k, reach)
-            keep = np.isin(a, numbers[here & mine])
-            a, b, s = a[keep], b[keep], s[keep]
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            full = len(here) > FULL_ROWS
+            order = along_curve(unit) if full else slice(None)
+            a, b, s = _neighbours(numbers[here][order], unit[order], k, FULL_ROWS // 2 if full else len(here))
             for at in range(0, len(a), 100_000):
-                yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (a, b, s.astype(np.float32))], names=["a", "b", "score"])
+                yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (a, b, s)], names=["a", "b", "score"])
 
     near = ordered.mapInArrow(look, "a long, b long, score float")
     best = near.groupBy("a", "b").agg(F.max("score").alias("score"))
