@@ -174,3 +174,16 @@ def test_incremental_build_equals_a_full_one(spark, tmp_path):
         assert rows(second[t].select(*sorted(second[t].columns))) == rows(full[t].select(*sorted(full[t].columns))), t
     assert {r.kind for r in full["edges"].collect()} == {"calls", "tests", "extends"}
     assert tuple(code.build(code.source_files(spark, str(tmp_path), "p"), full)[1].first())[:4] == (2, 0, 2, 0)
+
+
+def test_names_that_very_many_nodes_and_references_share(spark):
+    """A choice per name and per file: references that met all nodes of their name would be 3.6 billion pairs here."""
+    i = F.col("id")
+    place = F.concat(F.lit("f"), F.lpad((i % 700).cast("string"), 3, "0"))
+    nodes = spark.range(60_000).select(F.lit("p").alias("project_id"), F.concat(F.lit("n"), i).alias("node"), place.alias("file_path"), F.lit("function").alias("kind"), F.lit("get").alias("name"), i.cast("int").alias("start_line"))
+    nodes = nodes.withColumnRenamed("node", "id").unionByName(spark.createDataFrame([("p", "lost", None, "function", "get", 0)], "project_id string, id string, file_path string, kind string, name string, start_line int"))
+    refs = spark.range(60_000).select(F.lit("p").alias("project_id"), F.concat(F.lit("f"), F.lpad((i % 800).cast("string"), 3, "0")).alias("file_path"), i.alias("caller_id"), F.lit("get").alias("ref"))
+    refs = refs.unionByName(spark.createDataFrame([("p", None, -1, "get")], "project_id string, file_path string, caller_id long, ref string"))
+    got = {r.caller_id: r.node_id for r in cg.resolve(refs, nodes).collect()}
+    # the first of the same file, or else the first of all; a node of no known file comes last
+    assert len(got) == 60_001 and got[5] == "n5" and got[805] == "n5" and got[799] == "n0" and got[-1] == "n0"

@@ -36,12 +36,17 @@ def parse_query(text: str) -> Query:
 
 def resolve(refs: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = SYMBOLS, prefer_file: bool = True) -> DataFrame:
     """``refs(project_id, file_path, ref, ...)`` with ``node_id`` of the node of that name: of several the one in the same
-    file, then by file, line and id. Names without a node are dropped."""
+    file, then by file, line and id, nulls last. Names without a node are dropped."""
     n = nodes.where(F.col("kind").isin(*kinds)).select("project_id", F.col("name").alias("ref"), F.col("id").alias("node_id"), F.col("file_path").alias("node_file"), "start_line")
-    keys = refs.columns
-    same = (F.col("file_path") == F.col("node_file")).cast("int") if prefer_file else F.lit(0)
-    best = F.min(F.struct((-same).alias("o"), "node_file", "start_line", "node_id")).alias("b")
-    return refs.join(n, ["project_id", "ref"]).groupBy(*keys).agg(best).select(*keys, F.col("b.node_id").alias("node_id"))
+    # the choice is made once per name, and per name and file: no reference meets all nodes of its name
+    order = [x for c in ("node_file", "start_line", "node_id") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    in_file = n.groupBy("project_id", "ref", "node_file").agg(F.min(F.struct(*order)).alias("own"))
+    first = in_file.groupBy("project_id", "ref").agg(F.min("own").alias("b"))
+    found = refs.distinct().join(first, ["project_id", "ref"])
+    if prefer_file:
+        own = in_file.where(F.col("node_file").isNotNull()).withColumnRenamed("node_file", "file_path")
+        found = found.join(own, ["project_id", "ref", "file_path"], "left").withColumn("b", F.coalesce("own", "b"))
+    return found.select(*refs.columns, F.col("b.node_id").alias("node_id"))
 
 
 def resolve_edges(nodes: DataFrame, calls: DataFrame, tests: DataFrame, inherits: DataFrame) -> DataFrame:
