@@ -187,3 +187,26 @@ def test_names_that_very_many_nodes_and_references_share(spark):
     got = {r.caller_id: r.node_id for r in cg.resolve(refs, nodes).collect()}
     # the first of the same file, or else the first of all; a node of no known file comes last
     assert len(got) == 60_001 and got[5] == "n5" and got[805] == "n5" and got[799] == "n0" and got[-1] == "n0"
+
+
+def test_blocks_keep_no_more_than_the_best():
+    """A block gives k rows per query, however many chunks it passes in, and ties go to the smaller id."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.operators import vectors as V
+
+    v = np.random.default_rng(4).normal(size=(6000, 8))
+    v[3000:] = v[:3000]
+    ids = [f"v{i:04}" for i in range(6000)][::-1]
+    given = [b for b in V._kept(ids, v, ids, v, "cosine", V._Best(5, -np.inf, 1), pa.string())]
+    t = pa.Table.from_batches(given)
+    assert t.num_rows == 5 * 6000
+    got = {}
+    for q, i in zip(t["query_id"].to_pylist(), t["id"].to_pylist(), strict=True):
+        got.setdefault(q, set()).add(i)
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for j in range(0, 6000, 500):
+        s = n @ n[j]
+        s[j] = -9
+        assert got[ids[j]] == {ids[i] for i in np.lexsort((np.arange(6000)[::-1], -np.round(s, 12)))[:5]}

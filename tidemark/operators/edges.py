@@ -22,7 +22,7 @@ def _edge(pairs: DataFrame, kind: str, weight) -> DataFrame:
 
 def similarity_edges(vectors: DataFrame, id_col: str, vector_col: str, size: int, threshold: float = DEFAULTS.edges.similarity_threshold, candidates: int = DEFAULTS.edges.similarity_candidates) -> DataFrame:
     """Edges to the nearest ``candidates`` rows of at least ``threshold``, each pair once."""
-    near = nearest(vectors, vectors, id_col, vector_col, size, candidates).where(F.col("score") >= threshold)
+    near = nearest(vectors, vectors, id_col, vector_col, size, candidates, least=threshold)
     pairs = near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
     return _edge(pairs, "similarity", F.col("score")).groupBy("src_id", "dst_id", "edge_type", "label").agg(F.max("weight").alias("weight"))
 

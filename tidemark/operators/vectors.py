@@ -29,7 +29,7 @@ def usable(c: Column, size: int) -> Column:
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
 
 
 def _score(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -42,16 +42,67 @@ def _score(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(prod, n, out=np.zeros_like(prod), where=n > 0)
 
 
-Keep = Callable[[np.ndarray, list, list], tuple[np.ndarray, np.ndarray]]
+#: Scores that a task holds at a time.
+HELD = 1_000_000
 
+#: From a chunk of scores to places in it (rows, queries) that may be kept.
+Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def _kept(rid: list, v: np.ndarray, qids: list, q: np.ndarray, metric: str, keep: Keep, kind: pa.DataType) -> pa.RecordBatch:
-    score = _score(v, q, metric)
-    a, b = keep(score, rid, qids)
-    return pa.record_batch([pa.array([qids[j] for j in b], kind), pa.array([rid[i] for i in a], kind), pa.array(score[a, b])], names=_SCORES)
 
+class _Best:
+    """The ``k`` best rows per query of a block, kept while its rows pass in chunks; ties go to the smaller id."""
 
-def _scores(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep, block_values: int) -> DataFrame:
+    def __init__(self, k: int, least: float, queries: int):
+        self.k, self.edge, self.held = k, np.full(queries, least), 0
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, score: np.ndarray, at: int, order: np.ndarray) -> None:
+        if not self.found and len(score) >= self.k:
+            self.edge = np.maximum(self.edge, np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k])
+        a, b = np.nonzero((score >= self.edge[None, :]) & np.isfinite(score))
+        self.found.append((at + a, b, score[a, b]))
+        self.held += len(a)
+        if self.held > HELD:
+            self.cut(order)
+
+    def cut(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        by = np.lexsort((order[a], -s, b))
+        a, b, s = a[by], b[by], s[by]
+        rank = np.arange(len(b)) - np.searchsorted(b, b)
+        last = rank == self.k - 1
+        self.edge[b[last]] = np.maximum(self.edge[b[last]], s[last])
+        keep = rank < self.k
+        self.found, self.held = [(a[keep], b[keep], s[keep])], 0
+        return self.found[0]
+
+
+def _kept(rid: list, v: np.ndarray, qids: list, q: np.ndarray, metric: str, keep: Keep | _Best, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """What is kept of one block of rows and one of queries; only a bounded number of scores is held."""
+    some = max(1, HELD // len(qids))
+    if isinstance(keep, _Best):
+        keep = _Best(keep.k, keep.edge[0], len(qids))
+        place = {x: j for j, x in enumerate(qids)}
+        order = np.empty(len(rid), np.int64)
+        order[sorted(range(len(rid)), key=rid.__getitem__)] = np.arange(len(rid))
+    for at in range(0, len(rid), some):
+        score = _score(v[at : at + some], q, metric)
+        if isinstance(keep, _Best):
+            for i, x in enumerate(rid[at : at + some]):
+                if x in place:
+                    score[i, place[x]] = -np.inf
+            keep.add(score, at, order)
+        else:
+            a, b = keep(score, rid[at : at + some], qids)
+            yield pa.record_batch([pa.array([qids[j] for j in b], kind), pa.array([rid[at + i] for i in a], kind), pa.array(score[a, b])], names=_SCORES)
+    if isinstance(keep, _Best) and keep.found:
+        a, b, s = keep.cut(order)
+        for at in range(0, len(a), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.record_batch([pa.array([qids[j] for j in b[part]], kind), pa.array([rid[i] for i in a[part]], kind), pa.array(s[part])], names=_SCORES)
+
+
+def _scores(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep | _Best, block_values: int) -> DataFrame:
     """``query_id, id, score`` of the pairs that ``keep(scores, row ids, query ids)`` selects in each block."""
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
@@ -65,12 +116,12 @@ def _scores(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: K
         qids, q = shared.value
         for batch in batches:
             if batch.num_rows and qids:
-                yield _kept(batch.column(0).to_pylist(), _matrix(batch.column(1), size), qids, q, metric, keep, batch.column(0).type)
+                yield from _kept(batch.column(0).to_pylist(), _matrix(batch.column(1), size), qids, q, metric, keep, batch.column(0).type)
 
     return rows.select("id", "v").mapInArrow(run, schema)
 
 
-def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep, schema: str, parts: int, block_values: int) -> DataFrame:
+def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep | _Best, schema: str, parts: int, block_values: int) -> DataFrame:
     """Every block of rows with every block of queries, each pair in one task."""
     row_parts = max(1, -(-rows.count() * size // block_values))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -85,37 +136,30 @@ def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep
         if not r.num_rows or not q.num_rows:  # the other side has no such block
             return pa.table({"query_id": pa.array([], kind), "id": pa.array([], kind), "score": pa.array([], pa.float64())})
         qids, qv = q.column("qid").to_pylist(), _matrix(q.column("qv"), size)
-        some = max(1, 4_000_000 // len(qids))  # scores held at a time
-        return pa.Table.from_batches([_kept(x.column("id").to_pylist(), _matrix(x.column("v"), size), qids, qv, metric, keep, kind) for x in (r.slice(at, some) for at in range(0, r.num_rows, some))])
+        none = pa.record_batch([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=_SCORES)
+        return pa.Table.from_batches([none, *_kept(r.column("id").to_pylist(), _matrix(r.column("v"), size), qids, qv, metric, keep, kind)])
 
     return left.groupBy("rb", "qb").cogroup(right.groupBy("r", "q")).applyInArrow(run, schema)
 
 
 def _prepared(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
+    # single floats stay as they are until they are compared: half of what is sent
+    given = rows.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col) if given == "array<float>" else F.col(vector_col).cast("array<double>")
     whole = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull())
     return rows.select(F.col(id_col).alias("id"), v.alias("v")).where(whole & F.col("id").isNotNull())
 
 
-def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, size: int, k: int, metric: str = "cosine", block_values: int = BLOCK_VALUES) -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` rows of greatest score per query, itself excluded, ties to the smaller id.
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, size: int, k: int, metric: str = "cosine", block_values: int = BLOCK_VALUES, least: float = -np.inf) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` rows of greatest score, and of at least ``least``, per query, itself excluded,
+    ties to the smaller id.
 
     ``metric``: cosine, dot, or l2 (score is then the negative distance). Vectors of another length or with a null are
     left out.
     """
     r, q = _prepared(rows, id_col, vector_col, size), _prepared(queries, id_col, vector_col, size)
 
-    def best(score: np.ndarray, rid: list, qids: list) -> tuple[np.ndarray, np.ndarray]:
-        place = {x: j for j, x in enumerate(qids)}
-        masked = score.copy()
-        for i, x in enumerate(rid):
-            if x in place:
-                masked[i, place[x]] = -np.inf
-        m = min(k, len(rid))
-        edge = np.partition(masked, len(rid) - m, axis=0)[len(rid) - m]
-        return np.nonzero((masked >= edge[None, :]) & np.isfinite(masked))
-
-    found = _scores(r, q, size, metric, best, block_values)
+    found = _scores(r, q, size, metric, _Best(k, least, 1), block_values)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
