@@ -210,3 +210,29 @@ def test_blocks_keep_no_more_than_the_best():
         s = n @ n[j]
         s[j] = -9
         assert got[ids[j]] == {ids[i] for i in np.lexsort((np.arange(6000)[::-1], -np.round(s, 12)))[:5]}
+
+
+def test_blocks_of_queries_shuffle_no_vector(spark):
+    """Beyond one block every vector once met a copy of itself per block of the other side, by a shuffle of all of them."""
+    import numpy as np
+
+    from tidemark.operators import vectors as V
+
+    x = np.random.default_rng(6).normal(size=(120, 8))
+    x[60:] = x[:60] * 3
+    rows = [(f"v{i:03}", [float(c) for c in v]) for i, v in enumerate(x)] + [("nan", [float("nan")] * 8)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id string, e array<{kind}>")
+        found = V.nearest(df, df, "id", "e", 8, 4, block_values=200, least=0.5)
+        assert "CoGroups" not in found._jdf.queryExecution().toString()
+        unit = np.array([r.e for r in df.collect()])[:120]
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        best = {}
+        for r in found.collect():
+            best.setdefault(int(r.query_id[1:]), []).append((r.rank, int(r.id[1:]), r.score))
+        for j in range(120):
+            s = np.round(unit @ unit[j], 9)
+            s[j] = -9
+            right = [i for i in np.lexsort((np.arange(120), -s))[:4] if s[i] >= 0.5]
+            got = sorted(best.get(j, []))
+            assert np.allclose([c for _, _, c in got], s[right], atol=1e-9) and len(got) == len(right)

@@ -60,8 +60,9 @@ def temporal_edges(rows: DataFrame, window_s: int = DEFAULTS.edges.temporal_wind
     return _edge(pairs.select("a", "b"), "temporal", F.lit(1.0))
 
 
-def tag_edges(rows: DataFrame, least_shared: int = DEFAULTS.edges.tag_min_shared, least_jaccard: float = DEFAULTS.edges.tag_min_jaccard, id_col: str = "id", tags_col: str | None = None, metadata_col: str = "metadata") -> DataFrame:
-    """Edges between rows that share tags, weighted by Jaccard: at least two shared ones, or a Jaccard of a half.
+def tag_edges(rows: DataFrame, least_shared: int = DEFAULTS.edges.tag_min_shared, least_jaccard: float = DEFAULTS.edges.tag_min_jaccard, id_col: str = "id", tags_col: str | None = None, metadata_col: str = "metadata", digits: int | None = None) -> DataFrame:
+    """Edges between rows that share tags, weighted by Jaccard: at least two shared ones, or a Jaccard of a half; weights
+    are rounded to ``digits`` if given, once per pair of tag sets instead of once per edge.
 
     Rows of equal tag sets are one class while tags meet, so a tag set that very many rows have costs one row.
     """
@@ -72,6 +73,7 @@ def tag_edges(rows: DataFrame, least_shared: int = DEFAULTS.edges.tag_min_shared
     a, b = t.select(F.col("s").alias("sa"), F.col("n").alias("na"), "tag"), t.select(F.col("s").alias("sb"), F.col("n").alias("nb"), "tag")
     met = a.join(b, "tag").where("sa <= sb").groupBy("sa", "sb", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     met = met.withColumn("weight", jaccard(F.col("shared"), F.col("na"), F.col("nb"))).where((F.col("shared") >= least_shared) | (F.col("weight") >= least_jaccard))
+    met = met if digits is None else met.withColumn("weight", F.round("weight", digits))
     m = r.select("id", F.concat_ws("\u0001", "tags").alias("s"))
     pairs = met.join(m.select(F.col("id").alias("a"), F.col("s").alias("sa")), "sa").join(m.select(F.col("id").alias("b"), F.col("s").alias("sb")), "sb")
     return _edge(pairs.where((F.col("sa") != F.col("sb")) | (F.col("a") < F.col("b"))), "tag_overlap", F.col("weight"))
@@ -90,11 +92,13 @@ def relation_edges(near: DataFrame, labels: DataFrame, weight: float = DEFAULTS.
     return labels.join(n, ["src_id", "rank"]).select("src_id", "dst_id", F.lit("relation").alias("edge_type"), "label", F.lit(weight).alias("weight")).distinct()
 
 
-def all_edges(memories: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """Similarity, temporal and tag edges of all memories but code context."""
+def all_edges(memories: DataFrame, vectors: DataFrame, size: int, digits: int | None = None) -> DataFrame:
+    """Similarity, temporal and tag edges of all memories but code context; weights rounded to ``digits`` if given."""
     m = memories.where(F.lower(F.trim("memory_type")) != EXCLUDED_TYPE)
     v = vectors.join(m.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi")
-    return similarity_edges(v, "memory_id", "embedding", size).unionByName(temporal_edges(m)).unionByName(tag_edges(m))
+    similar = similarity_edges(v, "memory_id", "embedding", size)
+    similar = similar if digits is None else similar.withColumn("weight", F.round("weight", digits))
+    return similar.unionByName(temporal_edges(m)).unionByName(tag_edges(m, digits=digits))
 
 
 EDGE_KEY = ("src_id", "dst_id", "edge_type")

@@ -1,19 +1,22 @@
 """Exact nearest neighbours and similarity pairs by blocks of matrix products.
 
-A query set within the bound of one block is broadcast, and every row stays where it is. Beyond it, rows and queries are
-cut into blocks by hash; each pair of blocks meets in one task, and nothing passes the driver. All rows against all rows
-is quadratic by its nature: what is exact here is for query sets and moderate collections.
+A query set within the bound of one block is broadcast, and every row stays where it is. Beyond it, queries are cut into
+blocks by hash, and the blocks are broadcast one after another, so no vector is shuffled and disk holds one copy of them. All
+rows against all rows is quadratic by its nature: what is exact here is for query sets and moderate collections.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from tidemark.session import materialize
 
 #: Vector values that one block may hold (32 MB as floats).
 BLOCK_VALUES = 8_000_000
@@ -28,8 +31,26 @@ def usable(c: Column, size: int) -> Column:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Rows of the type they come in: single floats are widened where they are compared."""
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Directions as single floats."""
+    n = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64, casting="same_kind"))[:, None]
+    return np.divide(v, n, out=np.zeros(v.shape, np.float32), where=n > 0, casting="same_kind")
+
+
+def _cosines(v: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (a, b) in whole precision, a bounded number at a time."""
+    found = np.empty(len(a))
+    for at in range(0, len(a), 10_000):
+        x, y = v[a[at : at + 10_000]].astype(np.float64), q[b[at : at + 10_000]].astype(np.float64)
+        n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        prod = np.einsum("ij,ij->i", x, y)
+        found[at : at + 10_000] = np.divide(prod, n, out=np.zeros_like(prod), where=n > 0)
+    return found
 
 
 def _score(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -56,11 +77,17 @@ class _Best:
         self.k, self.edge, self.held = k, np.full(queries, least), 0
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, score: np.ndarray, at: int, order: np.ndarray) -> None:
+    def add(self, score: np.ndarray, at: int, order: np.ndarray, slack: float = 0.0, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """Scores of the rows from ``at`` on. Those that ``exact`` gives again for chosen pairs may be off by ``slack``."""
         if not self.found and len(score) >= self.k:
-            self.edge = np.maximum(self.edge, np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k])
-        a, b = np.nonzero((score >= self.edge[None, :]) & np.isfinite(score))
-        self.found.append((at + a, b, score[a, b]))
+            some = np.where(np.isnan(score), -np.inf, score)
+            self.edge = np.maximum(self.edge, np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k] - slack)
+        a, b = np.nonzero((score >= (self.edge - slack).astype(score.dtype)[None, :]) & np.isfinite(score))
+        s = exact(at + a, b) if exact else score[a, b]
+        if exact:
+            keep = s >= self.edge[b]
+            a, b, s = a[keep], b[keep], s[keep]
+        self.found.append((at + a, b, s))
         self.held += len(a)
         if self.held > HELD:
             self.cut(order)
@@ -77,21 +104,30 @@ class _Best:
         return self.found[0]
 
 
-def _kept(rid: list, v: np.ndarray, qids: list, q: np.ndarray, metric: str, keep: Keep | _Best, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _kept(rid: list, v: np.ndarray, qids: list, q: np.ndarray, metric: str, keep: Keep | _Best, kind: pa.DataType, unit: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """What is kept of one block of rows and one of queries; only a bounded number of scores is held."""
     some = max(1, HELD // len(qids))
+    quick = isinstance(keep, _Best) and metric == "cosine"
     if isinstance(keep, _Best):
         keep = _Best(keep.k, keep.edge[0], len(qids))
         place = {x: j for j, x in enumerate(qids)}
         order = np.empty(len(rid), np.int64)
         order[sorted(range(len(rid)), key=rid.__getitem__)] = np.arange(len(rid))
+    if quick:  # single floats choose, whole precision decides; a sum of n products of parts of unit vectors is off by less
+        some, slack = max(1, 4 * HELD // len(qids)), 2.0**-22 * (v.shape[1] + 8)
+        vu, qu = _unit(v), _unit(q) if unit is None else unit
+    else:
+        v, q = v.astype(np.float64, copy=False), q.astype(np.float64, copy=False)
     for at in range(0, len(rid), some):
-        score = _score(v[at : at + some], q, metric)
+        score = vu[at : at + some] @ qu.T if quick else _score(v[at : at + some], q, metric)
         if isinstance(keep, _Best):
             for i, x in enumerate(rid[at : at + some]):
                 if x in place:
                     score[i, place[x]] = -np.inf
-            keep.add(score, at, order)
+            if quick:
+                keep.add(score, at, order, slack, lambda a, b: _cosines(v, q, a, b))
+            else:
+                keep.add(score, at, order)
         else:
             a, b = keep(score, rid[at : at + some], qids)
             yield pa.record_batch([pa.array([qids[j] for j in b], kind), pa.array([rid[at + i] for i in a], kind), pa.array(score[a, b])], names=_SCORES)
@@ -106,40 +142,34 @@ def _scores(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: K
     """``query_id, id, score`` of the pairs that ``keep(scores, row ids, query ids)`` selects in each block."""
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
+    if same := rows is queries:  # what both come from is computed once
+        rows = queries = materialize(rows.select("id", "v"), "vectors")
     parts = max(1, -(-queries.count() * size // block_values))
-    if parts > 1:
-        return _by_blocks(rows, queries, size, metric, keep, schema, parts, block_values)
+    if parts == 1:
+        return _against(rows, queries, size, metric, keep, schema)[0]
+    if not same:
+        rows, queries = materialize(rows.select("id", "v"), "vectors"), materialize(queries.select("id", "v"), "query-vectors")
+    found = []
+    for n in range(parts):
+        scores, shared = _against(rows, queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n), size, metric, keep, schema)
+        found.append(materialize(scores, "scores"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _against(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep | _Best, schema: str) -> tuple[DataFrame, Broadcast]:
+    """Every row with a query set of one block, and the broadcast that the result reads."""
     got = queries.toArrow()  # within the bound of one block
     shared = rows.sparkSession.sparkContext.broadcast((got.column("id").to_pylist(), _matrix(got.column("v"), size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
+        unit = _unit(q) if metric == "cosine" else None
         for batch in batches:
             if batch.num_rows and qids:
-                yield from _kept(batch.column(0).to_pylist(), _matrix(batch.column(1), size), qids, q, metric, keep, batch.column(0).type)
-
-    return rows.select("id", "v").mapInArrow(run, schema)
+                yield from _kept(batch.column(0).to_pylist(), _matrix(batch.column(1), size), qids, q, metric, keep, batch.column(0).type, unit)
 
-
-def _by_blocks(rows: DataFrame, queries: DataFrame, size: int, metric: str, keep: Keep | _Best, schema: str, parts: int, block_values: int) -> DataFrame:
-    """Every block of rows with every block of queries, each pair in one task."""
-    row_parts = max(1, -(-rows.count() * size // block_values))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "v", place(row_parts).alias("rb")).select("id", "v", "rb", each(parts).alias("qb"))
-    # names of their own: rows and queries may be the same table
-    right = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), place(parts).alias("q")).select("qid", "qv", "q", each(row_parts).alias("r"))
-
-    kind = to_arrow_type(rows.schema["id"].dataType)
-
-    def run(r: pa.Table, q: pa.Table) -> pa.Table:
-        if not r.num_rows or not q.num_rows:  # the other side has no such block
-            return pa.table({"query_id": pa.array([], kind), "id": pa.array([], kind), "score": pa.array([], pa.float64())})
-        qids, qv = q.column("qid").to_pylist(), _matrix(q.column("qv"), size)
-        none = pa.record_batch([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=_SCORES)
-        return pa.Table.from_batches([none, *_kept(r.column("id").to_pylist(), _matrix(r.column("v"), size), qids, qv, metric, keep, kind)])
-
-    return left.groupBy("rb", "qb").cogroup(right.groupBy("r", "q")).applyInArrow(run, schema)
+    return rows.select("id", "v").mapInArrow(run, schema), shared
 
 
 def _prepared(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
@@ -157,7 +187,8 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, s
     ``metric``: cosine, dot, or l2 (score is then the negative distance). Vectors of another length or with a null are
     left out.
     """
-    r, q = _prepared(rows, id_col, vector_col, size), _prepared(queries, id_col, vector_col, size)
+    r = _prepared(rows, id_col, vector_col, size)
+    q = r if queries is rows else _prepared(queries, id_col, vector_col, size)
 
     found = _scores(r, q, size, metric, _Best(k, least, 1), block_values)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

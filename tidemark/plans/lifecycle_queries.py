@@ -59,8 +59,7 @@ _TAG_PAIRS = "SELECT a.id AS src_id, b.id AS dst_id, 'tag_overlap' AS edge_type,
 
 @query(_MEM + f", tg AS (SELECT id, list_distinct({_TAGS}) AS t FROM mem WHERE len({_TAGS}) > 0) " + _TAG_PAIRS.format(t="tg"))
 def edge_tag_overlap(spark, folder):
-    e = edge_ops.tag_edges(mem(spark, folder, "metadata"))
-    return e.select("src_id", "dst_id", "edge_type", F.round("weight", 6).alias("weight"))
+    return edge_ops.tag_edges(mem(spark, folder, "metadata"), digits=6).select("src_id", "dst_id", "edge_type", "weight")
 
 
 @query(_VEC + f""", plain AS (SELECT * FROM mem WHERE memory_type <> 'code_context'), pv AS (SELECT vec.* FROM vec WHERE id IN (SELECT id FROM plain)), nn AS ({_NN.format(v='pv')}),
@@ -68,8 +67,8 @@ tg AS (SELECT id, list_distinct({_TAGS}) AS t FROM plain WHERE len({_TAGS}) > 0)
 every AS ({_SIM} UNION ALL SELECT a.id, b.id, 'temporal', 1.0 FROM plain a JOIN plain b ON a.project_id = b.project_id AND a.id < b.id AND abs(epoch_us(a.created_at) - epoch_us(b.created_at)) <= 300000000 UNION ALL {_TAG_PAIRS.format(t='tg')})
 SELECT src_id, dst_id, edge_type, weight FROM every""")
 def edges_all(spark, folder):
-    e = edge_ops.all_edges(mem(spark, folder, "memory_type", "project_id", "created_at", "metadata"), vec(spark, folder), SIZE)
-    return e.select("src_id", "dst_id", "edge_type", F.round("weight", 6).alias("weight"))
+    e = edge_ops.all_edges(mem(spark, folder, "memory_type", "project_id", "created_at", "metadata"), vec(spark, folder), SIZE, digits=6)
+    return e.select("src_id", "dst_id", "edge_type", "weight")
 
 
 _CONF = Lifecycle(consolidation_threshold=0.8, ngram=2)
