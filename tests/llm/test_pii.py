@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tidemark.llm.givennames import learned_given
-from tidemark.llm.pii import PersonalModel
+from tidemark.llm.pii import PersonalModel, fitted_model
 from tidemark.llm.spans import GIVEN, candidates
 
 #: ⟦kind|value⟧ marks what is to be found.
@@ -153,3 +153,20 @@ def test_long_names_and_long_lists():
 
 def test_titles_start_no_name():
     assert not [s for s in candidates("Herr Müller kam", frozenset(["kam"])) if s.kind == "name" and s.start == 0]
+
+
+def test_given_names_come_from_every_text(spark):
+    """Names that stand in few of very many texts; a sample of texts once lost those outside it."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import givennames as G
+
+    people = ["Anna", "Peter", "Zubeida", "Tarkan", "Oyelaran", "Ximbu", "Quetta", "Wanjiru"]
+    families = ["Velmor", "Drosk", "Quallen", "Istrup", "Wenbach"]
+    texts = [(f"minutes taken by {g} {f} on monday {i}",) for i, (g, f) in enumerate((g, f) for g in people for f in families)]
+    filler = spark.range(160_000).select(F.format_string("the report %d of the budget was moved on monday", "id").alias("text"))
+    given = fitted_model(filler.unionByName(spark.createDataFrame(texts, "text string")), made=40).common.given
+    assert {p.lower() for p in people} <= given
+    few, common = spark.createDataFrame(texts + [("we installed Trigon Velmor in the lab",), ("we installed Trigon Drosk in the lab",)], "text string"), frozenset("minutes taken by on monday we installed in the lab".split())
+    right = learned_given([r.text for r in few.collect()], common)
+    assert right == G.learned_given_of(few, common) == G.learned_given_of(few, common, block=0)

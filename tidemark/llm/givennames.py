@@ -7,15 +7,24 @@ their own label, and that go with several rare words, are taken for given names
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.spans import GIVEN, PARTICLES, PRODUCT_WORDS, VENDORS, bare
+from tidemark.session import materialize
 
 #: Turns of scoring, different rare words that a learned name goes with, and what part of the known names' median score it needs.
 TURNS, PARTNERS, PART = 4, 2, 0.25
+#: Times that a word counts in one slot, and links that are scored at one place.
+MOST, LINKS = 3, 1_000_000
+#: What every text with a run has: a capital, a space, at most four short words, a capital.
+_MAYBE = r"\p{Lu}\S+[^\S\n](?:\S{1,12}\s?){0,4}\p{Lu}\p{L}"
 
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}'’]*(?:-\p{L}[\p{L}\p{M}'’]+)*|\d+|[^\s\p{L}\d]|\n")
 
@@ -43,22 +52,24 @@ def _runs(text: str, common: frozenset[str]) -> list[tuple[str, str, tuple[str,
     return found
 
 
-def learned_given(texts: list[str], common: frozenset[str]) -> frozenset[str]:
-    """Given names of a bounded list of distinct texts: the known ones and those that stand like them."""
-    words: dict[str, set[str]] = defaultdict(set)
-    links: dict[tuple[str, str], int] = defaultdict(int)
+def _names_in(texts: Iterable[str], common: frozenset[str]) -> tuple[set[tuple[str, str]], Counter[tuple[str, str]]]:
+    """Words with the rare words they go with, and how often they stand in slots that say something."""
+    goes, links = set(), Counter()
     for text in texts:
         for first, last, slots in _runs(text, common):
             w = bare(first)
-            words[w].add(last)
-            for s in slots:
-                if any(c.isalpha() for c in s):
-                    links[w, s] += 1
-    names = sorted({w for w, _ in links})
+            goes.add((w, last))
+            links.update((w, s) for s in slots if any(c.isalpha() for c in s))
+    return goes, links
+
+
+def _slot_scores(links: list[tuple[str, str, int]]) -> dict[str, float]:
+    """Each word's score by its ``word, slot, times`` and those of the others."""
+    names = sorted({w for w, _, _ in links})
     if not names:
-        return GIVEN
+        return {}
     number, slot = {w: i for i, w in enumerate(names)}, {}
-    w, s, n = np.array([(number[a], slot.setdefault(b, len(slot)), min(c, 3)) for (a, b), c in links.items()]).T
+    w, s, n = np.array([(number[a], slot.setdefault(b, len(slot)), min(c, MOST)) for a, b, c in links]).T
     seed = np.array([a in GIVEN for a in names])
     own = np.bincount(w, n, len(names))
     score = seed.astype(float)
@@ -68,9 +79,61 @@ def learned_given(texts: list[str], common: frozenset[str]) -> frozenset[str]:
         # a word's score leaves its own label out of its slots; what few others share says little
         left, others = total[s] - n * label[w], weight[s] - n
         score = np.bincount(w, n * left / (others + 1.0), len(names)) / own
-    known = seed & np.array([len(words[a]) >= PARTNERS for a in names])
-    if not known.any():
+    return dict(zip(names, score.tolist(), strict=True))
+
+
+def _spread_scores(links: DataFrame) -> DataFrame:
+    """``w, score``: the same by joins, for links (``w, s, n``) beyond one block."""
+    n = materialize(links.select("w", "s", F.least("n", F.lit(MOST)).cast("double").alias("n"), F.col("w").isin(sorted(GIVEN)).alias("seed")), "name-links")
+    score = n.select("w", F.col("seed").cast("double").alias("score")).distinct()
+    for _ in range(TURNS):
+        known = n.join(score, "w").withColumn("label", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("score")))
+        slots = known.groupBy("s").agg(F.sum(F.col("n") * F.col("label")).alias("total"), F.sum("n").alias("weight"))
+        part = F.col("n") * (F.col("total") - F.col("n") * F.col("label")) / (F.col("weight") - F.col("n") + 1)
+        score = materialize(known.join(slots, "s").groupBy("w").agg((F.sum(part) / F.sum("n")).alias("score")), "name-scores")
+    return score
+
+
+def _least(known: list[float]) -> float:
+    return max(PART * float(np.median(known)), 1e-6)
+
+
+def _allowed(w: str) -> bool:
+    return w not in VENDORS and w not in PRODUCT_WORDS
+
+
+def learned_given(texts: list[str], common: frozenset[str]) -> frozenset[str]:
+    """Given names of a list of distinct texts: the known ones and those that stand like them."""
+    goes, links = _names_in(texts, common)
+    return _chosen(_slot_scores([(w, s, n) for (w, s), n in links.items()]), Counter(w for w, _ in goes))
+
+
+def _chosen(score: dict[str, float], partners: dict[str, int]) -> frozenset[str]:
+    known = [v for a, v in score.items() if a in GIVEN and partners[a] >= PARTNERS]
+    if not known:
+        return GIVEN
+    return GIVEN | {a for a, v in score.items() if v >= _least(known) and partners[a] >= PARTNERS and _allowed(a)}
+
+
+def learned_given_of(texts: DataFrame, common: frozenset[str], block: int = LINKS) -> frozenset[str]:
+    """The same for all distinct texts (``text``) of a table; up to ``block`` links are scored here, more by joins."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            goes, links = _names_in(batch.column(0).to_pylist(), shared.value)
+            rows = [(w, last, None, 1) for w, last in goes] + [(w, None, s, n) for (w, s), n in links.items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(),) * 3 + (pa.int64(),))], names=["w", "last", "s", "n"])
+
+    found = texts.where(F.col("text").rlike(_MAYBE)).select("text").distinct().mapInArrow(run, "w string, last string, s string, n long")
+    found = materialize(found.groupBy("w", "last", "s").agg(F.sum("n").alias("n")), "name-runs")
+    links = found.where("s IS NOT NULL").select("w", "s", "n")
+    partners = found.where("last IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("partners")).where(F.col("partners") >= PARTNERS)
+    if links.count() <= block:
+        times = Counter({r["w"]: r["partners"] for r in partners.collect()})
+        return _chosen(_slot_scores([tuple(r) for r in links.orderBy("w", "s").collect()]), times)
+    score = materialize(_spread_scores(links).join(partners, "w"), "name-scores")
+    known = [r["score"] for r in score.where(F.col("w").isin(sorted(GIVEN))).collect()]
+    if not known:
         return GIVEN
-    least = max(PART * float(np.median(score[known])), 1e-6)
-    taken = {a for a, v in zip(names, score, strict=True) if v >= least and len(words[a]) >= PARTNERS and a not in VENDORS and a not in PRODUCT_WORDS}
-    return GIVEN | frozenset(taken)
+    return GIVEN | {r["w"] for r in score.where(F.col("score") >= _least(known)).select("w").collect() if _allowed(r["w"])}

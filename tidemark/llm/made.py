@@ -54,6 +54,28 @@ _DECOY_FRAMES = {
     ],
 }
 
+# Sentences around made-up values; they name no person and no place to reach one.
+SURROUNDINGS = [
+    "The nightly job was moved to a larger machine and ends before six now.", "We decided to keep the old format until the next release.", "Retry with a longer timeout, the first call always fails.", "The index was rebuilt after the schema change.",
+    "Nobody remembers why the flag was added", "The meeting notes are in the shared folder.", "Deploy finished without errors, all checks are green.", "User asked for a summary of the open tasks.", "Running the tests again after the merge", "The cache is cleared whenever a config file changes.",
+    "Please review the draft before the end of the week.", "It took 45 minutes to copy 12 tables.", "Build 2381 passed on the second attempt.", "Version 3.14.2 fixes the memory leak.", "The log shows 1048576 bytes written in 3.7 seconds.", "Port 8443 is already in use.", "Exit code 137 means that the container was out of memory.",
+    "See section 4.2 of the handbook for details.", "def load(path): return open(path).read()", "SELECT count(*) FROM orders WHERE status = 'open'", "git commit -m 'fix typo in the readme'", "TypeError: unsupported operand type in line 88", "The function returns None if the key is missing.", "TODO remove this once the new parser is in place",
+    "import numpy as np; x = np.zeros(10)", "Edited the retry logic, backoff doubles now up to 64 seconds.", "The Data Platform team owns this service.", "Release Notes for the spring version are ready.", "Open the Control Panel and choose Network Settings.", "The Quick Start Guide is out of date.", "Monday and Tuesday are holidays this year.",
+    "On Friday the Main Branch was frozen.", "The Great Migration is planned for next quarter.", "English and German texts are handled alike.", "Visual effects were added in the last step.", "We met in the big room on the second floor.", "The train was late again, so the workshop started at half past nine.", "She said that the garden needs water.",
+    "He bought bread, cheese and two bottles of wine.", "My neighbours have a new dog.", "The doctor recommended more sleep and less coffee.", "Their house is near the river.", "The lease ends in two years and can be extended.", "Lunch was good but the soup was cold.", "I forgot the umbrella in the office.", "The children played football until dark.",
+    "It rained all day in the mountains.", "A package was left at the door.", "The invoice has not been paid yet.", "Thanks a lot for the quick answer!", "Could you send the slides once more?", "What is the status of the open questions?", "Looks good to me, ship it.", "I agree with the proposal, with one small change.", "The budget for travel was cut by 20 percent.",
+    "The concert starts at 20:30 and the doors open an hour before.", "On 2023-04-17 the certificate expired.", "The price went from 19.99 to 24.50.", "Order more paper for the printer.", "The lecture covers graphs, trees and sorting.", "New rules for expenses apply from May.", "Both teams work with the same backlog.",
+    "Die Besprechung wurde auf nächste Woche verschoben.", "Der Bericht liegt im gemeinsamen Ordner.", "Wir haben den Fehler gefunden und behoben.", "Die Tabelle hat zwölf Spalten und ist sehr langsam.", "Bitte prüfen Sie den Entwurf bis Freitag.", "Das Wetter war schön, also gingen wir zu Fuß.", "Der Server läuft seit drei Wochen ohne Neustart.",
+    "La réunion a été reportée à lundi.", "Le rapport sera prêt demain matin.", "Nous avons corrigé une erreur dans le calcul.", "Il faut vérifier les droits avant la mise en ligne.", "La reunión fue breve y útil.", "El informe está en la carpeta compartida.", "Hay que revisar los datos antes de publicar.",
+    "O relatório ainda não está pronto.", "A reunião começa às dez.", "Spotkanie zostało przełożone na wtorek.", "Raport jest gotowy do sprawdzenia.", "Отчёт будет готов завтра утром.", "Встреча перенесена на понедельник.",
+    "user: can you look at the failing test; assistant: the fixture is missing", "Tool call returned 3 results, the second one matches.", "Saved to memory: prefers short answers with code.", "The plan has three steps: read, change, verify.", "Context was cut, reading the file again.", "Searching the workspace for usages of the class",
+    "Found 27 matches in 9 files.", "The queue holds 64 jobs and is polled every 30 seconds.", "status=done attempts=2 elapsed=812ms", "key: value, list: [1, 2, 3], nested: {a: b}", "WARN retrying request after 503", "INFO started worker on 10.1.4.22", "commit 9f3c2ab changes the default", "The checksum is 5d41402abc4b2a76.",
+    "Everything is documented on the wiki page.", "The second option is cheaper but slower.", "Rust and Python bindings share one core.", "Docs and examples were moved to another folder.", "The Summer School has room for thirty students.", "Chapter Two explains the Binary Search Tree.", "The Golden Rule of caching is to measure first.",
+    "THE SECOND RUN STOPPED EARLY, CHECKED WITH THE ROLLBACK SCRIPT", "REMOVED THE WRITE-ONLY FLAG AND A PULL-UP OF THE HELPER", "FIXED THE ORDR OF THE COLUMNS AGAIN", "WRONG DEFUALT IN THE CONFIG, REPLACED BEFORE THE NIGHTLY RUN", "PATCH B7D40C19 REPLACED THE OLD LOADER", "SEE C0FFEE42 FOR THE LAST STEP", "CLEAN-UP TASKS WAIT IN THE QUEUE",
+    "COMMENTS ON THE SRVICE ARE CLOSED", "NACH DEM NEUSTART IST DIE TABELLE LEER", "LA TÂCHE A ÉTÉ TERMINÉE SANS ERREUR", "MOVED THE CHECK TO THE OTEHR SIDE OF THE STREAM", "PLEASE READ THE SET-UP GUIDE FIRST", "NOTHING CHANGED SINCE THE LAST BUILD", "TWO TESTS FAILED, ONE WAS SKIPPED, TEH REST PASSED",
+]
+SURROUNDINGS += [x.upper() for x in SURROUNDINGS[::2] if not x.isupper()]
+
 
 class Maker:
     """Made-up values; the same sequence for the same seed. ``family`` is the number of the last value's way of writing."""
@@ -161,7 +183,7 @@ class Maker:
 
 def made_texts(surroundings: list[str], made: int, seed: int = 23, frequent: list[str] | None = None, copied: list[str] | None = None) -> list[tuple[str, set[tuple[str, int, int]], int, int, tuple[int, int]]]:
     """Texts with values at known places, and texts with decoys at none, each with the numbers of its frame and of its
-    value's family (-1: none), and with the made-up part's place; around it are sentences of the corpus."""
+    value's family (-1: none), and with the made-up part's place; around it are the sentences of ``surroundings``."""
     maker = Maker(seed, frequent, copied)
     found = []
 
@@ -171,7 +193,7 @@ def made_texts(surroundings: list[str], made: int, seed: int = 23, frequent: lis
         return before + piece + after, len(before)
 
     def amid(piece: str) -> tuple[str, int]:
-        """The piece anywhere inside a sentence of the corpus: its surroundings say nothing."""
+        """The piece anywhere inside a sentence: its surroundings say nothing."""
         words = maker.pick(surroundings).split(" ") if surroundings else ["said"]
         k = int(maker.rng.integers(len(words) + 1))
         before = " ".join(words[:k]) + " " * (k > 0)
