@@ -170,3 +170,14 @@ def test_given_names_come_from_every_text(spark):
     few, common = spark.createDataFrame(texts + [("we installed Trigon Velmor in the lab",), ("we installed Trigon Drosk in the lab",)], "text string"), frozenset("minutes taken by on monday we installed in the lab".split())
     right = learned_given([r.text for r in few.collect()], common)
     assert right == G.learned_given_of(few, common) == G.learned_given_of(few, common, block=0)
+
+
+def test_a_word_that_seldom_stands_as_a_name_is_none():
+    """In very many texts even "For" goes with rare words, and stands where names do."""
+    from tidemark.llm.spans import CommonWords
+
+    texts = [f"minutes taken by {g} {f} on monday {i}" for i, (g, f) in enumerate((g, f) for g in ("Anna", "Peter", "Tarkan", "For") for f in ("Velmor", "Drosk", "Quallen"))]
+    common = CommonWords("minutes taken by on monday for tarkan".split())
+    common.times = {"for": 5000, "tarkan": 20}
+    got = learned_given(texts, common)
+    assert "tarkan" in got and "for" not in got

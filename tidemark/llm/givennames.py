@@ -23,6 +23,8 @@ from tidemark.session import materialize
 TURNS, PARTNERS, PART = 4, 2, 0.25
 #: Times that a word counts in one slot, and links that are scored at one place.
 MOST, LINKS = 3, 1_000_000
+#: A common word is a learned name only if in so large a part of its texts it goes with a rare word ("For" does not).
+RUNS_PART = 0.05
 #: What every text with a run has: a capital, a space, at most four short words, a capital.
 _MAYBE = r"\p{Lu}\S+[^\S\n](?:\S{1,12}\s?){0,4}\p{Lu}\p{L}"
 
@@ -52,13 +54,13 @@ def _runs(text: str, common: frozenset[str]) -> list[tuple[str, str, tuple[str,
     return found
 
 
-def _names_in(texts: Iterable[str], common: frozenset[str]) -> tuple[set[tuple[str, str]], Counter[tuple[str, str]]]:
-    """Words with the rare words they go with, and how often they stand in slots that say something."""
-    goes, links = set(), Counter()
+def _names_in(texts: Iterable[str], common: frozenset[str]) -> tuple[Counter[tuple[str, str]], Counter[tuple[str, str]]]:
+    """How often words go with rare words, and how often they stand in slots that say something."""
+    goes, links = Counter(), Counter()
     for text in texts:
         for first, last, slots in _runs(text, common):
             w = bare(first)
-            goes.add((w, last))
+            goes[w, last] += 1
             links.update((w, s) for s in slots if any(c.isalpha() for c in s))
     return goes, links
 
@@ -98,21 +100,29 @@ def _least(known: list[float]) -> float:
     return max(PART * float(np.median(known)), 1e-6)
 
 
-def _allowed(w: str) -> bool:
-    return w not in VENDORS and w not in PRODUCT_WORDS
+def _allowed(w: str, runs: int, common: frozenset[str]) -> bool:
+    return w not in VENDORS and w not in PRODUCT_WORDS and runs >= RUNS_PART * getattr(common, "times", {}).get(w, 0)
 
 
 def learned_given(texts: list[str], common: frozenset[str]) -> frozenset[str]:
     """Given names of a list of distinct texts: the known ones and those that stand like them."""
     goes, links = _names_in(texts, common)
-    return _chosen(_slot_scores([(w, s, n) for (w, s), n in links.items()]), Counter(w for w, _ in goes))
+    return _chosen(_slot_scores([(w, s, n) for (w, s), n in links.items()]), _partners(goes), common)
 
 
-def _chosen(score: dict[str, float], partners: dict[str, int]) -> frozenset[str]:
-    known = [v for a, v in score.items() if a in GIVEN and partners[a] >= PARTNERS]
+def _partners(goes: dict[tuple[str, str], int]) -> dict[str, tuple[int, int]]:
+    partners, runs = Counter(w for w, _ in goes), Counter()
+    for (w, _), n in goes.items():
+        runs[w] += n
+    return {w: (k, runs[w]) for w, k in partners.items() if k >= PARTNERS}
+
+
+def _chosen(score: dict[str, float], partners: dict[str, tuple[int, int]], common: frozenset[str]) -> frozenset[str]:
+    """Of ``partners``, which holds the words of enough partners with their runs, those that score like known names."""
+    known = [v for a, v in score.items() if a in GIVEN and a in partners]
     if not known:
         return GIVEN
-    return GIVEN | {a for a, v in score.items() if v >= _least(known) and partners[a] >= PARTNERS and _allowed(a)}
+    return GIVEN | {a for a, v in score.items() if a in partners and v >= _least(known) and _allowed(a, partners[a][1], common)}
 
 
 def learned_given_of(texts: DataFrame, common: frozenset[str], block: int = LINKS) -> frozenset[str]:
@@ -122,18 +132,18 @@ def learned_given_of(texts: DataFrame, common: frozenset[str], block: int = LINK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             goes, links = _names_in(batch.column(0).to_pylist(), shared.value)
-            rows = [(w, last, None, 1) for w, last in goes] + [(w, None, s, n) for (w, s), n in links.items()]
+            rows = [(w, last, None, n) for (w, last), n in goes.items()] + [(w, None, s, n) for (w, s), n in links.items()]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(),) * 3 + (pa.int64(),))], names=["w", "last", "s", "n"])
 
     found = texts.where(F.col("text").rlike(_MAYBE)).select("text").distinct().mapInArrow(run, "w string, last string, s string, n long")
     found = materialize(found.groupBy("w", "last", "s").agg(F.sum("n").alias("n")), "name-runs")
     links = found.where("s IS NOT NULL").select("w", "s", "n")
-    partners = found.where("last IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("partners")).where(F.col("partners") >= PARTNERS)
+    partners = found.where("last IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("partners"), F.sum("n").alias("runs")).where(F.col("partners") >= PARTNERS)
     if links.count() <= block:
-        times = Counter({r["w"]: r["partners"] for r in partners.collect()})
-        return _chosen(_slot_scores([tuple(r) for r in links.orderBy("w", "s").collect()]), times)
+        times = {r["w"]: (r["partners"], r["runs"]) for r in partners.collect()}
+        return _chosen(_slot_scores([tuple(r) for r in links.orderBy("w", "s").collect()]), times, common)
     score = materialize(_spread_scores(links).join(partners, "w"), "name-scores")
     known = [r["score"] for r in score.where(F.col("w").isin(sorted(GIVEN))).collect()]
     if not known:
         return GIVEN
-    return GIVEN | {r["w"] for r in score.where(F.col("score") >= _least(known)).select("w").collect() if _allowed(r["w"])}
+    return GIVEN | {r["w"] for r in score.where(F.col("score") >= _least(known)).select("w", "runs").collect() if _allowed(r["w"], r["runs"], common)}

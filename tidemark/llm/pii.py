@@ -117,6 +117,7 @@ def common_words(texts: DataFrame, share: int) -> CommonWords:
     words = once.select("copies", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1))).alias("w"))
     counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).where("rows >= 10"), "words")
     common = CommonWords(r["w"] for r in heavy_keys(counts.where("n >= 10"), "w", "n", share).collect())
+    common.times = {r["w"]: r["n"] for r in counts.where(F.col("n") >= 10).join(heavy_keys(counts.where("n >= 10"), "w", "n", share), "w", "left_semi").collect()}
     common.often = frozenset(r["w"] for r in heavy_keys(counts, "w", "rows", share).collect())
     return common
 

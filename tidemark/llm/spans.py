@@ -174,10 +174,11 @@ _CAPITALISED = regex.compile(r"\p{Lu}[\p{L}\p{M}'’.-]*,? (?:[\p{L}'’]+\.? ){
 
 class CommonWords(frozenset):
     """Words of many distinct texts; ``often`` are those of many rows, copies of a text included, and ``given`` the given
-    names known in the corpus."""
+    names known in the corpus; ``times`` says of how many distinct texts each word is."""
 
     often: frozenset[str] = frozenset()
     given: frozenset[str] = GIVEN
+    times: dict[str, int] = {}
 
     def __init__(self, *_: object):
         self.kinds: dict[str, int] = {}
